@@ -33,6 +33,36 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a narrow table that one partition holds.
+ROWS_A_PARTITION = 100_000
+
+
+def settled(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
+    """A narrow table, checkpointed and put into as few partitions as its size asks for, and its row count.
+
+    Steps over a table that fits one partition then need no shuffle; a large one keeps its partitions.
+    """
+    if rows is None:
+        df = cut_lineage(df)
+        rows = df.count()
+    return df.coalesce(rows // ROWS_A_PARTITION + 1), rows
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
+
+
+def slices(batch, column: int, limit: int = 4 << 20):
+    """Runs of rows of an Arrow batch with about ``limit`` bytes of text each, one row at least."""
+    import pyarrow.compute as pc
+
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_pylist()
+    start = held = 0
+    for k, size in enumerate(sizes):
+        if k > start and held + size > limit:
+            yield batch.slice(start, k - start)
+            start, held = k, 0
+        held += size
+    if start < len(sizes):
+        yield batch.slice(start)

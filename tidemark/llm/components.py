@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage
+from tidemark.llm.common import cut_lineage, settled
 
 
 def _both_ways(edges: DataFrame) -> DataFrame:
@@ -55,9 +55,11 @@ def connected_components(edges: DataFrame) -> DataFrame:
         edges.where("src <> dst").select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct()
     )
     mark = _fingerprint(stars)
+    stars, _ = settled(stars, mark[0])
     while mark[0]:
         stars = cut_lineage(_small_star(_large_star(stars)))
         last, mark = mark, _fingerprint(stars)
+        stars, _ = settled(stars, mark[0])
         if mark == last:
             break
     return stars.select(F.col("src").alias("node"), F.col("dst").alias("root")).unionByName(

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, whole_text
+from tidemark.llm.common import cut_lineage, settled, whole_text
 from tidemark.llm.components import connected_components
 
 #: Hash values whose bits are counted at a time.
@@ -18,6 +18,8 @@ HASH_BLOCK = 1 << 16
 PAIR_BLOCK = 1 << 19
 #: Two ranges whose product is at most this are compared directly.
 DIRECT = 16
+#: A list of up to so many node pairs (about 50 bytes each) is broadcast; a longer one is joined by shuffle.
+BROADCAST_PAIRS = 50_000
 
 
 def fingerprint(text: str, shingle_words: int = 3) -> int:
@@ -165,40 +167,39 @@ def hamming_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, step:
     whatever the bits look like, and a fingerprint is copied to as many tasks as its node has neighbours
     within the budget. Each task returns a spanning forest of its links, not all pairs.
     """
-    spark = prints.sparkSession
-    pending = spark.range(1).select(F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(0).alias("errors"))
-    ready: list[DataFrame] = []
-    depth = 0
-    while depth < 64:
+    low = (1 << step) - 1
+    masks = F.array(*(F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= budget))
+    large, ready, depth = None, [], 0
+    while depth < 64 and (large is None or not large.isEmpty()):
         depth += step
         nodes = prints.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("node")).agg(F.count("*").alias("n"))
-        nodes = cut_lineage(nodes.select("node", F.shiftrightunsigned("node", step).alias("up"), "n"))
-        one, two = (nodes.select(F.col("up").alias(p), F.col("node").alias(f"{p}1"), F.col("n").alias(f"{p}n")) for p in "ab")
-        if depth == step:
-            one, two = one.withColumn("a", F.lit(0).cast("long")), two.withColumn("b", F.lit(0).cast("long"))
+        nodes, _ = settled(nodes)
+        if large is None:
+            one = nodes.select("node", "n", F.lit(0).cast("long").alias("up"), F.lit(0).alias("spent"))
+        else:
+            one = nodes.join(large, F.shiftrightunsigned("node", step) == F.col("a")).select("node", "n", F.col("b").alias("up"), F.col("errors").alias("spent"))
         pairs = (
-            pending.join(one, "a")
-            .join(two, "b")
-            .withColumn("errors", (F.col("errors") + F.bit_count(F.col("a1").bitwiseXOR(F.col("b1")).bitwiseAND((1 << step) - 1))).cast("int"))
-            .where((F.col("errors") <= budget) & ((F.col("a") != F.col("b")) | (F.col("a1") <= F.col("b1"))))
-            .select(F.col("a1").alias("a"), F.col("b1").alias("b"), "errors", (F.greatest("an", "bn") > leaf).alias("large"))
+            one.withColumn("mask", F.explode(masks))
+            .select(
+                F.col("node").alias("a"), F.col("n").alias("an"),
+                F.shiftleft("up", step).bitwiseOR(F.col("node").bitwiseAND(low).bitwiseXOR(F.col("mask"))).alias("b"),
+                (F.col("spent") + F.bit_count("mask")).cast("int").alias("errors"),
+            )
+            .where((F.col("errors") <= budget) & (F.expr(f"shiftrightunsigned(a, {step}) <> shiftrightunsigned(b, {step})") | (F.col("a") <= F.col("b"))))
+            .join(nodes.select(F.col("node").alias("b"), F.col("n").alias("bn")), "b")
+            .select("a", "b", "errors", (F.greatest("an", "bn") > leaf).alias("large"))
         )
-        pairs = cut_lineage(pairs)
-        ready.append(pairs.where("not large").select(F.lit(depth).alias("depth"), "a", "b", "errors"))
-        pending = pairs.where("large").select("a", "b", "errors")
-        if depth >= 64 or pending.isEmpty():
-            break
-    if depth >= 64:
-        ready.append(pending.select(F.lit(64).alias("depth"), "a", "b", "errors"))
+        pairs, _ = settled(pairs)
+        done = pairs if depth == 64 else pairs.where("not large")
+        ready.append((depth, done.select("a", "b", "errors")))
+        large = pairs.where("large").select("a", "b", "errors")
     members = None
-    for level, tasks in enumerate(ready, 1):
-        sides = tasks.select(
-            "depth", "a", "b", "errors",
-            F.explode(F.when(F.col("a") == F.col("b"), F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")))).otherwise(
-                F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("side")), F.struct(F.col("b").alias("node"), F.lit(1).alias("side")))
-            )).alias("s"),
-        ).select("depth", "a", "b", "errors", "s.node", "s.side")
-        rows = prints.withColumn("node", F.shiftrightunsigned("fp", 64 - level * step)).join(sides, "node")
+    for depth, tasks in ready:
+        here = lambda side: F.struct(F.col("ab"[side]).alias("node"), F.lit(side).alias("side"))
+        sides = tasks.select("a", "b", "errors", F.explode(F.when(F.col("a") == F.col("b"), F.array(here(0))).otherwise(F.array(here(0), here(1)))).alias("s"))
+        sides, count = settled(sides.select(F.lit(depth).alias("depth"), "a", "b", "errors", "s.node", "s.side"))
+        sides = F.broadcast(sides) if count <= BROADCAST_PAIRS else sides
+        rows = prints.withColumn("node", F.shiftrightunsigned("fp", 64 - depth)).join(sides, "node")
         rows = rows.select("depth", "a", "b", "errors", "side", "fp", F.lit(budget).alias("budget"))
         members = rows if members is None else members.unionByName(rows)
     return members.groupBy("depth", "a", "b").applyInArrow(_join_group, "src long, dst long")
