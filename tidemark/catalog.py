@@ -35,6 +35,11 @@ class Tables:
             ["l_orderkey", "l_linenumber", "l_extendedprice"],
         )
 
+    @property
+    def cents(self) -> DataFrame:
+        """Daily bars in whole cents: sums are exact, so comparisons of averages do not hang on rounding noise."""
+        return self.bars.withColumns({c: F.round(F.col(c) * 100) for c in ("open", "high", "low", "close")})
+
     @property
     def hourly(self) -> DataFrame:
         hour = F.date_trunc("hour", "ts").cast("timestamp_ntz")
@@ -72,6 +77,7 @@ BARS = """bars AS (SELECT l_returnflag || l_linestatus AS code, CAST(l_shipdate
   first(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS open, max(l_extendedprice) AS high,
   min(l_extendedprice) AS low, last(l_extendedprice ORDER BY l_orderkey, l_linenumber, l_extendedprice) AS close,
   CAST(sum(l_quantity) AS DOUBLE) AS volume FROM lineitem GROUP BY 1, 2)"""
+CENTS = [BARS.replace("bars AS", "raw_bars AS", 1), "bars AS (SELECT code, dt, " + ", ".join(f"round({c} * 100) AS {c}" for c in ("open", "high", "low", "close")) + ", volume FROM raw_bars)"]
 HOURLY = """hourly AS (SELECT event_type AS code, date_trunc('hour', ts) AS trade_time, first(value ORDER BY ts, event_id, value) AS open,
   max(value) AS high, min(value) AS low, last(value ORDER BY ts, event_id, value) AS close, CAST(count(*) AS DOUBLE) AS volume
   FROM events GROUP BY 1, 2)"""
@@ -114,7 +120,7 @@ QRS = [
       FROM reg WHERE rn >= 17)""",
 ]
 ALLIGATOR = [
-    BARS,
+    *CENTS,
     f"""ma AS (SELECT *, {full("close", 13, "avg(close)")} AS m13, {full("close", 8, "avg(close)")} AS m8, {full("close", 5, "avg(close)")} AS m5 FROM bars)""",
     f"""lines AS (SELECT *, lag(m13, 8) OVER {o()} AS jaw, lag(m8, 5) OVER {o()} AS teeth, lag(m5, 3) OVER {o()} AS lips FROM ma)""",
     "cond AS (SELECT *, coalesce(teeth > jaw AND lips > teeth, false) AS up, coalesce(teeth < jaw AND lips < teeth, false) AS down FROM lines)",
@@ -258,7 +264,7 @@ def _nudge(digits: str) -> float:
 
 
 def _sig_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b = t.bars
+    b = t.cents
     return alligator.alligator_signal(b), alligator.ao_signal(b), alligator.fractal_signal(b)
 
 
@@ -341,12 +347,12 @@ OPS: list[Op] = [
     Op("qrs_regulation_mean", "code dt regulation:6 regulation_mean:6", lambda t: qrs.regulation_mean(t.bars), f"SELECT *, CASE WHEN count(regulation) OVER {w(18)} = 18 THEN regulation_mean END AS rm FROM reg", QRS[:3]),
     Op("qrs_signal", "code dt signal:6", lambda t: qrs.qrs_signal(t.bars), "SELECT code, dt, zscore * regulation AS signal FROM z WHERE rn >= 616", QRS),
     Op("qrs_signal_adjusted", "code dt signal:6", lambda t: qrs.qrs_signal(t.bars, adjust=True), "SELECT code, dt, zscore * regulation / nullif(regulation_mean, 0) AS signal FROM z WHERE rn >= 616", QRS),
-    Op("alligator_lines", "code dt jaw:4 teeth:4 lips:4", lambda t: alligator.alligator_lines(t.bars), "SELECT * FROM lines", ALLIGATOR[:3]),
-    Op("alignment", "code dt bull bear", lambda t: alligator.alligator_lines(t.bars).withColumns({"bull": alligator.alignment(), "bear": alligator.alignment(direction="bearish")}), "SELECT * FROM trig", ALLIGATOR[:5]),
-    Op("alligator_rows", "code dt event:i", lambda t: alligator.alligator_events(t.bars), "SELECT * FROM asig", ALLIGATOR),
-    Op("alligator_signal", "code dt signal:i", lambda t: alligator.alligator_signal(t.bars), f"SELECT *, {held('event')} AS signal FROM asig", ALLIGATOR),
-    Op("ao", "code dt ao:4", lambda t: alligator.ao(t.bars), "SELECT * FROM aos", [BARS, AO[0]]),
-    Op("ao_signal", "code dt signal:i", lambda t: alligator.ao_signal(t.bars), f"SELECT *, {held('event')} AS signal FROM aoe", [BARS, *AO]),
+    Op("alligator_lines", "code dt jaw:4 teeth:4 lips:4", lambda t: alligator.alligator_lines(t.cents), "SELECT * FROM lines", ALLIGATOR[:4]),
+    Op("alignment", "code dt bull bear", lambda t: alligator.alligator_lines(t.cents).withColumns({"bull": alligator.alignment(), "bear": alligator.alignment(direction="bearish")}), "SELECT * FROM trig", ALLIGATOR[:6]),
+    Op("alligator_rows", "code dt event:i", lambda t: alligator.alligator_events(t.cents), "SELECT * FROM asig", ALLIGATOR),
+    Op("alligator_signal", "code dt signal:i", lambda t: alligator.alligator_signal(t.cents), f"SELECT *, {held('event')} AS signal FROM asig", ALLIGATOR),
+    Op("ao", "code dt ao:4", lambda t: alligator.ao(t.cents), "SELECT * FROM aos", [*CENTS, AO[0]]),
+    Op("ao_signal", "code dt signal:i", lambda t: alligator.ao_signal(t.cents), f"SELECT *, {held('event')} AS signal FROM aoe", [*CENTS, *AO]),
     Op("top_fractal", "code dt top:i", lambda t: alligator.fractals(t.bars), "SELECT * FROM fr", [BARS, *FRACTAL[:2]]),
     Op("bottom_fractal", "code dt bottom:i", lambda t: alligator.fractals(t.bars), "SELECT * FROM fr", [BARS, *FRACTAL[:2]]),
     Op("fractal_class", "code dt fractal:i", lambda t: alligator.fractals(t.bars), "SELECT *, top + bottom AS fractal FROM fr", [BARS, *FRACTAL[:2]]),
