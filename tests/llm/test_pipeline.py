@@ -17,7 +17,7 @@ from tidemark.llm.repetition import Rules
 def plain_kept(text):
     rules, n = Rules(), len((text or "").encode().split())
     near, far, longest = plain_repeats(text or "", rules.min_repeat_words)
-    return n >= 50 and near <= 0.5 * n and far <= rules.max_covered_share * n and longest <= rules.max_longest_share * n
+    return n >= 50 and near <= 0.5 * n and far <= rules.max_covered_share * n and longest <= rules.max_longest_words
 
 
 def plain_count(seed, doc_id, rate):

@@ -15,7 +15,7 @@ RANKS = str(public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 # --- repetition ---
 
-def plain_repeats(text, least=8):
+def plain_repeats(text, least=16):
     w = text.encode().split()
     n = len(w)
     grams = Counter(zip(w, w[1:], w[2:]))
@@ -61,7 +61,12 @@ def test_counts_and_verdicts(docs):
     unique = " ".join(f"u{k}" for k in range(40))
     phrase = " ".join(f"p{k}" for k in range(30))
     (row,) = repetition.score_quality(docs([f"{unique} {phrase} x {phrase} y {unique[::-1]} {' '.join(map(str, range(70)))}"])).collect()
-    assert not row["base_failed"] and row["longest_repeat"] == 30 and row["kept"]
+    assert not row["base_failed"] and row["longest_repeat"] == 30 and not row["kept"]  # 60 of 173 words
+    long = " ".join(f"q{k}" for k in range(101))
+    filler = " ".join(f"f{k}" for k in range(1000))
+    for passage, kept in ((long, False), (long.removesuffix(" q100"), True)):
+        (row,) = repetition.score_quality(docs([f"{passage} x {filler} {passage} y"])).collect()
+        assert row["longest_repeat"] == len(passage.split()) and row["kept"] == kept
 
 
 def test_keep_quality_keeps_columns_and_rows(docs):

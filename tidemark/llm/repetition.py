@@ -26,14 +26,15 @@ class Rules:
 
     A text fails with under ``min_words`` words, with more than ``max_repeat_share`` of its words in
     3-word windows that recur, with more than ``max_covered_share`` of them under repeats of at least
-    ``min_repeat_words`` words, or with one repeat of over ``max_longest_share`` of its words.
+    ``min_repeat_words`` words, or with one repeat of over ``max_longest_words`` words. Shorter repeats, like a
+    license line that stands twice, are left to line dedup.
     """
 
     min_words: int = 50
     max_repeat_share: float = 0.5
-    min_repeat_words: int = 8
-    max_covered_share: float = 0.45
-    max_longest_share: float = 0.25
+    min_repeat_words: int = 16
+    max_covered_share: float = 0.25
+    max_longest_words: int = 100
 
 
 def suffix_levels(code: np.ndarray, end: np.ndarray, start_rank: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -166,7 +167,7 @@ def measure(texts: list[str], rules: Rules = Rules()) -> dict[str, np.ndarray]:
         out[name] = np.concatenate([f[k] for f in features]) if features else np.zeros(0, np.int64)
     n = out["n_words"]
     out["base_failed"] = (n < rules.min_words) | (out["n_repeat_words"] > rules.max_repeat_share * n)
-    out["kept"] = ~out["base_failed"] & (out["n_covered_words"] <= rules.max_covered_share * n) & (out["longest_repeat"] <= rules.max_longest_share * n)
+    out["kept"] = ~out["base_failed"] & (out["n_covered_words"] <= rules.max_covered_share * n) & (out["longest_repeat"] <= rules.max_longest_words)
     return out
 
 
