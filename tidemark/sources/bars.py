@@ -47,9 +47,10 @@ def ohlcv_bars(
     """Open, high, low, close and volume per code and (already truncated) time.
 
     ``order`` decides the first and last price; it should be unique, or end in the price itself. One
-    aggregation, combined before its shuffle.
+    aggregation, combined before its shuffle; with a single order column it hashes instead of sorting.
     """
-    rows = ticks.select(col(code).alias("code"), col(time).alias(time_name), col(price).alias("p"), col(size).alias("s"), F.struct(*[col(o) for o in order]).alias("o"))
+    place = col(order[0]) if len(order) == 1 else F.struct(*[col(o) for o in order])
+    rows = ticks.select(col(code).alias("code"), col(time).alias(time_name), col(price).alias("p"), col(size).alias("s"), place.alias("o"))
     return rows.groupBy("code", time_name).agg(
         F.min_by("p", "o").alias("open"), F.max("p").alias("high"), F.min("p").alias("low"), F.max_by("p", "o").alias("close"),
         F.sum("s").cast("double").alias("volume"),
