@@ -168,6 +168,20 @@ def test_article_text(wrap):
     assert html_text.main_text(PAGE % (wrap % BODY)).split("\n\n") == WANT.split("|")
 
 
+def test_names_of_parts():
+    page = """<body><div class="wrap has-sidebar no-header"><p>Main words stand here, and there are enough of them to count as text.</p>
+    <pre>x = 1 <span class="comment"># kept</span> <span class="ad">gone</span> and <script>track()</script>on</pre><div id="cookieBanner">Cookies</div><div class="post-comments"><p>me too</p></div></div></body>"""
+    assert html_text.main_text(page).split("\n\n") == ["Main words stand here, and there are enough of them to count as text.", "x = 1 # kept and on"]
+
+
+@pytest.mark.parametrize("page", [
+    "<html><head><title>t</title><body><p>Some words of text.</p>", "<nav><a>x</a><article><p>Some words of text.</p></article>",
+    "<form action=x><div><p>Some words of text.</p></div></form>", "<form><header><h1>t</h1></header><main><p>Some words<!-- c --> of\u00a0text.</p></main></form>",
+])
+def test_broken_or_wrapped_pages(page):
+    assert html_text.main_text(page) == "Some words of text."
+
+
 def test_html_rows(spark):
     rows = [(0, "u", PAGE % f"<article>{BODY}</article>"), (1, None, None), (2, "u", ""), (3, "u", "<p>unclosed <b>text &am"), (4, "u", "<nav><a>x</a></nav>"), (5, "u", "plain &eacute;")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -31,6 +32,12 @@ _SKIP_WORDS = frozenset(
     "modal overlay newsletter subscribe subscription signup login share sharing social related recommended recommendations trending comment comments "
     "commentlist disqus reply replies respond pagination pager skip toolbar".split()
 )
+#: In inline elements, such as a comment in highlighted code, only adverts count.
+_INLINE = frozenset("a abbr b cite code em i kbd mark q s small span strong sub sup u".split())
+_AD_WORDS = frozenset("ad ads advert advertisement sponsored".split())
+#: A name like has-sidebar or no-header speaks of another part of the page.
+_ABOUT = frozenset("has no not with without".split())
+_WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])")
 
 
 @dataclass
@@ -55,21 +62,25 @@ def _is_skipped(tag: str, attrs: list[tuple[str, str | None]]) -> bool:
         if name == "style" and "display:none" in (value or "").lower().replace(" ", ""):
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            words = "".join(c.lower() if c.isalnum() else " " for c in value or "").split()
-            if not _SKIP_WORDS.isdisjoint(words):
-                return True
+            named = _AD_WORDS if tag in _INLINE else _SKIP_WORDS
+            for token in (value or "").split():
+                words = {w.lower() for w in _WORD.findall(token)}
+                if not named.isdisjoint(words) and _ABOUT.isdisjoint(words):
+                    return True
     return False
 
 
 class _Lines(HTMLParser):
     """Cuts the events of a page into lines; knows which containers and skipped parts are open."""
 
-    def __init__(self) -> None:
+    def __init__(self, forms: bool) -> None:
         super().__init__(convert_charrefs=True)
+        self.forms = forms  # whether forms count as content
         self.lines: list[Line] = [Line()]
         self.stack: list[tuple[str, int, bool]] = []  # tag, container number or 0, skipped
         self.names: dict[int, str] = {}
         self.anchors = 0
+        self.muted = 0  # open skipped elements that do not break a line, such as a script in a paragraph
 
     def _break(self) -> None:
         if self.lines[-1].text or self.lines[-1].tags:
@@ -79,8 +90,9 @@ class _Lines(HTMLParser):
         line.inside = tuple(c for _, c, _ in self.stack if c)
 
     def _close(self, count: int) -> None:
-        for tag, _, _ in self.stack[count:]:
+        for tag, _, skipped in self.stack[count:]:
             self.anchors -= tag == "a"
+            self.muted -= skipped and tag not in _BLOCK
         del self.stack[count:]
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
@@ -92,6 +104,10 @@ class _Lines(HTMLParser):
                 self._break()
             return
         if tag in _BLOCK:
+            if self.stack and tag not in ("html", "title") and any(t == "head" for t, _, _ in self.stack[:2]):
+                self._close(next(k for k, (t, _, _) in enumerate(self.stack) if t == "head"))
+            if tag in ("article", "main"):  # in a form around the page, or after a menu that was never closed
+                self.stack = [(t, c, s and t not in ("form", "nav", "header")) for t, c, s in self.stack]
             for k in range(len(self.stack) - 1, -1, -1):  # a block ends an open paragraph
                 if self.stack[k][0] == "p":
                     self._close(k)
@@ -105,14 +121,15 @@ class _Lines(HTMLParser):
                     break
                 if self.stack[k][0] in _HOLDERS:
                     break
-        skipped = _is_skipped(tag, attrs)
+        skipped = _is_skipped(tag, attrs) and not (self.forms and tag == "form")
         number = 0
         if tag in _CONTAINER:
             number = len(self.names) + 1
             self.names[number] = tag
         self.stack.append((tag, number, skipped))
         self.anchors += tag == "a"
-        if tag in _BLOCK or skipped:
+        self.muted += skipped and tag not in _BLOCK
+        if tag in _BLOCK:
             self._break()
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
@@ -124,13 +141,15 @@ class _Lines(HTMLParser):
         self.lines[-1].tags += 1
         for k in range(len(self.stack) - 1, -1, -1):
             if self.stack[k][0] == tag:
-                block = tag in _BLOCK or any(t in _BLOCK or s for t, _, s in self.stack[k:])
+                block = any(t in _BLOCK for t, _, _ in self.stack[k:])
                 self._close(k)
                 if block:
                     self._break()
                 return
 
     def handle_data(self, data: str) -> None:
+        if self.muted:
+            return
         line = self.lines[-1]
         line.text.append(data)
         if self.anchors:
@@ -164,8 +183,13 @@ def main_text(html: str) -> str:
     element with the most content characters is the region; without one, the smallest container that
     has at least three fifths of them; if that is the whole page, from its first content line to its last. All
     lines of the region stay that are not in skipped parts (and, without an article element, not mostly links).
+    A page whose text is all in forms is read with them.
     """
-    parser = _Lines()
+    return _region_text(html, False) or ("<form" in html.lower() and _region_text(html, True)) or ""
+
+
+def _region_text(html: str, forms: bool) -> str:
+    parser = _Lines(forms)
     parser.feed(html)
     parser.close()
     lines = [(text, line) for line in parser.lines if not line.skipped and (text := " ".join("".join(line.text).split()))]
