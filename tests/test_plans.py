@@ -6,8 +6,8 @@ from tidemark.catalog import OPS, Tables
 from tidemark.sources import bars as feed
 
 SF = "/root/testdata/sf0.001"
-#: The only user-function hook.
-PYTHON = {"rolling_apply"}
+#: The hooks for user functions.
+PYTHON = {"rolling_apply", "grouped_apply"}
 #: A one-row list of codes or series, or a table ordered for the reader.
 SINGLE = {"calendar_align", "dense_grid", "rolling_mean_union", "backtest_report", "order_by_time_code", "last_row"}
 

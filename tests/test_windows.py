@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tests.helpers import close_to, column, panel
 from tidemark.functions.frames import Rows, day_windows, rolling_apply, sliding_windows, with_monotone
+from tidemark.functions.scalars import field_or_zero
 from tidemark.operators import momentum
 from tidemark.plans import halo
 from tidemark.plans.recurrence import exponential_means
@@ -97,6 +98,20 @@ def test_long_series_patterns(spark):
     assert all(close_to(a, b) for a, b in zip(total, np.cumsum(x)))
 
 
+def test_long_series_equals_the_plain_operator(spark):
+    x = [float(k * 7 % 23) for k in range(300)]
+    df = panel(spark, x, "A").union(panel(spark, x[::-1], "B"))
+    plain = df.withColumn("m", ROWS.std("close", 9))
+    cut = halo.long_series(df, 9, 16, lambda b, rows: b.withColumn("m", rows.std("close", 9)))
+    assert cut.columns == plain.columns
+    assert [(r["code"], r["dt"], r["m"]) for r in cut.orderBy("code", "dt").collect()] == [(r["code"], r["dt"], r["m"]) for r in plain.orderBy("code", "dt").collect()]
+
+
+def test_nested_numbers_default_to_zero(spark):
+    df = spark.createDataFrame([(((3.0,),),), ((None,),), (None,)], "a struct<b: struct<c: double>>")
+    assert [r[0] for r in df.select(field_or_zero("a", "b", "c")).collect()] == [3.0, 0.0, 0.0]
+
+
 def test_nan_becomes_null_on_read(spark, tmp_path):
     panel(spark, [1.0, float("nan"), 3.0]).write.parquet(str(tmp_path / "p"))
     assert column(feed.read_panel(spark, str(tmp_path / "p")), "close") == [1.0, None, 3.0]

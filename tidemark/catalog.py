@@ -13,6 +13,7 @@ from tidemark.functions.frames import Rows
 from tidemark.operators import alligator, charts, drawdown, momentum, noise, qrs, returns, trades
 from tidemark.plans import halo
 from tidemark.sources import bars as feed
+from tidemark.streaming.bars import stream_bars
 
 ROWS, HOURS, FLOW = Rows(), Rows(("code",), "trade_time"), Rows(("series",), "dt")
 OPEN_TIME, CLOSE_TIME = "09:00:00", "15:00:00"
@@ -268,6 +269,17 @@ def _sig_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
     return alligator.alligator_signal(b), alligator.ao_signal(b), alligator.fractal_signal(b)
 
 
+def _summary(group):
+    """A user's function for grouped_apply."""
+    return group.groupby("code", as_index=False).agg(n=("close", "size"), top=("close", "max"))
+
+
+def _window_bars(t: Tables) -> DataFrame:
+    ticks = t.raw("events").withColumns({"ts": F.col("ts").cast("timestamp"), "one": F.lit(1)})
+    bars = stream_bars(ticks, "6 hours", "1 day", "event_type", "ts", "value", "one")
+    return bars.withColumn("trade_time", F.col("trade_time").cast("timestamp_ntz"))
+
+
 OPS: list[Op] = [
     # sources and shape
     Op("ohlcv_bars", "code dt open high low close volume", lambda t: t.bars, "SELECT * FROM bars"),
@@ -461,8 +473,15 @@ OPS: list[Op] = [
     Op("rescale", "code dt a:6 b:6", lambda t: t.bars.select("code", "dt", *[f(F.col("close"), F.min("close").over(frames.Window.partitionBy("code")), F.max("close").over(frames.Window.partitionBy("code")), 2, 9).alias(n) for f, n in ((scalars.rescale_from_min, "a"), (scalars.rescale_from_max, "b"))]),
        "SELECT code, dt, CASE WHEN hi = lo THEN 2 ELSE 2 + (close - lo) / (hi - lo) * (CASE WHEN hi / nullif(lo, 0) < 4.5 THEN hi / lo * 2 ELSE 9 END - 2) END AS a, CASE WHEN hi = lo THEN 9 ELSE (CASE WHEN hi / nullif(lo, 0) < 4.5 THEN 9 / (hi / lo) ELSE 2 END) + (close - lo) / (hi - lo) * (9 - (CASE WHEN hi / nullif(lo, 0) < 4.5 THEN 9 / (hi / lo) ELSE 2 END)) END AS b "
        "FROM (SELECT *, max(close) OVER (PARTITION BY code) AS hi, min(close) OVER (PARTITION BY code) AS lo FROM bars)"),
+    Op("renormalize", "code dt v:6", lambda t: t.bars.withColumn("v", scalars.renormalize("close", 0, 100_000, -1, 1)), "SELECT *, -1 + (close - 0) / 100000.0 * 2 AS v FROM bars"),
+    Op("grouped_apply", "code n:i top", lambda t: frames.grouped_apply(t.bars.select("code", "close"), _summary, "code string, n long, top double"), "SELECT code, count(*) AS n, max(close) AS top FROM bars GROUP BY code"),
+    Op("monthly_heatmap", "series year:i m1:3 m6:3 m12:3", lambda t: charts.monthly_heatmap(t.returns), "SELECT series, year, " + ", ".join(f"round(max(CASE WHEN month = {k} THEN ret END), 3) AS m{k}" for k in (1, 6, 12)) + " FROM mo GROUP BY 1, 2", [BARS, RETURNS, MONTHLY]),
+    Op("metric_table", "series metric value:5", lambda t: charts.metric_table(returns.max_drawdowns(t.returns)), "SELECT series, 'max_drawdown' AS metric, max_drawdown AS value FROM mdd", [BARS, RETURNS, *MAXDD]),
+    Op("window_bars", "code trade_time open high low close volume", lambda t: _window_bars(t),
+       "SELECT event_type AS code, time_bucket(INTERVAL 6 HOURS, ts) AS trade_time, first(value ORDER BY ts, value) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, value) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2", ["z AS (SELECT 1)"]),
     # long series
     Op("long_series_mean", "code dt v:4", lambda t: halo.long_mean(halo.global_sequence(t.bars), "close", 20, 256, "v"), f"SELECT *, {full('close', 20, 'avg(close)')} AS v FROM bars"),
+    Op("qrs_signal_long", "code dt signal:6", lambda t: halo.long_series(t.bars, 617, 1024, lambda b, rows: qrs.qrs_signal(b, rows=rows)), "SELECT code, dt, zscore * regulation AS signal FROM z WHERE rn >= 616", QRS),
     Op("long_series_sum", "code dt v:0", lambda t: halo.long_running_sum(halo.global_sequence(t.bars), F.col("volume"), 256, "v"), f"SELECT *, sum(volume) OVER {run()} AS v FROM bars"),
 ]
 

@@ -146,3 +146,8 @@ def rolling_apply(df: DataFrame, x: str, n: int, function, out: str, rows: Rows
 
     full = F.when(F.count(col(x)).over(rows.trail(n)) == n, rows.windows(x, n))
     return df.withColumn("__window", full).withColumn(out, apply("__window")).drop("__window")
+
+
+def grouped_apply(df: DataFrame, function, schema: str, keys: Sequence[str] = ("code",)) -> DataFrame:
+    """A user's function from pandas frame to pandas frame on each group. A whole group must fit in one task."""
+    return df.groupBy(*keys).applyInPandas(function, schema)

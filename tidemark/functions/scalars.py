@@ -65,3 +65,16 @@ def rescale_from_max(x: Column, low: Column, high: Column, to_low: float, to_hig
     times = ratio(high, low)
     bottom = F.when(times < to_high / to_low, ratio(F.lit(float(to_high)), times)).otherwise(F.lit(float(to_low)))
     return F.when(high == low, F.lit(float(to_high))).otherwise(bottom + ratio(x - low, high - low) * (to_high - bottom))
+
+
+def renormalize(x: Column | str, from_low: float, from_high: float, to_low: float, to_high: float) -> Column:
+    """Map one range onto another linearly."""
+    return to_low + ratio(col(x) - from_low, F.lit(float(from_high - from_low))) * (to_high - to_low)
+
+
+def field_or_zero(x: Column | str, *path: str) -> Column:
+    """A number inside nested structs, 0 where any step is missing."""
+    found = col(x)
+    for name in path:
+        found = found.getField(name)
+    return F.coalesce(found, F.lit(0))

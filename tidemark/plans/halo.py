@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.frames import Rows
+
 
 def global_sequence(df: DataFrame, key: str = "code", time: str = "dt", coarse: str = "month", out: str = "seq") -> DataFrame:
     """Number a key's rows from 0 in time order without sorting the key in one task.
@@ -35,6 +39,18 @@ def with_halo(df: DataFrame, look_back: int, bucket: int, seq: str = "seq") -> D
     return df.withColumn("__place", F.explode(places)).select("*", "__place.bucket", "__place.in_halo").drop("__place")
 
 
+def long_series(
+    df: DataFrame, look_back: int, bucket: int, operator: Callable[[DataFrame, Rows], DataFrame], key: str = "code", time: str = "dt", coarse: str = "month"
+) -> DataFrame:
+    """Any operator with a bounded look-back over series that may each be too long for one task.
+
+    ``operator(df, rows)`` gets the rows of each bucket behind the ``look_back - 1`` rows before it, with ``rows``
+    naming key and bucket; it must pass columns through. A series is cut into tasks of ``bucket`` rows.
+    """
+    work = with_halo(global_sequence(df, key, time, coarse, "__seq"), look_back, bucket, "__seq")
+    return operator(work, Rows((key, "bucket"), time)).where("not in_halo").drop("bucket", "in_halo", "__seq")
+
+
 def long_mean(df: DataFrame, x: str, n: int, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
     """Trailing mean of n rows of series that may each be too long for one task."""
     w = Window.partitionBy(key, "bucket").orderBy(seq).rowsBetween(-(n - 1), 0)
