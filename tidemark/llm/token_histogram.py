@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import settled, whole_text
 
 #: Lengths summed in one window partition; only sums per block meet in one task.
 BLOCK = 1024
@@ -52,6 +52,7 @@ def length_histogram(lengths: DataFrame) -> DataFrame:
     gives an empty result, a null length is left out.
     """
     counts = lengths.where("n_tokens IS NOT NULL").groupBy("n_tokens").agg(F.count("*").alias("n_docs"))
+    counts, _ = settled(counts)  # read twice below, and as small as the longest document allows
     counts = counts.withColumn("block", F.expr(f"n_tokens div {BLOCK}")).withColumn("tokens", F.col("n_tokens") * F.col("n_docs"))
     above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)
     everywhere = Window.partitionBy()
