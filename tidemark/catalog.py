@@ -170,8 +170,9 @@ NOISE = [
     f"""sig AS (SELECT *, {full("distance", 14, "avg(distance)", "code, tod", "trade_time")} AS sigma FROM dist)""",
     f"""closes AS (SELECT code, day, lag(close) OVER {o("code", "day")} AS prev_close FROM ngrid WHERE tod = '{CLOSE_TIME}')""",
     f"opens AS (SELECT code, day, open AS today_open FROM ngrid WHERE tod = '{OPEN_TIME}')",
+    f"ends AS (SELECT code, day, close AS prev_close FROM ngrid WHERE tod = '{CLOSE_TIME}')",
     """levels AS (SELECT s.*, o.today_open, c.prev_close FROM sig s LEFT JOIN opens o ON o.code = s.code AND o.day = s.day
-      LEFT JOIN closes c ON c.code = s.code AND c.day = s.day WHERE s.present)""",
+      ASOF LEFT JOIN ends c ON c.code = s.code AND c.day < s.day WHERE s.present)""",
 ]
 DRAWDOWN = [
     BARS, RETURNS,

@@ -57,17 +57,29 @@ def day_levels(grid: DataFrame, open_time: str = "09:30:00", close_time: str = "
     return at_open.join(closes.withColumn("prev_close", days.lag("c")).drop("c"), ["code", "day"], "full")
 
 
+def with_levels(grid: DataFrame, open_time: str = "09:30:00", close_time: str = "15:00:00") -> DataFrame:
+    """``today_open`` and ``prev_close`` on every row: the day's opening bar, and the close of the last grid row at the
+    closing time on a day before (null if the code has no bar there).
+
+    Windows inside a code only, so rows stay where the other windows put them; no join.
+    """
+    opens = F.max(F.when(F.col("tod") == open_time, F.col("open"))).over(Window.partitionBy("code", "day"))
+    earlier = Window.partitionBy("code").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    closes = F.last(F.when(F.col("tod") == close_time, F.struct(F.col("close").alias("c"))), ignorenulls=True).over(earlier)
+    return grid.withColumn("today_open", opens).withColumn("prev_close", closes["c"])
+
+
 def noise_area(bars: DataFrame, window: int = 14, open_time: str = "09:30:00", close_time: str = "15:00:00", keep_columns: bool = True) -> DataFrame:
     """Input rows with ``upperbound, signal`` (the close), ``lowerbound, vwap``.
 
     The bounds are the larger of the day's open and the last close times 1 + sigma, and the smaller times 1 - sigma;
     null on a code's first day and on days without its opening bar. Rows that repeat a code and time are averaged;
-    a missing bar is a null in every window of the union calendar. Closes are matched by day, not by position.
+    a missing bar is a null in every window of the union calendar. Closes are matched by day, not by position. One
+    shuffle by code beyond the grid; every window sorts inside it.
     """
     grid = noise_sigma(prepared(bars), window, open_time)
     grid = intraday_vwap(grid, F.col("day"))
-    levels = day_levels(grid, open_time, close_time)
-    found = grid.where("present").join(levels, ["code", "day"], "left")
+    found = with_levels(grid, open_time, close_time).where("present")
     upper = larger("today_open", "prev_close") * (1 + F.col("sigma"))
     lower = smaller("today_open", "prev_close") * (1 - F.col("sigma"))
     base = ["open", "close", "volume"] if keep_columns else []
