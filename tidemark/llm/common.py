@@ -48,6 +48,16 @@ def settled(df: DataFrame, rows: int | None = None) -> tuple[DataFrame, int]:
     return df.coalesce(rows // ROWS_A_PARTITION + 1), rows
 
 
+#: Rows of a narrow table (under 100 bytes each) that are broadcast at most.
+BROADCAST_ROWS = 50_000
+
+
+def lookup(df: DataFrame) -> DataFrame:
+    """A narrow table to join with: counted first, broadcast if small, else left to a shuffle join that can split skew."""
+    df, rows = settled(df)
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
 def whole_text(column: str = "text") -> Column:
     """The text, with null read as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
