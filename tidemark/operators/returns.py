@@ -47,46 +47,63 @@ def sortino(r: str = "ret") -> Column:
     return ratio(F.avg(r) * YEAR, below * F.sqrt(F.lit(float(YEAR))))
 
 
+def _with_fall(returns: DataFrame, rows: Rows) -> DataFrame:
+    cum = returns.withColumn("__cum", rows.growth("ret", 1.0))
+    return cum.withColumn("__fall", F.col("__cum") / F.greatest(F.lit(1.0), F.max("__cum").over(rows.run)) - 1)
+
+
 def max_drawdowns(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
     """``series, max_drawdown``: deepest fall from a running maximum that includes the starting capital."""
-    cum = returns.withColumn("__cum", rows.growth("ret", 1.0))
-    fall = cum.withColumn("__fall", F.col("__cum") / F.greatest(F.lit(1.0), F.max("__cum").over(rows.run)) - 1)
-    return fall.groupBy(*rows.keys).agg(F.least(F.lit(0.0), F.min("__fall")).alias("max_drawdown"))
+    return _with_fall(returns, rows).groupBy(*rows.keys).agg(F.least(F.lit(0.0), F.min("__fall")).alias("max_drawdown"))
+
+
+def _with_benchmark(returns: DataFrame, benchmark: str) -> DataFrame:
+    base = returns.where(F.col("series") == benchmark).select("dt", F.col("ret").alias("__b"))
+    return returns.join(base, "dt", "left")
+
+
+def _relative() -> list[Column]:
+    """Aggregates of ``ret`` against ``__b``, over days with both."""
+    both = F.col("ret").isNotNull() & F.col("__b").isNotNull()
+    r, b = F.when(both, F.col("ret")), F.when(both, F.col("__b"))
+    beta = ratio(F.covar_pop(r, b), F.var_pop(b))
+    return [
+        F.when(F.count(r - b) >= 2, ratio(F.avg(r - b), F.stddev_samp(r - b))).alias("information_ratio"),
+        (F.pow(1 + F.avg(r) - beta * F.avg(b), F.lit(YEAR)) - 1).alias("alpha"), beta.alias("beta"),
+    ]
 
 
-def benchmark_metrics(returns: DataFrame, benchmark: str, rows: Rows = SERIES) -> DataFrame:
+def _finished(table: DataFrame, returns: DataFrame, benchmark: str) -> DataFrame:
+    """``table`` with excess_return, and without what a benchmark has no ratio to itself for."""
+    base = returns.where(F.col("series") == benchmark).agg(annual_return().alias("__base"))
+    others = F.col("series") != benchmark
+    masked = table.withColumns({c: F.when(others, F.col(c)) for c in ("information_ratio", "alpha", "beta")})
+    joined = masked.join(F.broadcast(base), F.lit(True), "left")  # one row
+    return joined.withColumn("excess_return", F.when(others, F.col("annual_return") - F.col("__base")).otherwise(0.0)).drop("__base")
+
+
+def benchmark_metrics(returns: DataFrame, benchmark: str) -> DataFrame:
     """``information_ratio, alpha, beta, excess_return`` of every series against the benchmark series.
 
     Days are matched; a ratio needs two days with both. All but the excess return (0) are null for the benchmark.
     """
-    own = returns.where(F.col("series") == benchmark).select("dt", F.col("ret").alias("b"))
-    pairs = returns.join(own, "dt")
-    both = F.col("ret").isNotNull() & F.col("b").isNotNull()
-    r, b = F.when(both, F.col("ret")), F.when(both, F.col("b"))
-    beta = ratio(F.covar_pop(r, b), F.var_pop(b))
-    spread = F.stddev_samp(r - b)
-    stats = pairs.groupBy("series").agg(
-        F.when(F.count(r - b) >= 2, ratio(F.avg(r - b), spread)).alias("information_ratio"),
-        beta.alias("beta"), (F.pow(1 + F.avg(r) - beta * F.avg(b), F.lit(YEAR)) - 1).alias("alpha"),
-    )
-    yearly = returns.groupBy("series").agg(annual_return().alias("a"))
-    base = yearly.where(F.col("series") == benchmark).select(F.col("a").alias("base"))
-    excess = yearly.join(F.broadcast(base), how="left").select("series", (F.col("a") - F.col("base")).alias("excess_return"))  # one row
-    others = F.col("series") != benchmark
-    return excess.join(stats, "series", "left").select(
-        "series", *[F.when(others, F.col(c)).alias(c) for c in ("information_ratio", "alpha", "beta")], "excess_return"
-    )
+    table = _with_benchmark(returns, benchmark).groupBy("series").agg(annual_return().alias("annual_return"), *_relative())
+    return _finished(table, returns, benchmark).drop("annual_return")
 
 
 def performance_table(returns: DataFrame, benchmark: str | None = None, rows: Rows = SERIES) -> DataFrame:
     """One row per series: annual_return, cum_return, annual_vol, sharpe, max_drawdown, sortino, calmar, and with a
-    benchmark information_ratio, alpha, beta, excess_return."""
-    plain = returns.groupBy("series").agg(
-        annual_return().alias("annual_return"), cum_return().alias("cum_return"), annual_vol().alias("annual_vol"), sharpe().alias("sharpe"), sortino().alias("sortino")
+    benchmark information_ratio, alpha, beta, excess_return.
+
+    One pass: the benchmark's days are joined on, the fall is a window, everything else one aggregation.
+    """
+    work = _with_fall(returns if benchmark is None else _with_benchmark(returns, benchmark), rows)
+    table = work.groupBy("series").agg(
+        annual_return().alias("annual_return"), cum_return().alias("cum_return"), annual_vol().alias("annual_vol"), sharpe().alias("sharpe"), sortino().alias("sortino"),
+        F.least(F.lit(0.0), F.min("__fall")).alias("max_drawdown"), *([] if benchmark is None else _relative()),
     )
-    table = plain.join(max_drawdowns(returns, rows), "series")
     table = table.withColumn("calmar", F.when(F.col("max_drawdown") < 0, ratio("annual_return", F.abs("max_drawdown"))))
-    return table if benchmark is None else table.join(benchmark_metrics(returns, benchmark, rows), "series", "left")
+    return table if benchmark is None else _finished(table, returns, benchmark)
 
 
 def metric_rows(table: DataFrame, series: str = "series") -> DataFrame:
