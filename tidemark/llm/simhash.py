@@ -148,13 +148,13 @@ def trie_links(left: np.ndarray, right: np.ndarray | None, depth: int, errors: i
     return both[linked], both[root[linked]]
 
 
-def _join_group(table: pa.Table) -> pa.Table:
+def _join_group(table: pa.Table, budget: int) -> pa.Table:
     """One pair of subtrees: rows ``depth, errors, side, fp``."""
     depth, errors = table.column("depth")[0].as_py(), table.column("errors")[0].as_py()
     side = table.column("side").to_numpy()
     fp = table.column("fp").to_numpy().view(np.uint64)
     left, right = np.unique(fp[side == 0]), np.unique(fp[side == 1])
-    src, dst = trie_links(left, right if (side == 1).any() else None, depth, errors, table.column("budget")[0].as_py())
+    src, dst = trie_links(left, right if (side == 1).any() else None, depth, errors, budget)
     return pa.table({"src": pa.array(src.view(np.int64), pa.int64()), "dst": pa.array(dst.view(np.int64), pa.int64())})
 
 
@@ -200,9 +200,9 @@ def hamming_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, step:
         sides, count = settled(sides.select(F.lit(depth).alias("depth"), "a", "b", "errors", "s.node", "s.side"))
         sides = F.broadcast(sides) if count <= BROADCAST_PAIRS else sides
         rows = prints.withColumn("node", F.shiftrightunsigned("fp", 64 - depth)).join(sides, "node")
-        rows = rows.select("depth", "a", "b", "errors", "side", "fp", F.lit(budget).alias("budget"))
+        rows = rows.select("depth", "a", "b", "errors", "side", "fp")
         members = rows if members is None else members.unionByName(rows)
-    return members.groupBy("depth", "a", "b").applyInArrow(_join_group, "src long, dst long")
+    return members.groupBy("depth", "a", "b").applyInArrow(lambda table: _join_group(table, budget), "src long, dst long")
 
 
 def near_duplicates(
@@ -221,7 +221,8 @@ def near_duplicates(
     placed = linked.select(F.col("node").alias("fp"), "root").join(prints, "fp")
     groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
     named = placed.join(groups, "root").select("fp", "component_id")
-    known = prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id"))
+    # written out, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
+    known = cut_lineage(prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(known, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
