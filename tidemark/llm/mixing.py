@@ -41,10 +41,9 @@ def source_rates(
     for name, value in (weights or {}).items():
         weight = F.when(F.col("src") == name, F.lit(float(value))).otherwise(weight)
     weighed = cut_lineage(size.withColumn("weight", weight))
-    total = weighed.agg(F.sum("size").alias("all_size"), F.sum("weight").alias("all_weight"))
-    rates = weighed.crossJoin(F.broadcast(total)).select(  # one row of totals
-        "src", "size", (F.lit(epochs) * F.col("all_size") * F.col("weight") / F.col("all_weight") / F.col("size")).alias("rate")
-    )
+    all_size, all_weight = weighed.agg(F.sum("size"), F.sum("weight")).first()  # two numbers
+    rate = F.lit(epochs * (all_size or 0.0)) * F.col("weight") / F.lit(all_weight or 1.0) / F.col("size")
+    rates = weighed.select("src", "size", rate.alias("rate"))
     rates = rates.withColumn("parts", F.greatest(F.lit(1), F.ceil(F.col("rate") / PART_MEAN)).cast("int"))
     mean = F.col("rate") / F.col("parts")
     cdf = F.aggregate(
