@@ -1,9 +1,11 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, with_least
 from tidemark.llm.simhash import fingerprint, hamming_links, keep_one_per_group, near_duplicates, trie_links
 
 
@@ -100,3 +102,17 @@ def test_edge_rows(spark, docs):
     assert near_duplicates(same.where("false")).count() == 0
     repeated = docs(["a b c", "a b c"], ids=[1, 1])
     assert near_duplicates(repeated).count() == 2
+
+
+@pytest.mark.parametrize("hub, nodes", [(-1, 1_001), (500, 1_000), (5_000, 1_001)])
+def test_hub_components(spark, hub, nodes):
+    edges = spark.range(1_000).select(F.col("id").alias("src"), F.lit(hub).cast("long").alias("dst"))
+    edges = edges.unionByName(spark.createDataFrame([(10_000, 10_001)], "src long, dst long"))
+    got = connected_components(edges).groupBy("root").count().orderBy("root").collect()
+    assert [tuple(r) for r in got] == [(min(hub, 0), nodes), (10_000, 2)]
+
+
+def test_least_per_key_keeps_rows_and_nulls(spark):
+    rows = spark.createDataFrame([("a", 3, 1), ("a", 2, 2), ("a", None, 3), ("b", None, 4), ("a", 2, 2)], "k string, v long, s long")
+    got = with_least(rows, "k", "v", "s", "m").orderBy("s").collect()
+    assert [tuple(r) for r in got] == [("a", 3, 1, 2), ("a", 2, 2, 2), ("a", 2, 2, 2), ("a", None, 3, 2), ("b", None, 4, None)]

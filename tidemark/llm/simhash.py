@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_lineage, settled, whole_text
-from tidemark.llm.components import connected_components
+from tidemark.llm.components import connected_components, with_least
 
 #: Hash values whose bits are counted at a time.
 HASH_BLOCK = 1 << 16
@@ -219,8 +219,7 @@ def near_duplicates(
     prints = cut_lineage(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     linked = connected_components(hamming_links(prints.select("fp"), budget, leaf))
     placed = linked.select(F.col("node").alias("fp"), "root").join(prints, "fp")
-    groups = placed.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = placed.join(groups, "root").select("fp", "component_id")
+    named = with_least(placed, "root", "least", "fp", "component_id").select("fp", "component_id")
     # written out, so that both sides of the last join are plain exchanges and a hot fingerprint can be split
     known = cut_lineage(prints.join(named, "fp", "left").select("fp", F.coalesce("component_id", "least").alias("component_id")))
     return marked.join(known, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
