@@ -157,8 +157,8 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     ``ids`` are those of the tokenizer file at ``path`` for the whole text without added special tokens
     (special tokens spelled in a text count as such), ``decoded`` the text of the ids. A null text counts as
     empty: no ids, empty text. Repeated rows get equal results, an empty table gives none, other columns are
-    not read. Chunks are remembered per worker process, within fixed bounds: sharing them between workers
-    would send every text or every id through a shuffle, which costs more than it saves.
+    not read. Chunks are remembered per worker process, within fixed bounds: a chunk that
+    several workers meet is encoded by each, since sharing would send every text or every id through a shuffle.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
