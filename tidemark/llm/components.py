@@ -24,7 +24,7 @@ def with_least(rows: DataFrame, key: str, value: str, spread: str, out: str) ->
 
     A key may hold any share of the rows: minima are combined before their shuffle, and come back by key and
     one of 64 parts (a hash of ``spread``), only to the parts that the key has rows in. So a hot key's rows
-    lie in 64 tasks, and the minima are never more than the rows.
+    spread over up to 64 tasks, and the minima are never more than the rows.
     """
     rows = rows.withColumn("__part", F.expr(f"cast(pmod(xxhash64(`{spread}`), 64) AS int)"))
     least = rows.groupBy(key).agg(F.min(value).alias(out), F.bit_or(F.expr("shiftleft(1L, __part)")).alias("__parts"))
