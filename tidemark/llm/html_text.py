@@ -180,9 +180,9 @@ def main_text(html: str) -> str:
     """The article's blocks, joined by empty lines; empty if the page has none.
 
     The page's lines that are not in skipped parts are clustered by text-to-tag ratio. The article or main
-    element with the most content characters is the region; without one, the smallest container that
-    has at least three fifths of them; if that is the whole page, from its first content line to its last. All
-    lines of the region stay that are not in skipped parts (and, without an article element, not mostly links).
+    element with the most content characters is the region, with every other one beside it that holds content;
+    without any, the smallest container that holds all content lines, or the page. All lines of the region stay
+    that are not in skipped parts.
     A page whose text is all in forms is read with them.
     """
     return _region_text(html, False) or ("<form" in html.lower() and _region_text(html, True)) or ""
@@ -196,23 +196,23 @@ def _region_text(html: str, forms: bool) -> str:
     if not lines:
         return ""
     content = content_lines(smoothed(ratios(lines)))
+    good = [c and line.linked <= len(text) / 2 for (text, line), c in zip(lines, content)]
+    good = good if any(good) else list(content)
     weight: dict[int, int] = {}
-    for (text, line), good in zip(lines, content):
-        if good and line.linked <= len(text) / 2:
+    for (text, line), g in zip(lines, good):
+        if g:
             for c in line.inside:
                 weight[c] = weight.get(c, 0) + len(text)
     named = {c: w for c, w in weight.items() if parser.names[c] in ("article", "main")}
     if named:
-        region = max(named, key=lambda c: (named[c], parser.names[c] == "article", c))
-        return "\n\n".join(text for text, line in lines if region in line.inside)
-    total = sum(len(text) for (text, line), good in zip(lines, content) if good and line.linked <= len(text) / 2)
-    fits = [c for c, w in weight.items() if w >= 0.6 * total]
-    region = max(fits) if fits else 0  # containers are numbered as they open: the last one is the innermost
-    inner = [k for k, (text, line) in enumerate(lines) if content[k] and line.linked <= len(text) / 2 and (not region or region in line.inside)]
-    if not inner:
-        return ""
-    chosen = lines if region and parser.names[region] != "body" else lines[inner[0] : inner[-1] + 1]
-    return "\n\n".join(text for text, line in chosen if (not region or region in line.inside) and (line.linked <= len(text) / 2))
+        best = max(named, key=lambda c: (named[c], parser.names[c] == "article", c))
+        around = {c for _, line in lines if best in line.inside for c in line.inside}
+        regions = {best} | (named.keys() - around)
+    else:
+        total = sum(len(text) for (text, _), g in zip(lines, good) if g)
+        whole = [c for c, w in weight.items() if w == total]
+        regions = {max(whole)} if whole else set()  # containers are numbered as they open: the last one is the innermost
+    return "\n\n".join(text for text, line in lines if not regions or not regions.isdisjoint(line.inside))
 
 
 def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
