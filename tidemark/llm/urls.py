@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Sequence
+from html.entities import html5
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -42,20 +44,65 @@ def rule_of(host: Column, path: Column, rules: Sequence[tuple[str, str, str]] =
     return found
 
 
+def unescaped(text: Column) -> Column:
+    """Character references (decimal, hexadecimal, named; with their semicolon) replaced by their characters, once."""
+    named = F.from_json(F.lit(json.dumps({f"&{k}": v for k, v in html5.items() if k.endswith(";")})), "map<string,string>")
+
+    def char(ref: Column) -> Column:
+        number = F.coalesce(F.conv(F.regexp_extract(ref, r"^&#[xX]0*([0-9a-fA-F]{1,6});$", 1), 16, 10), F.lit(""))
+        number = F.when(ref.rlike("^&#[xX]"), number).otherwise(F.regexp_extract(ref, r"^&#0*([0-9]{1,7});$", 1)).try_cast("int")
+        good = number.between(1, 0x10FFFF) & ~number.between(0xD800, 0xDFFF)
+        coded = F.decode(F.unhex(F.lpad(F.hex(F.when(good, number)), 8, "0")), "UTF-32")
+        return F.coalesce(F.when(ref.startswith("&#"), coded).otherwise(F.element_at(named, ref)), ref)
+
+    reference = "&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);"
+    parts, found = F.split(text, reference, -1), F.regexp_extract_all(text, F.lit(reference), F.lit(0))
+    joined = F.array_join(F.zip_with(parts, found, lambda p, r: F.concat(p, F.when(r.isNull(), "").otherwise(char(r)))), "")
+    return F.when(F.contains(text, F.lit("&")), joined).otherwise(text)
+
+
+def resolved(target: Column, url: Column) -> Column:
+    """The absolute address of a link target on the page ``url``; null for other schemes, fragments and nothing."""
+    scheme, host = F.regexp_extract(url, r"(?s)^(.*?)://", 1), F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
+    path = F.regexp_extract(target, r"(?s)^([^?#]*)", 1)
+    tail = F.regexp_extract(target, r"(?s)^[^?#]*(.*)$", 1)
+    own = path_of(url)
+    folder = F.regexp_replace(own, r"[^/]*$", "")
+    whole = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    steps = F.aggregate(
+        F.split(F.substring(whole, 2, 1 << 30), "/", -1), F.array().cast("array<string>"),
+        lambda done, s: F.when(s == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))).when(s == ".", done).otherwise(F.concat(done, F.array(s))),
+    )
+    ends = F.when(whole.rlike(r"/\.\.?$") & (F.size(steps) > 0), "/").otherwise("")
+    clean = F.concat(F.lit("/"), F.array_join(steps, "/"), ends)
+    return (
+        F.when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*://"), target)
+        .when(target.rlike(r"^[A-Za-z][A-Za-z0-9+.\-]*:") | target.startswith("#") | (target == ""), F.lit(None))
+        .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
+        .when(path == "", F.concat(scheme, F.lit("://"), host, own, tail))
+        .otherwise(F.concat(scheme, F.lit("://"), host, clean, tail))
+    )
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src, dst`` (addresses as in node_of): canonical links and refresh redirects that pages declare.
 
-    Only absolute targets count. Character references ``&amp;`` in a target are decoded.
+    Character references in a target are decoded; relative ones are resolved against the page's address. A
+    refresh may leave out ``url=``.
     """
+    content = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    refresh = F.regexp_extract(content, r"(?is)^[\"']?\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"'\s>]+)", 1)
+    named = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
     tags = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(
         "html IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))"
     ).select(
         "url",
         F.regexp_extract(F.regexp_extract("html", _CANONICAL_TAG, 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("canonical"),
-        F.regexp_extract(F.regexp_extract("html", _REFRESH_TAG, 0), r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("refresh"),
-    )
-    target = tags.select("url", F.explode(F.array("canonical", "refresh")).alias("to")).where("contains(`to`, '://') AND contains(url, '://')")
-    return target.select(node_of(F.col("url")).alias("src"), node_of(F.regexp_replace("to", "&amp;", "&")).alias("dst")).where("src <> dst")
+        F.regexp_extract("html", _REFRESH_TAG, 0).alias("tag"),
+    ).select("url", "canonical", F.when(refresh != "", refresh).otherwise(named).alias("refresh"))
+    target = tags.select("url", F.explode(F.array("canonical", "refresh")).alias("to")).where("`to` <> '' AND contains(url, '://')")
+    target = target.withColumn("to", unescaped(F.col("to"))).withColumn("to", resolved(F.col("to"), F.col("url"))).where("`to` IS NOT NULL")
+    return target.select(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst")
 
 
 def judge_urls(
