@@ -34,3 +34,168 @@ def test_ends_of_a_page_and_linked_lines_stay():
 
 def test_menus_beside_articles_stay_out():
     assert text(f"<article>{P(LONG)}<nav>no</nav></article><div><a href=x>x</a></div><article>{P(SHORT)}</article>") == LONG + SHORT
+
+
+# --- odd markup ---
+
+@pytest.mark.parametrize("page, want", [
+    ("<p>a</p><![foo[x]]>", "a"), ("<p>a</p><![ x", "a"), ("<![CDATA[x]]><p>b", "b"), ("<![if IE]><p>y</p><![endif]>", "y"), ("<p>a</p><!-- never closed <p>b", "a"),
+    ("<p>a<!--> b</p>", "a b"), ("<p>a<!-- x --!>b</p>", "ab"), ("<?php x ?><p>z", "z"), ("<p>a</p><a href='x", "a"), ("<!doctype html><p>q</p><!bad", "q"), ("</p><p>x</b></i>", "x"),
+])
+def test_no_markup_raises(page, want):
+    assert html_text.main_text(page) == want
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + "<p>x</p>" + "</div>" * 50_000, "<article>" * 20_000 + "x", "<b>" * 20_000 + "x" + "<div></div>" * 20_000, "<p>x</p>" + "</span>" * 50_000,
+    "<p>x</p>" + "<!--" * 50_000, "<p>x</p>" + "<a " * 50_000, "<p>x</p>" + "<li>" * 50_000, "<form>" * 20_000 + "<main>" * 20_000 + "x",
+])
+def test_time_and_memory_follow_the_page(page):
+    import time
+    import tracemalloc
+
+    began = time.time()
+    assert html_text.main_text(page) == "x"
+    assert time.time() - began < 10
+    tracemalloc.start()
+    html_text.main_text(page)
+    assert tracemalloc.get_traced_memory()[1] < 1000 * len(page) ** 0.5 + 150 * len(page)
+    tracemalloc.stop()
+
+
+# --- what stays in an article ---
+
+@pytest.mark.parametrize("page, want", [
+    ("<article><header><h1>Title</h1></header><p>Body</p></article>", ["Title", "Body"]),
+    ("<article><p class=share>Real words about share prices</p></article>", ["Real words about share prices"]),
+    ("<article><div class=share><p>Real words about share prices</p></div></article>", ["Real words about share prices"]),
+    ("<article><div class=footer-notes-article><p>Long content</p></div></article>", ["Long content"]),
+    ("<article><p>Some words</p><footer>by me</footer></article>", ["Some words"]),
+])
+def test_names_alone_drop_no_article_text(page, want):
+    assert text(page) == want
+
+
+def test_comments_in_nested_articles_go():
+    assert text(f"<article><h1>Top</h1>{P(LONG)}<div id=r><article><p>A reader writes this.</p></article><article><p>Another one too.</p></article></div></article>") == ["Top", *LONG]
+    assert text(f"<article class=wrap><p>A lead of a few words.</p><article>{P(LONG)}</article></article>") == ["A lead of a few words.", *LONG]
+
+
+# --- against a plain version, on random pages without any telling names ---
+
+WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa".split()
+
+
+def random_page(rng):
+    """A tree ``(tag, children or text)`` of a page: menus, a content part or several, lists of links."""
+    words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+    menu = lambda: (rng.choice(["div", "ul", "section"]), [("li", [("a", words(rng.randint(1, 2)))]) for _ in range(rng.randint(2, 9))])
+    prose = lambda: [(rng.choice(["p", "p", "p", "h2", "blockquote"]), words(rng.choice([1, 4, 12, 40, 90]))) for _ in range(rng.randint(1, 7))]
+    part = lambda: (rng.choice(["div", "section", "article", "main", "td"][: rng.choice([2, 5])]), prose() + [menu()] * (rng.random() < 0.2) + ([part()] if rng.random() < 0.3 else []))
+    return ("body", [x() for x in rng.choices([menu, part, lambda: ("p", words(5)), lambda: ("div", [("p", [("a", words(3))])])], k=rng.randint(1, 6))])
+
+
+def as_html(node):
+    tag, inner = node
+    return f"<{tag}>" + (inner if isinstance(inner, str) else "".join(map(as_html, inner))) + f"</{tag}>"
+
+
+def plain_lines(node):
+    """``text, tags, linked, path`` of each line; the path has (number, tag) of every container, outermost first."""
+    lines, number = [["", 0, 0, ()]], [0]
+
+    def walk(node, path, linked):
+        tag, inner = node
+        lines[-1][1] += 1
+        if tag in "div section article main td body ul ol table".split():
+            number[0] += 1
+            path = (*path, (number[0], tag))
+        if tag != "a":
+            lines.append(["", 0, 0, path])
+        for x in [inner] if isinstance(inner, str) else inner:
+            if isinstance(x, str):
+                lines[-1][0] += x
+                lines[-1][2] += len(x) * (linked or tag == "a")
+            else:
+                walk(x, path, linked or tag == "a")
+        lines[-1][1] += 1
+        if tag != "a":
+            lines.append(["", 0, 0, path if tag not in "div section article main td body ul ol table".split() else path[:-1]])
+
+    walk(node, (), False)
+    # an empty line without tags is not begun anew
+    return [x for x in lines if x[0]]
+
+
+def plain_text(node):
+    import math
+
+    rows = plain_lines(node)
+    if not rows:
+        return ""
+    raw = [len(t) / max(1, tags) for t, tags, _, _ in rows]
+    smooth = []
+    for i in range(len(raw)):
+        near = [(math.exp(-((i - j) ** 2) / 2), raw[j]) for j in range(max(0, i - 2), min(len(raw), i + 3))]
+        smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
+    mean = sum(smooth) / len(smooth)
+    limit = min(math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), max(smooth))
+    good = [s >= limit - 1e-9 and linked * 2 <= len(t) for s, (t, _, linked, _) in zip(smooth, rows)]
+    strong = good
+    if not any(good):
+        good = [linked * 2 <= len(t) for t, _, linked, _ in rows]
+    if not any(good):
+        good = [True] * len(rows)
+    weight = lambda c, marks=good: sum(len(r[0]) for r, g in zip(rows, marks) if g and c in r[3])
+    parts = sorted({c for r in rows for c in r[3]})
+    articles = [c for c in parts if c[1] in ("article", "main") and weight(c)]
+    inside = lambda c, outer: any(c in r[3] and outer in r[3][: r[3].index(c)] for r in rows)
+    if articles:
+        best = max(articles, key=lambda c: (weight(c), c[1] == "article", c))
+        region = [c for c in articles if c == best or not inside(best, c)]
+        lost = []
+        for c in parts:
+            outer = [o for o in region if o[1] == "article" and inside(c, o)]
+            if c[1] == "article" and outer:
+                nearest = max(outer)
+                inner = [x for x in parts if x[1] == "article" and inside(x, nearest) and not any(inside(x, o) for o in region if o[1] == "article" and inside(o, nearest))]
+                if weight(nearest) - sum(map(weight, inner)) >= weight(c):
+                    lost.append(c)
+    else:
+        total = sum(len(r[0]) for r, g in zip(rows, good) if g)
+        region, lost = [max(c for c in parts if c[1] in "body div section td".split() and weight(c) == total)], []
+        if region[0][1] == "body":
+            lost = [c for c in parts if c[1] != "body" and not weight(c, strong) and 2 * sum(r[2] for r in rows if c in r[3]) > sum(len(r[0]) for r in rows if c in r[3])]
+    return "\n\n".join(t for t, _, _, path in rows if any(c in path for c in region) and not any(c in path for c in lost))
+
+
+def test_random_pages_equal_plain_version(monkeypatch):
+    import random
+
+    rng = random.Random(5)
+    pages = [random_page(rng) for _ in range(1500)]
+    found = [html_text.main_text(as_html(p)) for p in pages]
+    for page, got in zip(pages, found):
+        assert got == plain_text(page), as_html(page)
+    monkeypatch.setattr(html_text, "content_lines", lambda values: [True] * len(values) if not hasattr(values, "astype") else values > -1)
+    unclustered = sum(html_text.main_text(as_html(p)) != f for p, f in zip(pages, found))
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "smoothed", lambda values: values)
+    unsmoothed = sum(html_text.main_text(as_html(p)) != f for p, f in zip(pages, found))
+    assert unclustered > 150 and unsmoothed > 30, (unclustered, unsmoothed)
+
+
+@pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=a7>%s</div>", "<section>%s</section>", "<table><tr><td>%s</td></tr></table>"])
+def test_marked_pages(wrap):
+    """Articles between unnamed menus and link lists: the clusters alone find them."""
+    import random
+
+    rng = random.Random(7)
+    exact = 0
+    for _ in range(200):
+        words = lambda n: " ".join(rng.choice(WORDS) for _ in range(n))
+        blocks = [words(rng.choice([3, 30, 60, 120])) for _ in range(rng.randint(3, 12))]
+        menu = lambda: "<div><ul>" + "".join(f"<li><a href=x>{words(2)}</a></li>" for _ in range(rng.randint(4, 12))) + "</ul></div>"
+        got = html_text.main_text(f"<body><div><a href=x>{words(2)}</a></div>{menu()}{wrap % P(blocks)}{menu()}<footer>{words(9)}</footer></body>")
+        exact += got == "\n\n".join(blocks)
+    assert exact >= 190, exact
