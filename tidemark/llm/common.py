@@ -12,12 +12,15 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession) -> str:
     """Folder that the driver and all executors share.
 
-    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset (tests, a laptop)
-    is a temporary folder made; the session then remembers it as its checkpoint folder.
+    ``spark.checkpoint.dir`` names it on a cluster. Only where that is unset and Spark runs in one process
+    (tests, a laptop) is a temporary folder made; the session then remembers it as its checkpoint folder. On a
+    cluster an unset folder is an error, since machines do not see each other's disks.
     """
     named = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
+        if not named and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(named or "file://" + tempfile.mkdtemp(prefix="tidemark-"))
     return named or sc.getCheckpointDir()
 
@@ -27,6 +30,24 @@ def new_folder(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The table written to the shared folder and read back; unlike a checkpoint it is compressed and has a known size."""
+    df.write.parquet(path := new_folder(df.sparkSession, label))
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def free_name(df: DataFrame, *names: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, whatever its case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: computed once, kept in the shared folder, survives lost executors."""
     shared_dir(df.sparkSession)
@@ -76,3 +97,9 @@ def slices(batch, column: int, limit: int = 4 << 20):
         held += size
     if start < len(sizes):
         yield batch.slice(start)
+
+
+def sliced(batches, column: int, limit: int = 4 << 20):
+    """All batches cut as by ``slices``; empty ones give nothing."""
+    for batch in batches:
+        yield from slices(batch, column, limit)

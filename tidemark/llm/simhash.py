@@ -9,8 +9,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, settled, whole_text
+from tidemark.llm.common import cut_lineage, free_name, settled, sliced, whole_text
 from tidemark.llm.components import connected_components, with_least
+from tidemark.llm.near_copies import near_copies
 
 #: Hash values whose bits are counted at a time.
 HASH_BLOCK = 1 << 16
@@ -47,15 +48,15 @@ def fingerprint(text: str, shingle_words: int = 3) -> int:
 
 
 def simhash(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 3) -> DataFrame:
-    """``id_col, fp`` (long) of every row; a null text counts as empty, ids may repeat or be null."""
-    kept = docs.select(F.col(id_col).cast("long").alias("doc_id"), whole_text(text_col).alias("text"))
+    """``id_col, fp`` (long) of every row; a null text counts as empty, ids are of any type and may repeat or be null."""
+    kept = docs.select(F.col(id_col).alias("doc_id"), whole_text(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            prints = [fingerprint(t.as_py(), shingle_words) for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
+        for part in sliced(batches, 1):
+            prints = [fingerprint(t.as_py(), shingle_words) for t in part.column(1)]
+            yield pa.record_batch([part.column(0), pa.array(prints, pa.int64())], names=["doc_id", "fp"])
 
-    return kept.mapInArrow(run, "doc_id long, fp long").withColumnRenamed("doc_id", id_col)
+    return kept.mapInArrow(run, f"doc_id {docs.schema[id_col].dataType.simpleString()}, fp long").withColumnRenamed("doc_id", id_col)
 
 
 # --- trie self-join inside one pair of subtrees -------------------------------------------------
@@ -225,12 +226,16 @@ def near_duplicates(
     return marked.join(known, "fp").select(F.col("doc_id").alias(id_col), "fp", "component_id")
 
 
-def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", similarity: float | None = None, **options) -> DataFrame:
     """Rows of ``docs`` whose id is the smallest of their near-duplicate group; columns as they were.
 
+    Without ``similarity`` groups are those of ``near_duplicates`` (fingerprints within a bit budget). With it, texts
+    are linked at that Jaccard similarity of their word shingles or more, five words unless ``shingle_words`` says
+    otherwise: a trie cannot carry the bits that 0.8 needs, so candidates then come from ``near_copies``.
     Rows that repeat one id stand or fall together; rows with a null id cannot be told apart and stay
     only if a whole group has none.
     """
-    groups = near_duplicates(docs, id_col, text_col, **options)
-    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(keep, F.col(id_col).cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    groups = near_duplicates(docs, id_col, text_col, **options) if similarity is None else near_copies(docs, id_col, text_col, least=similarity, **options)
+    (name,) = free_name(docs, "keep")
+    keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
+    return docs.join(keep, F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
