@@ -9,24 +9,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import sliced, whole_text
 
 #: Kinds in the order that breaks ties of position: the base ones, then those that cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
 KINDS = (*BASE_KINDS, "login", "secret", "iban", "ssn")
-#: Words that announce a credential or an account, in lower case.
-SECRET_CUES = ("token", "secret", "password", "passwd", "pwd", "api_key", "api-key", "apikey", "access_key", "private_key")
+#: Words that announce a credential or an account, in lower case; the text is searched without regard to ASCII case.
+PASSWORD_CUES = ("password", "passwd", "passphrase", "pwd")
+SECRET_CUES = (
+    "token", "secret", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "authkey", "auth_key", "auth-key",
+)
 ACCOUNT_CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn"}
 
+_UPPER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
-_USERINFO = re.compile(r"[^\s/?#@:]{1,256}:[^\s/?#@]{1,256}(?=@)")
-_VALUE = re.compile(r"[A-Za-z_-]{0,16}[\"']?[ ]?(?::=|=>|[:=])[ ]?[\"']?([A-Za-z0-9_./+=~-]{12,4096})")
-_IBAN = re.compile(r"[^A-Za-z0-9\n]{0,8}(?:no\.?|number|code)?[^A-Za-z0-9\n]{0,4}([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30})")
-_SSN = re.compile(r"[^0-9\n]{0,16}([0-9]{3}-[0-9]{2}-[0-9]{4})(?![0-9-])")
+_USERINFO = re.compile(r"[^\s/?#@\"'<>]++(?=@)")
+#: The rest of the name that holds the cue, then an assignment, then a value up to what cannot belong to it.
+_VALUE = re.compile(r"[A-Za-z0-9_-]*+[\"']?[ ]?(?::=|=>|(?P<set>=)|:)[ ]?(?P<quote>[\"'])?(?P<value>[A-Za-z0-9_./+=~-]++)")
+_PASSWORD = re.compile(r"[A-Za-z0-9_-]*+[\"']?[ ]?(?::=|=>|(?P<set>=)|:)[ ]?(?P<quote>[\"'])?(?P<value>(?(quote)[^\s\"']++|[^\s\"'<>&;,]++))")
+_IBAN = re.compile(r"[^A-Za-z0-9\n]*+(?:(?i:number|code|no\.?)[^A-Za-z0-9\n]*+)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)")
+_GAP = re.compile(r"[^0-9\n]*+")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 SPAN = "struct<kind:string,start:int,end:int,base:boolean>"
 
@@ -37,10 +44,8 @@ def _automaton():
     found = ahocorasick.Automaton()
     for mark, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((d, "digit") for d in "0123456789")]:
         found.add_word(mark, (kind, len(mark), ""))
-    cues = {cue: "secret" for cue in SECRET_CUES} | ACCOUNT_CUES
-    for cue, kind in cues.items():
-        for spelled in {cue, cue.capitalize(), cue.upper(), cue.title()}:
-            found.add_word(spelled, ("cue", len(spelled), kind))
+    for cue, kind in [*((c, "password") for c in PASSWORD_CUES), *((c, "secret") for c in SECRET_CUES), *ACCOUNT_CUES.items()]:
+        found.add_word(cue, ("cue", len(cue), kind))
     found.make_automaton()
     return found
 
@@ -56,9 +61,14 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
-def _iban_valid(text: str) -> bool:
-    bare = text.replace(" ", "")
-    return 15 <= len(bare) <= 34 and int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1
+def _iban_length(text: str) -> int:
+    """Characters of the longest beginning that is an IBAN, 0 if none: words in capitals may follow one."""
+    for end in range(len(text), 14, -1):
+        bare = text[:end].replace(" ", "")
+        if text[end - 1] != " " and not text[end : end + 1].isalnum() and 15 <= len(bare) <= 34:
+            if int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 == 1:
+                return end
+    return 0
 
 
 def _ssn_valid(text: str) -> bool:
@@ -70,14 +80,18 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
     """``(kind, start, end, base)`` in code points, end exclusive, by start and then kind.
 
     Base kinds are leftmost and do not overlap within a kind; a candidate that fails its check is passed
-    over whole. Cue kinds: user info before the at-sign of a URL, values after a credential word, IBANs and
-    social security numbers after their name. Work is proportional to the text: a parser starts at a hit
-    that its kind has not consumed and moves right, or left up to its last match.
+    over whole. Cue kinds: ``login``, user info between a scheme and an at-sign; ``secret``, what is assigned to a name
+    with a credential word in it (a digit and 12 characters, or 8 in quotes; after a password word 6 characters, with a digit unless
+    quoted or set with an equals sign); ``iban`` and ``ssn``, numbers after their name on its line. No length is capped.
+    Work is proportional to the text: a parser starts at a hit that its kind has not consumed and moves right,
+    or left up to its last match.
     """
     spans: list[tuple[str, int, int, bool]] = []
-    seen = set()
-    email_end = ip_end = card_end = phone_end = 0
-    for last, (mark, width, kind) in automaton.iter(text):
+    email_end = ip_end = card_end = phone_end = name_end = value_end = gap_end = 0
+    folded = text.lower()
+    if len(folded) != len(text):  # a letter became two: fold ASCII only
+        folded = text.translate(_UPPER)
+    for last, (mark, width, kind) in automaton.iter(folded):
         at = last - width + 1
         if mark == "digit":
             if at >= card_end:
@@ -113,11 +127,24 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
         elif mark == "scheme":
             if m := _USERINFO.match(text, last + 1):
                 spans.append(("login", m.start(), m.end(), False))
-        else:
-            parser, valid = {"secret": (_VALUE, _has_digit), "iban": (_IBAN, _iban_valid), "ssn": (_SSN, _ssn_valid)}[kind]
-            if (m := parser.match(text, last + 1)) and (kind, m.start(1)) not in seen and valid(m[1]):
-                seen.add((kind, m.start(1)))
-                spans.append((kind, m.start(1), m.end(1), False))
+        elif kind in ("secret", "password"):
+            if at < value_end or kind == "secret" and at < name_end:
+                continue
+            m = (_VALUE if kind == "secret" else _PASSWORD).match(text, last + 1)
+            if not m:
+                continue
+            name_end = m.end()  # another secret in this name or value would end there too
+            value, quoted = m["value"], bool(m["quote"])
+            if len(value) >= (6 if kind == "password" else 8 if quoted else 12) and (_has_digit(value) or kind == "password" and (quoted or bool(m["set"]))):
+                value_end = m.end()
+                spans.append(("secret", m.start("value"), value_end, False))
+        elif kind == "iban":
+            if (m := _IBAN.match(text, last + 1)) and (length := _iban_length(m[1])):
+                spans.append(("iban", m.start(1), m.start(1) + length, False))
+        elif last + 1 >= gap_end:  # words before the same number find the same one
+            gap_end = _GAP.match(text, last + 1).end()
+            if (m := _SSN.match(text, gap_end)) and _ssn_valid(m[0]):
+                spans.append(("ssn", m.start(), m.end(), False))
     spans.sort(key=lambda s: (s[1], KINDS.index(s[0])))
     return spans
 
@@ -135,12 +162,12 @@ def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
-        for batch in batches:
-            rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in find_spans(t.as_py(), automaton)] for t in batch.column(1)]
-            yield pa.record_batch([batch.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
+        for part in sliced(batches, 1):
+            rows = [[dict(zip(("kind", "start", "end", "base"), s)) for s in find_spans(t.as_py(), automaton)] for t in part.column(1)]
+            yield pa.record_batch([part.column(0), pa.array(rows, kind)], names=["id", "spans"])
 
     id_kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {id_kind}, spans array<{SPAN}>")
+    return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"id {id_kind}, spans array<{SPAN}>").withColumnRenamed("id", id_col)
 
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -157,9 +184,9 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton = _automaton()
-        for batch in batches:
-            column = pa.array([masked(t.as_py(), automaton) for t in batch.column(at)], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), column)
+        for part in sliced(batches, at):
+            column = pa.array([masked(t.as_py(), automaton) for t in part.column(at)], part.schema.field(at).type)
+            yield part.set_column(at, part.schema.field(at), column)
 
     return docs.mapInArrow(run, docs.schema)
 
