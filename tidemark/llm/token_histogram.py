@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import settled, whole_text
+from tidemark.llm.common import settled, sliced, whole_text
 
 #: Lengths summed in one window partition; only sums per block meet in one task.
 BLOCK = 1024
@@ -35,9 +35,9 @@ def token_lengths(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_i
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = _encoder(path, pattern).encode_ordinary
-        for batch in batches:
-            counts = pa.array([len(encode(t.as_py())) for t in batch.column(1)], pa.int64())
-            yield pa.record_batch([batch.column(0), counts], names=[id_col, "n_tokens"])
+        for part in sliced(batches, 1):
+            counts = pa.array([len(encode(t.as_py())) for t in part.column(1)], pa.int64())
+            yield pa.record_batch([part.column(0), counts], names=[id_col, "n_tokens"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, n_tokens long")
