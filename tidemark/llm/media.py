@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import new_folder, slices, whole_text
+from tidemark.llm.common import new_folder, sliced, whole_text, written
 
 #: Samples in an image row; a payload is filled up to whole rows with FILL.
 WIDTH, FILL = 576, b"\xff"
@@ -26,7 +26,9 @@ _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 
 INDEX = "key binary, media_sha256 binary, shard string, offset long, length long, n_bytes long"
 HEADER = "width int, height int, bit_depth int, color_type int"
-FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_ok boolean, feature string"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, feature string"
+#: At most so many repeated contents (32 bytes each) are broadcast; more are joined by shuffle.
+BROADCAST_KEYS = 200_000
 
 
 def payload_of(text: bytes) -> bytes:
@@ -81,61 +83,69 @@ def _open_folder(folder: str):
     return fs.FileSystem.from_uri(folder)
 
 
-def store_media(docs: DataFrame, folder: str | None = None, text_col: str = "text", level: int = 6) -> DataFrame:
+def _once(docs: DataFrame, keys: DataFrame, text_col: str) -> DataFrame:
+    """``key, text`` of every distinct content of ``docs``, ``keys`` having one row ``key`` per row.
+
+    A content that stands once goes on from where it lies; of the others one copy each is taken, so only these are
+    shuffled, and copies in one task are dropped before it.
+    """
+    repeated = written(keys.groupBy("key").count().where("count > 1").select("key"), "media-repeated")
+    side = F.broadcast(repeated) if repeated.count() <= BROADCAST_KEYS else repeated
+    rows = docs.select(_key(text_col).alias("key"), whole_text(text_col).alias("text"))
+    copies = rows.join(side, "key", "left_semi").groupBy("key").agg(F.any_value("text").alias("text"))
+    return rows.join(side, "key", "left_anti").unionByName(copies)
+
+
+def _key(text_col: str):
+    return F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256))
+
+
+def store_media(docs: DataFrame, folder: str | None = None, text_col: str = "text", level: int = 6, keys: DataFrame | None = None) -> DataFrame:
     """Write the texts of ``docs`` as images into tar shards below ``folder``; the index of what was written.
 
     Index rows (INDEX): ``key`` is the SHA-256 of the text, ``media_sha256`` that of the image and its name in
-    the shard, ``offset, length`` where its bytes lie. A task stores each content once; of contents that
-    several tasks met, the index keeps the first copy by shard name. A null text is stored as the empty one.
+    the shard, ``offset, length`` where its bytes lie. Each content is stored once. A null text is stored as the empty one.
     Shards get fresh names and only the index of tasks that succeeded names them, so a task may run again after
     a lost executor. ``folder`` must be shared by all machines; by default it lies in the checkpoint folder.
-    The index itself is written there as Parquet and read back.
+    The index itself is written there as Parquet and read back. ``keys`` may bring the SHA-256 of every text as ``key``.
     """
     folder = folder or new_folder(docs.sparkSession, "media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = _open_folder(folder)
         store.create_dir(f"{root}/shards")
-        seen: set[bytes] = set()
         out = name = None
         at = 0
-        for batch in batches:
-            for part in slices(batch, 0):
-                rows = []
-                for value in part.column(0).cast(pa.binary()):
-                    text = value.as_py()
-                    key = hashlib.sha256(text).digest()
-                    if key in seen:
-                        continue
-                    seen.add(key)
-                    media = to_png(payload_of(text), level)
-                    digest = hashlib.sha256(media).digest()
-                    if out is None or at > SHARD_BYTES:
-                        if out is not None:
-                            out.write(bytes(1024))
-                            out.close()
-                        name, at = f"{uuid.uuid4().hex}.tar", 0
-                        out = store.open_output_stream(f"{root}/shards/{name}")
-                    member = tarfile.TarInfo(f"{digest.hex()}.png")
-                    member.size = len(media)
-                    out.write(member.tobuf(tarfile.USTAR_FORMAT))
-                    out.write(media)
-                    out.write(bytes(-len(media) % 512))
-                    rows.append((key, digest, name, at + 512, len(media), len(text)))
-                    at += 512 + len(media) + -len(media) % 512
-                if rows:
-                    kinds = (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-                    names = [x.split()[0] for x in INDEX.split(", ")]
-                    yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
+        for part in sliced(batches, 1):
+            rows = []
+            for key, value in zip(part.column(0), part.column(1).cast(pa.binary())):
+                text = value.as_py()
+                media = to_png(payload_of(text), level)
+                digest = hashlib.sha256(media).digest()
+                if out is None or at > SHARD_BYTES:
+                    if out is not None:
+                        out.write(bytes(1024))
+                        out.close()
+                    name, at = f"{uuid.uuid4().hex}.tar", 0
+                    out = store.open_output_stream(f"{root}/shards/{name}")
+                member = tarfile.TarInfo(f"{digest.hex()}.png")
+                member.size = len(media)
+                out.write(member.tobuf(tarfile.USTAR_FORMAT))
+                out.write(media)
+                out.write(bytes(-len(media) % 512))
+                rows.append((key.as_py(), digest, name, at + 512, len(media), len(text)))
+                at += 512 + len(media) + -len(media) % 512
+            kinds = (pa.binary(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            names = [x.split()[0] for x in INDEX.split(", ")]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=names)
         if out is not None:
             out.write(bytes(1024))
             out.close()
 
-    written = docs.select(whole_text(text_col).alias("text")).mapInArrow(run, INDEX)
-    written.write.parquet(f"{folder}/index")
+    keys = docs.select(_key(text_col).alias("key")) if keys is None else keys
+    _once(docs, keys, text_col).mapInArrow(run, INDEX).write.parquet(f"{folder}/index")
     index = docs.sparkSession.read.schema(INDEX).parquet(f"{folder}/index")
-    first = index.groupBy("key").agg(F.min(F.struct("shard", "offset", "media_sha256", "length", "n_bytes")).alias("m"))
-    return first.select("key", "m.media_sha256", F.concat(F.lit(f"{folder}/shards/"), F.col("m.shard")).alias("shard"), "m.offset", "m.length", "m.n_bytes")
+    return index.withColumn("shard", F.concat(F.lit(f"{folder}/shards/"), F.col("shard")))
 
 
 def _ranges(batch: pa.RecordBatch, longest: int | None) -> Iterator[bytes]:
@@ -170,15 +180,18 @@ def read_headers(index: DataFrame) -> DataFrame:
 
 
 def read_features(index: DataFrame) -> DataFrame:
-    """``index`` with the columns of FEATURES, computed from the stored bytes read back."""
+    """``index`` with the columns of FEATURES, computed from the stored bytes read back; bytes that do not fit their digest are an error."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for media, digest in zip(_ranges(batch, None), batch.column(batch.schema.get_field_index("media_sha256")).to_pylist()):
+            digests, shards = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("media_sha256", "shard"))
+            for media, digest, shard in zip(_ranges(batch, None), digests, shards):
+                if hashlib.sha256(media).digest() != digest:
+                    raise ValueError(f"{shard} does not hold {digest.hex()} where the index says")
                 payload = from_png(media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), hashlib.sha256(media).digest() == digest, feature_of(payload)))
-            kinds = (pa.int64(), pa.string(), pa.int64(), pa.bool_(), pa.string())
-            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)]
+                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-32:]), feature_of(payload)))
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.string())
+            columns = [pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 4, kinds)]
             yield pa.record_batch([*batch.columns, *columns], names=[*batch.schema.names, *(x.split()[0] for x in FEATURES.split(", "))])
 
     return index.mapInArrow(run, f"{_columns(index)}, {FEATURES}")
@@ -194,6 +207,7 @@ def media_columns(docs: DataFrame, folder: str | None = None, id_col: str = "doc
     Equal texts share one address and all values; a null text is the empty one; repeated and null ids are
     kept; an empty table gives an empty result; other columns are not read.
     """
-    media = read_features(read_headers(by_shard(store_media(docs, folder, text_col))))
-    ids = docs.select(F.col(id_col), F.unhex(F.sha2(whole_text(text_col).cast("binary"), 256)).alias("key"))
-    return ids.join(media, "key").drop("key")
+    name = "doc"
+    ids = written(docs.select(F.col(id_col).alias(name), _key(text_col).alias("key")), "media-keys")
+    media = read_features(read_headers(by_shard(store_media(docs, folder, text_col, keys=ids.select("key")))))
+    return ids.join(media, "key").drop("key").withColumnRenamed(name, id_col)
