@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import lookup, settled, whole_text
+from tidemark.llm.common import free_name, lookup, settled, whole_text, written
 
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -22,16 +22,14 @@ def _line_table(docs: DataFrame, id_col: str, text_col: str, site_col: str) -> D
     return rows.select("doc", "text_hash", "pos", "site", F.xxhash64("line").alias("h1"), F.xxhash64(F.lit(1), "line").alias("h2"))
 
 
-def spread_lines(
-    docs: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source"
-) -> DataFrame:
-    """Boilerplate lines ``h1, h2, first``: hashes of lines on at least ``min_sites`` distinct sites.
+def spread_lines(lines: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k: int = 12) -> DataFrame:
+    """Boilerplate lines ``h1, h2, first``: hashes of lines (rows ``doc, site, h1, h2``) on at least ``min_sites`` distinct sites.
 
     One HyperLogLog sketch per line hash, merged from task to task, estimates its sites. Estimates within
     ``band`` of the limit are settled by an exact distinct count of those lines alone. With the defaults the band is
-    15 times the sketch's standard error (1.6 %), so lines outside it are on their side for certain in practice. ``first`` is the smallest document id.
+    15 times the sketch's standard error (1.6 %), so lines outside it are on their side for certain in practice. ``first`` is the
+    smallest document id, null if no document with the line has one.
     """
-    lines = _line_table(docs, id_col, text_col, site_col)
     sketches = lines.groupBy("h1", "h2").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"), F.min("doc").alias("first"))
     spread = sketches.select("h1", "h2", "first", F.hll_sketch_estimate("sketch").alias("sites"))
     spread, _ = settled(spread.where(F.col("sites") >= (1 - band) * min_sites))
@@ -43,7 +41,10 @@ def spread_lines(
 
 
 def _kept_lines(text: Column, removed: Column) -> Column:
-    return F.array_join(F.filter(F.split(text, "\n"), lambda _, k: ~F.array_contains(removed, k)), "\n")
+    """The text without the lines at the positions ``removed``, by a hashed difference of positions."""
+    parts = F.split(text, "\n")
+    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed)
+    return F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
 
 
 def dedup_lines(
@@ -55,27 +56,28 @@ def dedup_lines(
     Lines are parted by a newline and compared without outer ASCII white space; lines without a word are
     never boilerplate. A line on ``min_sites`` distinct sites or more goes from every document but, with
     ``keep_first``, the one with the smallest id. All rows stay, even with an empty text; a null text counts
-    as empty and stays null, a null site is a site of its own, a null id is never the first. Repeated rows are
-    treated alike. Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced.
+    as empty and stays null, a null site is a site of its own. A null id is never the first: a line that only
+    documents without an id have goes from all of them. Repeated rows are treated alike. Columns of ``docs`` named ``n_lines`` or ``n_removed`` are replaced.
 
-    Only hashes are shuffled to find the lines; per document, the positions to cut come back in one join.
+    Texts are split once into a written table of hashes, from which all else follows; per document, the positions to
+    cut come back in one join.
     """
     docs = docs.drop("n_lines", "n_removed")
     columns = docs.columns
-    boiler = spread_lines(docs, min_sites, band, lg_k, id_col, text_col, site_col)
-    lines = _line_table(docs, id_col, text_col, site_col)
-    hits = lines.join(lookup(boiler), ["h1", "h2"])
+    lines = written(_line_table(docs, id_col, text_col, site_col), "lines")
+    hits = lines.join(lookup(spread_lines(lines, min_sites, band, lg_k)), ["h1", "h2"])
     if keep_first:
-        hits = hits.where(~F.col("doc").eqNullSafe(F.col("first")))
-    cuts = hits.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias("__cut"))  # at most the lines of one document
-    cuts = cuts.select(F.col("doc").alias("__doc"), F.col("text_hash").alias("__hash"), "__cut")
-    same = F.col(id_col).eqNullSafe(F.col("__doc")) & (F.xxhash64(whole_text(text_col)) == F.col("__hash"))
+        hits = hits.where(F.col("first").isNull() | ~F.col("doc").eqNullSafe(F.col("first")))
+    cut, text_hash, doc = free_name(docs, "cut", "text_hash", "doc")
+    cuts = hits.groupBy("doc", "text_hash").agg(F.collect_set("pos").alias(cut))  # at most the lines of one document
+    cuts = cuts.select(F.col("doc").alias(doc), F.col("text_hash").alias(text_hash), cut)
+    same = F.col(id_col).eqNullSafe(F.col(doc)) & (F.xxhash64(whole_text(text_col)) == F.col(text_hash))
     joined = docs.join(cuts, same, "left")
-    text = F.when(F.col("__cut").isNull(), F.col(text_col)).otherwise(_kept_lines(F.col(text_col), F.col("__cut")))
+    text = F.when(F.col(cut).isNull(), F.col(text_col)).otherwise(_kept_lines(F.col(text_col), F.col(cut)))
     return joined.select(
         *[text.alias(c) if c == text_col else F.col(c) for c in columns],
         F.size(F.split(whole_text(text_col), "\n")).alias("n_lines"),
-        F.coalesce(F.size("__cut"), F.lit(0)).alias("n_removed"),
+        F.coalesce(F.size(cut), F.lit(0)).alias("n_removed"),
     )
 
 
