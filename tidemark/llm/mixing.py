@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import cut_lineage, whole_text
+from tidemark.llm.common import cut_lineage, free_name, whole_text
 
 #: A Poisson count of a larger mean is the sum of counts of equal smaller means.
 PART_MEAN = 16.0
@@ -73,27 +73,28 @@ def mix(
 
     A document's count inverts the Poisson distribution of its source's rate at a number hashed from the
     seed and the id, so it is the same in every run and on every cluster; rows that repeat an id repeat its
-    count, null ids share one. A null source is a source of its own, a null text has no size. Columns of
+    count; where the id is null a digest of the text stands for it. A null source is a source of its own, a null text has no size. Columns of
     ``docs`` named ``replica`` or ``order_key`` are replaced. Rows are dealt to tasks by a hash of id and
     replica and sorted by ``order_key`` inside, which is a global random order written part by part; no
     source or document stays in one task.
     """
-    ids = F.coalesce(F.col(id_col).cast("string"), F.lit(""))
-    rates = cut_lineage(source_rates(docs, weights, exponent, epochs, source_col, text_col).select(
-        F.col("src").alias("__src"), F.col("parts").alias("__parts"), F.col("cdf").alias("__cdf")))
-    side = F.broadcast(rates) if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else rates
     docs = docs.drop("replica", "order_key")
     columns = docs.columns
-    known = docs.join(side, F.col(source_col).eqNullSafe(F.col("__src")))
+    src, parts, cdf, n = free_name(docs, "src", "parts", "cdf", "n")
+    ids = F.coalesce(F.col(id_col).cast("string"), F.md5(whole_text(text_col).cast("binary")))
+    rates = cut_lineage(source_rates(docs, weights, exponent, epochs, source_col, text_col).select(
+        F.col("src").alias(src), F.col("parts").alias(parts), F.col("cdf").alias(cdf)))
+    side = F.broadcast(rates) if rates.limit(BROADCAST_SOURCES + 1).count() <= BROADCAST_SOURCES else rates
+    known = docs.join(side, F.col(source_col).eqNullSafe(F.col(src)))
     count = F.aggregate(
         F.transform(
-            F.sequence(F.lit(0), F.col("__parts") - 1),
-            lambda part: F.size(F.filter(F.col("__cdf"), lambda c: c <= _digits(str(seed), ids, part) / float(1 << 52))),
+            F.sequence(F.lit(0), F.col(parts) - 1),
+            lambda part: F.size(F.filter(F.col(cdf), lambda c: c <= _digits(str(seed), ids, part) / float(1 << 52))),
         ),
         F.lit(0), lambda a, b: a + b,
     )
-    copies = known.withColumn("__n", count).where("__n > 0")
-    copies = copies.select(*columns, F.explode(F.sequence(F.lit(0), F.col("__n") - 1)).alias("replica"))
+    copies = known.withColumn(n, count).where(F.col(n) > 0)
+    copies = copies.select(*(F.col(c) for c in columns), F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias("replica"))
     copies = copies.withColumn("order_key", _digits(str(seed), F.lit("order"), ids, F.col("replica")))
     return copies.repartition("order_key").sortWithinPartitions("order_key")
 
@@ -113,8 +114,8 @@ steps AS (
 cdf AS (SELECT src, parts, list(total ORDER BY k) AS cdf FROM steps GROUP BY src, parts),
 drawn AS (
   SELECT d.*, list_sum(list_transform(range(parts), lambda p: len(list_filter(cdf, lambda c: c <=
-    CAST(('0x' || substr(md5(concat_ws(':', '{seed}', coalesce(CAST(d.doc_id AS VARCHAR), ''), CAST(p AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0)))) AS n
+    CAST(('0x' || substr(md5(concat_ws(':', '{seed}', coalesce(CAST(d.doc_id AS VARCHAR), md5(coalesce(d.text, ''))), CAST(p AS VARCHAR))), 1, 13)) AS BIGINT) / 4503599627370496.0)))) AS n
   FROM documents d JOIN cdf ON d.source IS NOT DISTINCT FROM cdf.src),
 copies AS (SELECT doc_id, text, lang, source, n_chars, CAST(unnest(range(CAST(n AS BIGINT))) AS INTEGER) AS replica FROM drawn)
-SELECT *, CAST(('0x' || substr(md5(concat_ws(':', '{seed}', 'order', coalesce(CAST(doc_id AS VARCHAR), ''), CAST(replica AS VARCHAR))), 1, 13)) AS BIGINT) AS order_key
+SELECT *, CAST(('0x' || substr(md5(concat_ws(':', '{seed}', 'order', coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, ''))), CAST(replica AS VARCHAR))), 1, 13)) AS BIGINT) AS order_key
 FROM copies"""
