@@ -10,12 +10,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import whole_text
+from tidemark.llm.common import sliced, whole_text
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
 #: Texts are joined into blocks of about so many words; a longer text is a block of its own.
-BLOCK_WORDS = 200_000
+BLOCK_WORDS = 50_000
+#: Ranks kept of a block; of a longer one only those after 1, 2 and the least repeat's words are.
+KEPT_RANKS = 4_000_000
 
 COLUMNS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, n_covered_words long, longest_repeat long, base_failed boolean, kept boolean"
 
@@ -37,9 +39,11 @@ class Rules:
     max_longest_words: int = 100
 
 
-def suffix_levels(code: np.ndarray, end: np.ndarray, start_rank: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+def suffix_levels(code: np.ndarray, end: np.ndarray, start_rank: np.ndarray, wanted: set[int]) -> tuple[np.ndarray, list[np.ndarray | None]]:
     """Suffix array by prefix doubling, with the ranks after 1, 2, 4, ... words.
 
+    Once the ranks kept exceed KEPT_RANKS, those after ``2 ** k`` words for a k not ``wanted`` are given up (None).
+
     ``end[i]`` is where the text of position i ends, so texts of a block stay apart; ``start_rank`` orders
     the first words and differs between texts. A rank is the place of the first suffix with the same
     prefix; suffixes whose prefix is unique are left out of later rounds.
@@ -66,6 +70,8 @@ def suffix_levels(code: np.ndarray, end: np.ndarray, start_rank: np.ndarray) ->
         rank = rank.copy()
         rank[mine] = np.maximum.accumulate(np.where(new, at, 0))
         levels.append(rank)
+        if len(levels) * n > KEPT_RANKS:
+            levels = [x if k in wanted else None for k, x in enumerate(levels)]
         place, active = at, _tied(new)
         h *= 2
     return order, levels
@@ -88,6 +94,29 @@ def common_prefixes(i: np.ndarray, j: np.ndarray, levels: list[np.ndarray]) -> n
     return shared
 
 
+def neighbour_prefixes(order: np.ndarray, code: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Words that each suffix but the first of ``order`` shares with the one before it, in one walk along the text.
+
+    A suffix shares at least all but one of the words that the suffix a word earlier did, so the walk compares each word
+    at most twice and needs no ranks.
+    """
+    n = len(order)
+    before = np.full(n, -1, np.int64)
+    before[order[1:]] = order[:-1]
+    words, ends, shared = memoryview(code), memoryview(end), np.zeros(n, np.int64)
+    known = 0
+    for i, j in enumerate(before.tolist()):
+        if j < 0:
+            known = 0
+            continue
+        room = min(ends[i] - i, ends[j] - j)
+        while known < room and words[i + known] == words[j + known]:
+            known += 1
+        shared[i] = known
+        known = max(0, known - 1)
+    return shared[order[1:]]
+
+
 def repeats(lengths: np.ndarray, code: np.ndarray, min_repeat_words: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Per text of a block: words in recurring 3-word windows, words under long repeats, longest repeat.
 
@@ -101,7 +130,8 @@ def repeats(lengths: np.ndarray, code: np.ndarray, min_repeat_words: int) -> tup
     stop = np.cumsum(lengths)
     text = np.repeat(np.arange(texts), lengths)
     end = stop[text]
-    order, levels = suffix_levels(code, end, text * (int(code.max()) + 1) + code)
+    least = max(0, min_repeat_words.bit_length() - 1)
+    order, levels = suffix_levels(code, end, text * (int(code.max()) + 1) + code, {0, 1, least})
     at = np.arange(n)
 
     pairs = levels[1] if len(levels) > 1 else levels[0] + at * 0
@@ -112,10 +142,13 @@ def repeats(lengths: np.ndarray, code: np.ndarray, min_repeat_words: int) -> tup
     windows = _covered(whole[count[group] > 1], np.full(int((count[group] > 1).sum()), 3), n)
 
     i, j = order[:-1], order[1:]
-    coarse = min(len(levels) - 1, max(0, min_repeat_words.bit_length() - 1))
-    near = levels[coarse][i] == levels[coarse][j]
-    i, j = i[near], j[near]
-    shared = common_prefixes(i, j, levels)
+    if any(x is None for x in levels):
+        shared = neighbour_prefixes(order, code, end)
+    else:
+        coarse = min(len(levels) - 1, least)
+        near = levels[coarse][i] == levels[coarse][j]
+        i, j = i[near], j[near]
+        shared = common_prefixes(i, j, levels)
     deep = np.zeros(n, np.int64)
     np.maximum.at(deep, i, shared)
     np.maximum.at(deep, j, shared)
@@ -179,15 +212,18 @@ def score_quality(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id
     """``id_col`` and the columns of COLUMNS, one row per row of ``docs``.
 
     A null or empty text has no words and fails. Repeated rows get equal results; an empty table gives none.
-    Other columns are not read. Each text is measured whole, on its own, in the task that reads it.
+    Other columns are not read. A column of COLUMNS that is named like ``id_col`` gets an underscore. Each text is measured
+    whole, on its own, in the task that reads it.
     """
+    columns = ", ".join(f"{n}_ {t}" if n.lower() == id_col.lower() else f"{n} {t}" for n, t in (c.split() for c in COLUMNS.split(", ")))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = measure(_texts(batch.column(1)), rules)
-            yield pa.record_batch([batch.column(0), *(pa.array(v) for v in found.values())], names=[id_col, *found])
+        for part in sliced(batches, 1):
+            found = measure(_texts(part.column(1)), rules)
+            yield pa.record_batch([part.column(0), *(pa.array(found[c.split()[0]]) for c in COLUMNS.split(", "))], names=[id_col, *(c.split()[0] for c in columns.split(", "))])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {COLUMNS}")
+    return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, {columns}")
 
 
 def keep_quality(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text") -> DataFrame:
@@ -195,7 +231,7 @@ def keep_quality(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text"
     at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(measure(_texts(batch.column(at)), rules)["kept"]))
+        for part in sliced(batches, at):
+            yield part.filter(pa.array(measure(_texts(part.column(at)), rules)["kept"]))
 
     return docs.mapInArrow(run, docs.schema)
