@@ -28,9 +28,11 @@ _DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@\"'<>]++(?=@)")
-#: The rest of the name that holds the cue, then an assignment, then a value up to what cannot belong to it.
-_VALUE = re.compile(r"[A-Za-z0-9_-]*+[\"']?[ ]?(?::=|=>|(?P<set>=)|:)[ ]?(?P<quote>[\"'])?(?P<value>[A-Za-z0-9_./+=~-]++)")
-_PASSWORD = re.compile(r"[A-Za-z0-9_-]*+[\"']?[ ]?(?::=|=>|(?P<set>=)|:)[ ]?(?P<quote>[\"'])?(?P<value>(?(quote)[^\s\"']++|[^\s\"'<>&;,]++))")
+_NAME = re.compile(r"[A-Za-z0-9_-]*+")
+_SET = re.compile(r"[\"']?[ ]?(?::=|=>|(=)|:)[ ]?([\"'])?")
+_VALUE = re.compile(r"[A-Za-z0-9_./+=~-]*+")
+_PASSWORD = re.compile(r"[^\s\"'<>&;,]*+")
+_QUOTED = re.compile(r"[^\s\"']*+")
 _IBAN = re.compile(r"[^A-Za-z0-9\n]*+(?:(?i:number|code|no\.?)[^A-Za-z0-9\n]*+)?([A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}+)")
 _GAP = re.compile(r"[^0-9\n]*+")
 _SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
@@ -50,6 +52,21 @@ def _automaton():
     return found
 
 
+class _Run:
+    """Runs of characters that a pattern takes, each looked at once however many places in it are asked for."""
+
+    def __init__(self, pattern: re.Pattern, text: str) -> None:
+        self.pattern, self.text = pattern, text
+        self.begin = self.end = 0
+        self.digit = -1  # where its last digit stands
+
+    def end_from(self, at: int) -> int:
+        if not self.begin <= at < self.end:
+            self.begin, self.end = at, self.pattern.match(self.text, at).end()
+            self.digit = max(self.text.rfind(d, at, self.end) for d in "0123456789")
+        return self.end
+
+
 def luhn(digits: str) -> bool:
     """The check digit rule of card numbers."""
     total = 0
@@ -87,7 +104,8 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
     or left up to its last match.
     """
     spans: list[tuple[str, int, int, bool]] = []
-    email_end = ip_end = card_end = phone_end = name_end = value_end = gap_end = 0
+    email_end = ip_end = card_end = phone_end = value_end = gap_end = 0
+    name, plain, password, quoted_run = (_Run(p, text) for p in (_NAME, _VALUE, _PASSWORD, _QUOTED))
     folded = text.lower()
     if len(folded) != len(text):  # a letter became two: fold ASCII only
         folded = text.translate(_UPPER)
@@ -128,16 +146,14 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
             if m := _USERINFO.match(text, last + 1):
                 spans.append(("login", m.start(), m.end(), False))
         elif kind in ("secret", "password"):
-            if at < value_end or kind == "secret" and at < name_end:
+            if at < value_end or not (m := _SET.match(text, name.end_from(last + 1))):
                 continue
-            m = (_VALUE if kind == "secret" else _PASSWORD).match(text, last + 1)
-            if not m:
-                continue
-            name_end = m.end()  # another secret in this name or value would end there too
-            value, quoted = m["value"], bool(m["quote"])
-            if len(value) >= (6 if kind == "password" else 8 if quoted else 12) and (_has_digit(value) or kind == "password" and (quoted or bool(m["set"]))):
-                value_end = m.end()
-                spans.append(("secret", m.start("value"), value_end, False))
+            quoted = bool(m[2])
+            run = plain if kind == "secret" else quoted_run if quoted else password
+            length = run.end_from(m.end()) - m.end()
+            if length >= (6 if kind == "password" else 8 if quoted else 12) and (run.digit >= m.end() or kind == "password" and (quoted or bool(m[1]))):
+                value_end = m.end() + length
+                spans.append(("secret", m.end(), value_end, False))
         elif kind == "iban":
             if (m := _IBAN.match(text, last + 1)) and (length := _iban_length(m[1])):
                 spans.append(("iban", m.start(1), m.start(1) + length, False))
@@ -149,10 +165,6 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
     return spans
 
 
-def _has_digit(text: str) -> bool:
-    return any("0" <= c <= "9" for c in text)
-
-
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, spans``: one row per row of ``docs``, the spans as an array of SPAN.
 
