@@ -82,12 +82,12 @@ def test_lines_with_repeated_and_null_ids(docs):
     assert {r["text"] for r in gone.collect()} == {""}
 
 
-@pytest.mark.parametrize("name", ["op2_mixing", "op8_line_dedup", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op2_mixing", "op8_line_dedup", "op9_url_filter", "url_redirects"])
 def test_queries_equal_oracles(spark, name):
     same_rows(queries.QUERIES[name](spark, SF), queries.ORACLES[name], duck(SF))
 
 
-@pytest.mark.parametrize("name", ["op8_line_dedup", "op9_url_filter"])
+@pytest.mark.parametrize("name", ["op8_line_dedup", "op9_url_filter", "url_redirects"])
 def test_native_plans_have_no_python(spark, name):
     plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert not any(word in plan for word in ("Python", "Pandas", "Arrow"))

@@ -25,3 +25,23 @@ def test_blocks_reach_relative_aliases(spark):
     rows = [(0, "http://a.com/x/", "<meta http-equiv=refresh content='0; ../go'>"), (1, "http://a.com/go", "<link rel=canonical href='//bad.net/'>"), (2, "http://b.com", "<link rel=canonical href=k>")]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [r["verdict"] for r in urls.judge_urls(pages).orderBy("page_id").collect()] == ["block", "block", "allow"]
+
+
+MARKUP = {
+    "<link rel='alternate canonical' href=/a>": ["a.com/a"], "<link href=/a rel=canonical><link rel=canonical href=/b>": ["a.com/a", "a.com/b"],
+    "<!-- <link rel=canonical href=/a> -->": [], "<script>'<link rel=canonical href=/a>'</script><LINK REL=Canonical HREF=' /b '>": ["a.com/b"], "<!-- <link rel=canonical href=/a>": [],
+    "<base href='//c.com/d/'><link rel=canonical href=e>": ["c.com/d/e"], "<link rel=canonical data-href=/a>": [], "<link rel=noncanonical href=/a>": [], "<link rel=canonical>": [],
+    "<style><link rel=canonical href=/a></style><meta name=refresh content='0;/k'>": [], "<meta content='0;/k' http-equiv=Refresh><link rel=canonical href=/a>": ["a.com/a", "a.com/k"],
+}
+
+
+def test_tags_that_a_browser_reads(spark):
+    pages = spark.createDataFrame([(f"http://a.com/{k}", html) for k, html in enumerate(MARKUP)], "url string, html string")
+    found = [(r["src"], r["dst"]) for r in urls.link_edges(pages).collect()]
+    assert sorted(found) == sorted((f"a.com/{k}", dst) for k, want in enumerate(MARKUP.values()) for dst in want)
+
+
+def test_long_broken_pages(spark):
+    html = "canonical" + "<!--" * 200_000 + "<script>" * 100_000 + "<link " * 100_000 + "x" * 1_000_000
+    pages = spark.createDataFrame([("http://a.com/", html), ("http://b.com/", html.replace("<!--", "<link rel=canonical href=/" + "y" * 9 + ">", 1).replace("<!--", ""))], "url string, html string")
+    assert [r["src"] for r in urls.link_edges(pages).collect()] == ["b.com/"]

@@ -77,6 +77,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(_table(spark, sf_dir, "pages"))
 
 
+def url_redirects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op9 with a redirect table made of the pages' own addresses, so that verdicts pass between them."""
+    pages = _table(spark, sf_dir, "pages")
+    return urls.judge_urls(pages, redirects=urls.story_redirects(pages))
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
@@ -92,6 +98,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "url_redirects": url_redirects,
 }
 
 #: The others are beyond SQL (XXH64, suffix arrays, tokenizers, images, HTML); tests/llm has brute-force versions.
@@ -99,4 +106,5 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
     "op8_line_dedup": lines.oracle(),
     "op9_url_filter": urls.oracle(),
+    "url_redirects": urls.oracle(redirected=True),
 }

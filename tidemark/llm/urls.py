@@ -16,8 +16,9 @@ from tidemark.llm.components import connected_components
 RULES = (("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/"))
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_CANONICAL_TAG = r"(?i)<link\b[^>]*\brel\s*=\s*[\"']?canonical\b[^>]*>"
-_REFRESH_TAG = r"(?i)<meta\b[^>]*\bhttp-equiv\s*=\s*[\"']?refresh\b[^>]*>"
+#: What a browser does not read tags in, up to the end of the page if it is never closed.
+_UNREAD = r"(?is)<!--.*?(?:--!?>|\z)|<(script|style|textarea|template|noscript|title|xmp|iframe)\b[^<>]*>.*?(?:</\1\s*>|\z)"
+_TAGS = r"(?i)<(?:link|meta|base)\b[^<>]*>"
 
 
 def host_of(url: Column) -> Column:
@@ -84,25 +85,50 @@ def resolved(target: Column, url: Column) -> Column:
     )
 
 
+def _attribute(tag: Column, name: str) -> Column:
+    """The value of an attribute, without its quotes and outer white space; empty if there is none."""
+    value = F.regexp_extract(tag, rf"(?is)[\s\"'/]{name}\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>\"']+)", 1)
+    return F.regexp_replace(value, r"^[\"']?\s*|\s*[\"']?$", "")
+
+
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src, dst`` (addresses as in node_of): canonical links and refresh redirects that pages declare.
 
-    Character references in a target are decoded; relative ones are resolved against the page's address. A
-    refresh may leave out ``url=``.
+    All tags of a page count that a browser would read (not those in comments, scripts and the like); ``rel`` may hold
+    several words, a refresh may leave out ``url=``. Character references in a target are decoded; relative targets are resolved
+    against the page's address, or against its first base element.
     """
-    content = F.regexp_extract("tag", r"(?is)\bcontent\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
-    refresh = F.regexp_extract(content, r"(?is)^[\"']?\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"'\s>]+)", 1)
-    named = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)
-    tags = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html")).where(
-        "html IS NOT NULL AND (contains(lower(html), 'canonical') OR contains(lower(html), 'refresh'))"
-    ).select(
-        "url",
-        F.regexp_extract(F.regexp_extract("html", _CANONICAL_TAG, 0), r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1).alias("canonical"),
-        F.regexp_extract("html", _REFRESH_TAG, 0).alias("tag"),
-    ).select("url", "canonical", F.when(refresh != "", refresh).otherwise(named).alias("refresh"))
-    target = tags.select("url", F.explode(F.array("canonical", "refresh")).alias("to")).where("`to` <> '' AND contains(url, '://')")
-    target = target.withColumn("to", unescaped(F.col("to"))).withColumn("to", resolved(F.col("to"), F.col("url"))).where("`to` IS NOT NULL")
-    return target.select(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst")
+    html = F.col(html_col).cast("string")
+    told = F.contains(F.lower(html), F.lit("canonical")) | F.contains(F.lower(html), F.lit("refresh"))
+    rows = pages.select(F.col(url_col).cast("string").alias("url"), html.alias("html"), told.alias("told")).where("told AND contains(url, '://')")
+    rows = rows.select("url", _once(F.regexp_replace("html", _UNREAD, " ")).alias("html"))
+    rows = rows.select("url", _once(F.regexp_extract_all("html", F.lit(_TAGS), F.lit(0))).alias("tags"))
+    hrefs = F.transform(F.filter("tags", lambda t: t.rlike("(?i)^<base")), lambda t: _attribute(t, "href"))
+    rows = rows.select("url", F.get(F.filter(hrefs, lambda h: h != ""), F.lit(0)).alias("base"), F.explode("tags").alias("tag"))
+    canonical = F.array_contains(F.split(F.lower(_attribute(F.col("tag"), "rel")), r"\s+"), "canonical") & F.col("tag").rlike("(?i)^<link")
+    refresh = (F.lower(_attribute(F.col("tag"), "http-equiv")) == "refresh") & F.col("tag").rlike("(?i)^<meta")
+    content = F.regexp_extract("tag", r"(?is)[\s\"'/]content\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", 1)
+    after = F.regexp_extract(content, r"(?is)^[\"']?\s*[0-9.]*\s*[;,\s]\s*(?:url\s*=\s*)?[\"']?([^\"'\s>]+)", 1)
+    named = F.regexp_extract("tag", r"(?i)\burl\s*=\s*[\"']?([^\"'\s>]+)", 1)  # of an unquoted content with spaces
+    target = F.when(canonical, _attribute(F.col("tag"), "href")).when(refresh, F.when(after != "", after).otherwise(named))
+    rows = rows.select("url", "base", _once(target).alias("to")).where("`to` <> ''")
+    rows = rows.select("url", _once(F.struct(unescaped(F.col("to")).alias("to"), unescaped(F.col("base")).alias("base"))).alias("v"))
+    rows = rows.select("url", "v.to", _once(F.coalesce(resolved(F.col("v.base"), F.col("url")), F.col("url"))).alias("base"))
+    rows = rows.select("url", _once(resolved(F.col("to"), F.col("base"))).alias("to")).where("`to` IS NOT NULL")
+    return rows.select(node_of(F.col("url")).alias("src"), node_of(F.col("to")).alias("dst")).where("src <> dst")
+
+
+def _once(value: Column) -> Column:
+    """The value by way of a one-element array: what is built on it refers to the column and does not repeat the expression."""
+    return F.explode(F.array(value))
+
+
+def story_redirects(pages: DataFrame, url_col: str = "url") -> DataFrame:
+    """``from_url, to_url``: every address with a number at the end of its path redirects to one address of that number."""
+    number = F.regexp_extract(path_of(F.col(url_col)), "([0-9]+)/?$", 1)
+    return pages.select(F.col(url_col).alias("from_url"), number.alias("number")).where("number <> ''").select(
+        "from_url", F.concat(F.lit("https://story.example/"), F.col("number")).alias("to_url")
+    )
 
 
 def judge_urls(
@@ -137,13 +163,18 @@ def judge_urls(
     )
 
 
-def oracle(rules: Sequence[tuple[str, str, str]] = RULES) -> str:
-    """DuckDB SQL of ``judge_urls`` over ``pages``, with a recursive walk over the links."""
+def oracle(rules: Sequence[tuple[str, str, str]] = RULES, redirected: bool = False) -> str:
+    """DuckDB SQL of ``judge_urls`` over ``pages``, with a recursive walk over the links.
+
+    ``redirected`` adds those of ``story_redirects``. Of links in pages it takes the first absolute one of each sort.
+    """
     table = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules)
     host = lambda u: f"translate(regexp_extract({u}, '^.*?://([^/?#]*)', 1, 's'), '{_UPPER}', '{_LOWER}')"
     rest = lambda u, stop: f"regexp_extract({u}, '^.*?://[^/?#]*([^{stop}]*)', 1, 's')"
     best = lambda h, p: f"""(SELECT max_by(struct_pack(r := r.host || r.path, v := r.verdict), length(r.host || r.path)) FROM rules r
       WHERE ({h} = r.host OR ends_with({h}, '.' || r.host)) AND starts_with({p}, r.path))"""
+    number = f"regexp_extract({rest('url', '?#')}, '([0-9]+)/?$', 1)"
+    story = f"UNION SELECT {host('url')} || {rest('url', '#')}, 'story.example/' || {number} FROM pages WHERE contains(url, '://') AND {number} <> ''" if redirected else ""
     return f"""
 WITH RECURSIVE rules(verdict, host, path) AS (VALUES {table}),
 seen AS (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce({rest('url', '?#')}, '') AS path,
@@ -151,7 +182,7 @@ seen AS (SELECT page_id, coalesce({host('url')}, '') AS host, coalesce({rest('ur
   unnest([regexp_extract(regexp_extract(html, '<link\\b[^>]*\\brel\\s*=\\s*["'']?canonical\\b[^>]*>', 0, 'i'), '\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'i'),
           regexp_extract(regexp_extract(html, '<meta\\b[^>]*\\bhttp-equiv\\s*=\\s*["'']?refresh\\b[^>]*>', 0, 'i'), '\\burl\\s*=\\s*["'']?([^"''\\s>]+)', 1, 'i')]) AS target
   FROM pages),
-goal AS (SELECT node AS a, {host("replace(target, '&amp;', '&')")} || {rest("replace(target, '&amp;', '&')", '#')} AS b FROM seen WHERE contains(target, '://') AND node IS NOT NULL),
+goal AS (SELECT node AS a, {host("replace(target, '&amp;', '&')")} || {rest("replace(target, '&amp;', '&')", '#')} AS b FROM seen WHERE contains(target, '://') AND node IS NOT NULL {story}),
 near AS (SELECT a, b FROM goal UNION SELECT b, a FROM goal),
 walk AS (SELECT a AS node, a AS other FROM near UNION SELECT w.node, n.b FROM walk w JOIN near n ON w.other = n.a),
 alias AS (SELECT node, min({best(host("'://' || other"), rest("'://' || other", '?#'))}.v) AS verdict FROM walk GROUP BY node),
