@@ -10,7 +10,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import slices, whole_text
+from tidemark.llm.common import sliced, whole_text
 
 #: Bytes that the rolling hash looks at, and bits that must be set at a cut (1024 bytes a chunk on average).
 WINDOW, CUT_BITS = 16, 10
@@ -70,7 +70,17 @@ class Encoder:
         self.words: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
-        self.tokens = pa.array([self.tokenizer.id_to_token(k) or "" for k in range(size)], pa.large_string())
+        names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
+        self.tokens = pa.array(names, pa.large_string())
+        self.by_words = self.tokenizer.decoder is None and self._parts_at_spaces(names)
+
+    def _parts_at_spaces(self, names: list[str]) -> bool:
+        """Whether ids on both sides of ASCII white space are those of the sides, tried on a spread of the vocabulary."""
+        words = [w for w in names[:: max(1, len(names) // 400)] if w and not any(c.isspace() for c in w)]
+        ids = lambda text: self.tokenizer.encode(text, add_special_tokens=False).ids
+        alone = {w: ids(w) for w in words}
+        gaps = [" ", "\t", "\n", "\x0b", "\x0c", "\r", " \n "]
+        return all(ids(a + gaps[k % len(gaps)] + b) == alone[a] + alone[b] for k, (a, b) in enumerate(zip(words, words[7:])))
 
     def learn(self, words: list[bytes]) -> None:
         """Remember the little-endian 32-bit ids of texts without ASCII white space.
@@ -98,7 +108,10 @@ class Encoder:
         return head, words, tail
 
     def batch(self, texts: list[bytes]) -> pa.ListArray:
-        """Ids of several texts."""
+        """Ids of several texts; a tokenizer that reads over white space encodes them whole."""
+        if not self.by_words:
+            whole = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
+            return pa.array([e.ids for e in whole], pa.list_(pa.int32()))
         if len(self.words) > MAX_WORDS:
             self.words.clear()
         if len(self.chunks) > MAX_CHUNKS:
@@ -138,7 +151,9 @@ class Encoder:
         return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.frombuffer(b"".join(out), "<i4"), pa.int32()))
 
     def decode(self, ids: pa.ListArray) -> pa.Array:
-        """Texts of lists of ids: this vocabulary has no decoder, its tokens are joined by spaces."""
+        """Texts of lists of ids; without a decoder tokens are joined by spaces."""
+        if not self.by_words:
+            return pa.array([self.tokenizer.decode(x, skip_special_tokens=False) for x in ids.to_pylist()], pa.string())
         flat = ids.flatten()
         tokens = self.tokens.take(flat)
         offsets = pc.subtract(ids.offsets, ids.offsets[0]).cast(pa.int64())
@@ -151,6 +166,75 @@ def _encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
+def encode_decode_shared(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``encode_decode`` with each distinct chunk body encoded once in the cluster.
+
+    Bodies are shuffled by their digest and encoded, their ids come back to the documents by digest and are put in order
+    there; words over a joint are encoded with the document, from its chunks' heads and tails. For a tokenizer that
+    parts at white space. A third of all rows with one chunk are split by adaptive execution in the join on digests.
+    """
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), whole_text(text_col).alias("text"))
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        split = _encoder(path).split
+        for part in sliced(batches, 2):
+            texts = part.column(2).cast(pa.binary()).to_pylist()
+            out: list[tuple] = []
+            for k, (text, edges) in enumerate(zip(texts, chunk_edges(texts))):
+                for pos, (x, y) in enumerate(zip(edges, edges[1:])):
+                    if (found := split(text[x:y])) is None:
+                        out.append((k, pos, text[x:y], None, None, None))
+                    else:
+                        body = b" ".join(found[1])
+                        out.append((k, pos, found[0], found[2], xxhash.xxh3_128_digest(body), body))
+                if len(edges) < 2:
+                    out.append((k, 0, b"", None, None, None))
+            place, *columns = zip(*out)
+            place = pa.array(place)
+            types = (pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            yield pa.record_batch([part.column(0).take(place), part.column(1).take(place), *(pa.array(c, t) for c, t in zip(columns, types))], names=["row", "id", "pos", "head", "tail", "digest", "body"])
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path)
+        for part in sliced(batches, 1):
+            found = encoder.batch(part.column(1).to_pylist())
+            yield pa.record_batch([part.column(0), pa.array([np.array(x, "<u4").tobytes() for x in found.to_pylist()], pa.binary())], names=["digest", "ids"])
+
+    def assemble(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = _encoder(path)
+        for part in batches:
+            texts = []
+            for chunks in part.column(1).to_pylist():
+                plan, seam = [], b""
+                for c in sorted(chunks, key=lambda c: c["pos"]):
+                    seam += c["head"]
+                    if c["tail"] is not None:
+                        plan += [seam, c["ids"]]
+                        seam = c["tail"]
+                texts.append([*plan, seam])
+            seams = encoder.batch([x for plan in texts for x in plan[::2]]).to_pylist()
+            at, out = 0, []
+            for plan in texts:
+                ids: list[int] = []
+                for k in range(0, len(plan), 2):
+                    ids += seams[at]
+                    at += 1
+                    if k + 1 < len(plan):
+                        ids += np.frombuffer(plan[k + 1], "<u4").tolist()
+                out.append(ids)
+            found = pa.array(out, pa.list_(pa.int32()))
+            yield pa.record_batch([part.column(0), found, encoder.decode(found)], names=["id", "ids", "decoded"])
+
+    chunks = rows.mapInArrow(cut, f"row long, id {kind}, pos int, head binary, tail binary, digest binary, body binary")
+    bodies = chunks.where("digest IS NOT NULL").groupBy("digest").agg(F.any_value("body").alias("body")).mapInArrow(encode, "digest binary, ids binary")
+    placed = chunks.drop("body").join(bodies, "digest", "left")
+    grouped = placed.groupBy("row").agg(F.any_value("id").alias("id"), F.collect_list(F.struct("pos", "head", "tail", "ids")).alias("chunks"))
+    return grouped.select("id", "chunks").mapInArrow(assemble, f"id {kind}, ids array<int>, decoded string").withColumnRenamed("id", id_col)
+
+
 def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, ids array<int>, decoded string``, one row per row of ``docs``.
 
@@ -162,10 +246,9 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for batch in batches:
-            for part in slices(batch, 1):
-                ids = encoder.batch(part.column(1).cast(pa.binary()).to_pylist())
-                yield pa.record_batch([part.column(0), ids, encoder.decode(ids)], names=[id_col, "ids", "decoded"])
+        for part in sliced(batches, 1):
+            ids = encoder.batch(part.column(1).cast(pa.binary()).to_pylist())
+            yield pa.record_batch([part.column(0), ids, encoder.decode(ids)], names=[id_col, "ids", "decoded"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col), whole_text(text_col).alias("__text")).mapInArrow(run, f"`{id_col}` {kind}, ids array<int>, decoded string")

@@ -52,7 +52,7 @@ def encoded_digests(docs: DataFrame) -> DataFrame:
     """Of every document the number of its tokens, and digests of the ids and of the text they decode to."""
     import public_tokenizers
 
-    coded = bpe.encode_decode(docs, str(public_tokenizers.path("word_bpe_49k.json")))
+    coded = bpe.encode_decode_shared(docs, str(public_tokenizers.path("word_bpe_49k.json")))
     ids = F.array_join(F.col("ids").cast("array<string>"), " ")
     return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), _sha256(ids).alias("ids_sha256"), _sha256(F.col("decoded")).alias("decoded_sha256"))
 
