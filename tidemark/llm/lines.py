@@ -42,9 +42,11 @@ def spread_lines(lines: DataFrame, min_sites: int = 5, band: float = 0.25, lg_k:
 
 def _kept_lines(text: Column, removed: Column) -> Column:
     """The text without the lines at the positions ``removed``, by a hashed difference of positions."""
-    parts = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed)
-    return F.array_join(F.transform(kept, lambda k: F.get(parts, k)), "\n")
+    def kept(parts: Column) -> Column:  # the split text as a variable, so that it is split once
+        places = F.array_except(F.sequence(F.lit(0), F.size(parts) - 1), removed)
+        return F.array_join(F.transform(places, lambda k: F.get(parts, k)), "\n")
+
+    return F.get(F.transform(F.array(F.split(text, "\n")), kept), F.lit(0))
 
 
 def dedup_lines(
