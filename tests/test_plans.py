@@ -8,8 +8,8 @@ from tidemark.sources import bars as feed
 SF = "/root/testdata/sf0.001"
 #: The hooks for user functions.
 PYTHON = {"rolling_apply", "grouped_apply"}
-#: A one-row list of codes or series, or a table ordered for the reader.
-SINGLE = {"calendar_align", "dense_grid", "rolling_mean_union", "backtest_report", "order_by_time_code", "last_row"}
+#: A one-row list of series, or a table ordered for the reader.
+SINGLE = {"backtest_report", "order_by_time_code", "last_row"}
 
 
 def plan_of(df):
@@ -39,3 +39,11 @@ def test_bars_of_one_order_column_hash(spark):
     t = Tables(spark, SF).raw("events")
     plan = plan_of(feed.ohlcv_bars(t, "event_type", "user_id", "value", "value", ["ts"]))
     assert "HashAggregate" in plan and "SortAggregate" not in plan
+
+
+@pytest.mark.parametrize("name", ["ema", "macd", "macd_signal", "vmacd_mtm"])
+def test_averages_take_one_scan_and_one_shuffle_beyond_the_bars(spark, name):
+    (op,) = [o for o in OPS if o.name == name]
+    plan = plan_of(op.query(spark, SF))
+    tree = plan.split("\n\n")[0]
+    assert "Join" not in plan and tree.count("Exchange hashpartitioning") <= 2

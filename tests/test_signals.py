@@ -127,3 +127,20 @@ def test_signals_do_not_look_ahead(spark, closes):
     for f in (alligator.fractal_signal, lambda b: alligator.ao_signal(b, periods=(2, 4)), lambda b: alligator.alligator_signal(b, (3, 2, 1), (2, 1, 1))):
         whole, part = column(f(df), "signal"), column(f(cut), "signal")
         assert whole[: len(part)] == part
+
+
+def test_average_is_null_from_an_inner_null_on(spark):
+    from tidemark.operators.momentum import ema
+
+    values = [float(k % 7) for k in range(700)]
+    rows = [("a", k, None if k == 600 else v) for k, v in enumerate(values)] + [("b", k, v) for k, v in enumerate(values)] + [("c", k, None if k < 3 else v) for k, v in enumerate(values)]
+    got = {}
+    for r in ema(spark.createDataFrame(rows, "code string, dt int, x double"), "x", 5).orderBy("dt").collect():
+        got.setdefault(r["code"], []).append(r["ema"])
+    want, y = [None] * 4, sum(values[:5]) / 5
+    for k in range(4, 700):
+        y = y if k == 4 else values[k] / 3 + y * 2 / 3
+        want.append(y)
+    assert got["b"][:4] == want[:4] and all(abs(a - b) < 1e-9 for a, b in zip(got["b"][4:], want[4:]))
+    assert got["a"][600:] == [None] * 100 and all(abs(a - b) < 1e-9 for a, b in zip(got["a"][4:600], want[4:600]))
+    assert set(got["c"]) == {None}

@@ -127,3 +127,14 @@ def test_empty_and_single_row(spark):
     assert column(one.withColumn("m", ROWS.mean("close", 2)), "m") == [None]
     assert feed.dense_grid(one.where("false")).count() == 0
     assert feed.calendar_align(one).count() == 1
+
+
+def test_grid_keeps_null_codes_and_many_blocks(spark, monkeypatch):
+    from tidemark.sources import bars
+
+    monkeypatch.setattr(bars, "CODE_BLOCK", 2)
+    rows = [(c, t, float(k)) for k, (c, t) in enumerate([("a", 1), ("b", 1), (None, 2), ("c", 3), ("d", 3), ("e", 1), ("a", 3)])]
+    grid = bars.dense_grid(spark.createDataFrame(rows, "code string, dt int, x double")).collect()
+    assert len(grid) == 6 * 3 and sum(r["present"] for r in grid) == len(rows)
+    assert {(r["code"], r["dt"], r["x"]) for r in grid if r["present"]} == {(c, t, x) for c, t, x in rows}
+    assert all(r["x"] is None for r in grid if not r["present"])

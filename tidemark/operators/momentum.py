@@ -15,7 +15,7 @@ from tidemark.plans.recurrence import exponential_means
 def ema(df: DataFrame, x: str, period: int, out: str = "ema", rows: Rows = Rows()) -> DataFrame:
     """Exponential moving average seeded with the mean of the first ``period`` values.
 
-    Values must not be null. With several average windows to make, call exponential_means once.
+    Null from the first null in it on. With several averages to make, call exponential_means once.
     """
     (key,) = rows.keys
     return exponential_means(df.withColumn("__seq", rows.row()), {out: (x, period)}, period - 1, "__seq", key).drop("__seq")

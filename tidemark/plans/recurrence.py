@@ -20,17 +20,18 @@ def exponential_means(df: DataFrame, averages: Mapping[str, tuple[str, int]], st
     """``df`` with exponential averages ``{out: (column, period)}``, null before row ``start`` of a key.
 
     y = a x + (1 - a) y', a = 2 / (period + 1), and the first y is the plain mean of the ``period`` values up to
-    row ``start``. ``seq`` numbers a key's rows from 0; values from the first seed's window on must not be null.
-    Rows are cut into blocks: inside one a running weighted sum gives the average from zero; what a block
-    passes on decays so fast that the last CARRIES blocks suffice. They are read from a table with one row per
-    block, so a key's rows never need more than a running sum per block.
+    row ``start``. ``seq`` numbers a key's rows from 0. From the first null in the seed's window or after it on an average
+    is null: what follows an unknown value is unknown. Rows are cut into blocks: inside one a running weighted sum gives
+    the average from zero; what a block passes on decays so fast that the last CARRIES blocks suffice, and each of their last
+    rows is looked up by a window over the block number. So all averages take one shuffle by key and no join.
     """
     if any(period < 1 for _, period in averages.values()):
         raise ValueError("a period is one row at least")
     block = block_of(max(p for _, p in averages.values()))
     j = F.col(seq) - start
     at = F.when(j >= 0, j % block)
-    rows = Window.partitionBy(key).orderBy(seq)
+    rows = Window.partitionBy(key).orderBy("__b", seq)  # the same order as by seq: block numbers rise, rows before them have none
+    inside_key = rows.rowsBetween(Window.unboundedPreceding, 0)
     work = df.withColumns({"__b": F.when(j >= 0, F.floor(j / block)), "__r": at})
     inside = Window.partitionBy(key, "__b").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     inputs, locals_ = {}, {}
@@ -41,17 +42,14 @@ def exponential_means(df: DataFrame, averages: Mapping[str, tuple[str, int]], st
         keep = F.lit(1 - a)
         locals_[f"__l{k}"] = F.sum(F.col(f"__u{k}") * F.pow(keep, -F.col("__r"))).over(inside) * F.pow(keep, F.col("__r")) if period > 1 else F.col(f"__u{k}")
     work = work.withColumns(inputs).withColumns(locals_)
-    ends = work.where(F.col("__r") == block - 1).select(F.col(key).alias("__key"), F.col("__b").alias("__end"), *locals_)
-    along = Window.partitionBy("__key").orderBy("__end")
-    carried = {}
-    for k, (_, period) in enumerate(averages.values()):
+    work = work.withColumns({f"__e{k}": F.when(F.col("__r") == block - 1, F.col(f"__l{k}")) for k in range(len(averages))})
+    ends = Window.partitionBy(key).orderBy("__b")
+    outs, last = {}, {}
+    for k, (out, (x, period)) in enumerate(averages.items()):
         keep = 1 - 2.0 / (period + 1)
-        carried[f"__c{k}"] = sum((F.coalesce(F.lag(f"__l{k}", m).over(along), F.lit(0.0)) * keep ** (block * m) for m in range(1, CARRIES)), F.col(f"__l{k}"))
-    ends = ends.select("__key", (F.col("__end") + 1).alias("__next"), *[c.alias(n) for n, c in carried.items()])
-    joined = work.join(ends, (F.col(key) == F.col("__key")) & (F.col("__b") == F.col("__next")), "left")
-    outs = {}
-    for k, (out, (_, period)) in enumerate(averages.items()):
-        keep = 1 - 2.0 / (period + 1)
-        outs[out] = F.col(f"__l{k}") + F.coalesce(f"__c{k}", F.lit(0.0)) * F.pow(F.lit(keep), F.col("__r") + 1)
-    helper = ["__b", "__r", "__key", "__next", *inputs, *locals_, *carried]
-    return joined.withColumns(outs).drop(*helper)
+        passed = (F.coalesce(F.sum(f"__e{k}").over(ends.rangeBetween(-m, -m)), F.lit(0.0)) * keep ** (block * (m - 1)) for m in range(1, CARRIES + 1))
+        last[f"__c{k}"] = sum(passed, F.lit(0.0))
+        unknown = F.sum(F.when(F.col(x).isNull() & (F.col(seq) > start - period), 1)).over(inside_key)
+        outs[out] = F.when(unknown.isNull(), F.col(f"__l{k}") + F.col(f"__c{k}") * F.pow(F.lit(keep), F.col("__r") + 1))
+    helper = ["__b", "__r", *inputs, *locals_, *last, *(f"__e{k}" for k in range(len(averages)))]
+    return work.withColumns(last).withColumns(outs).drop(*helper)

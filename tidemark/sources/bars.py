@@ -76,16 +76,27 @@ def calendar(df: DataFrame, time: str = "dt") -> DataFrame:
     return df.select(time).distinct()
 
 
+#: Codes that one row of the list of codes holds.
+CODE_BLOCK = 1000
+
+
 def dense_grid(df: DataFrame, code: str = "code", time: str = "dt") -> DataFrame:
     """Every code at every time of the union calendar, with nulls where it had no row, and ``present``.
 
-    The one operator that grows data: codes times times. The list of codes is the small side; a time carries
-    all of them as an array that is exploded, so nothing is joined to make the grid.
+    The one operator that grows data: codes times times. Codes are kept in blocks of about CODE_BLOCK, however many there
+    are; a time is dealt out to the blocks and joined with them by number, and a block explodes into its codes. A null code is a code
+    of its own.
     """
-    codes = df.agg(F.sort_array(F.collect_set(code)).alias("__codes"))  # the universe of instruments
-    times = calendar(df, time).crossJoin(F.broadcast(codes))  # one row: an array of codes
-    grid = times.select(F.explode("__codes").alias(code), time)
-    return grid.join(df.withColumn("present", F.lit(True)), [code, time], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+    codes = df.select(F.col(code).alias("__code")).distinct()
+    blocks = codes.count() // CODE_BLOCK + 1
+    number = F.pmod(F.xxhash64("__code"), F.lit(blocks)).alias("__block")
+    lists = codes.groupBy(number).agg(F.collect_list(F.struct("__code")).alias("__codes"))
+    times = calendar(df, time).select(F.col(time).alias("__time"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
+    grid = times.join(lists, "__block").select(F.explode("__codes").alias("__code"), "__time").select("__code.__code", "__time")
+    rows = df.withColumn("present", F.lit(True))
+    same = F.col("__code").eqNullSafe(F.col(code)) & F.col("__time").eqNullSafe(F.col(time))
+    others = [c for c in df.columns if c not in (code, time)]
+    return grid.join(rows, same, "left").select(F.col("__code").alias(code), F.col("__time").alias(time), *others, F.coalesce("present", F.lit(False)).alias("present"))
 
 
 def calendar_align(bars: DataFrame, rows: Rows = Rows()) -> DataFrame:
