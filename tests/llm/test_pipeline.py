@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from tests.llm.test_media_lines_urls import plain_dedup
-from tests.llm.test_simhash import plain_fingerprint, plain_groups
+from tests.llm.test_near_copies import plain_groups
 from tests.llm.test_text_ops import plain_repeats
 from tidemark.llm.repetition import Rules
 
@@ -38,7 +38,7 @@ def plain_run(rows):
     rows = [r for r in rows if plain_kept(r[1])]
     cut = {i: t for i, t, _ in plain_dedup(rows, 5)}
     rows = [(i, cut[i], s) for i, _, s in rows]
-    groups = plain_groups([plain_fingerprint(t) for _, t, _ in rows])
+    groups = plain_groups([t for _, t, _ in rows])
     rows = [r for k, r in enumerate(rows) if groups[k] == k]
     size = Counter()
     for _, t, s in rows:
