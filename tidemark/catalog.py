@@ -315,9 +315,9 @@ OPS: list[Op] = [
     Op("day_broadcast", "code day today_open prev_close", lambda t: noise.day_levels(noise.prepared(t.hourly), OPEN_TIME, CLOSE_TIME),
        "SELECT coalesce(o.code, c.code) AS code, coalesce(o.day, c.day) AS day, today_open, prev_close FROM opens o FULL JOIN closes c ON o.code = c.code AND o.day = c.day", NOISE),
     Op("range_slice", "series rank:i n:i growth:6",
-       lambda t: t.returns.join(drawdown.top_drawdowns(t.returns).select("series", "rank", "peak_date", "recovery_date"), "series").where("dt BETWEEN peak_date AND recovery_date").groupBy("series", "rank").agg(F.count("*").alias("n"), (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("growth")),
+       lambda t: drawdown.range_slice(t.returns, drawdown.top_drawdowns(t.returns).select("series", "rank", "peak_date", "recovery_date"), "peak_date", "recovery_date").groupBy("series", "rank").agg(F.count("*").alias("n"), (F.product(1 + F.coalesce("ret", F.lit(0.0))) - 1).alias("growth")),
        "SELECT r.series, t.rank, count(*) AS n, product(1 + coalesce(ret, 0)) - 1 AS growth FROM returns r JOIN top t ON r.series = t.series AND r.dt BETWEEN t.peak_date AND t.recovery_date GROUP BY 1, 2", DRAWDOWN),
-    Op("last_row", "code dt close", lambda t: t.bars.groupBy("code").agg(F.max("dt").alias("dt"), F.max_by("close", "dt").alias("close")), "SELECT code, max(dt) AS dt, max_by(close, dt) AS close FROM bars GROUP BY code"),
+    Op("last_row", "code dt close", lambda t: frames.last_row(t.bars, ["close"]), "SELECT code, max(dt) AS dt, max_by(close, dt) AS close FROM bars GROUP BY code"),
     Op("order_by_time_code", "code trade_time close", lambda t: t.hourly.orderBy("trade_time", "code"), "SELECT * FROM hourly ORDER BY trade_time, code", [HOURLY]),
     Op("head_trim", "code dt close", lambda t: t.bars.withColumn("rn", ROWS.row()).where("rn >= 616"), f"SELECT * FROM bars QUALIFY row_number() OVER {o()} - 1 >= 616"),
     # generic windows
@@ -431,7 +431,7 @@ OPS: list[Op] = [
        f"SELECT t.*, coalesce(u.cum, l.cum) AS recovery_cum, CASE WHEN t.recovery_date IS NULL THEN 'active' ELSE 'recovered' END AS state, CASE WHEN t.recovery_date IS NULL THEN {weekdays('t.peak_date', 'l.last_date')} END AS active_duration, l.last_date FROM top t JOIN lst l ON t.series = l.series LEFT JOIN uw u ON u.series = t.series AND u.dt = t.recovery_date",
        [*DRAWDOWN, "lst AS (SELECT series, max(dt) AS last_date, max_by(cum, dt) AS cum FROM uw GROUP BY 1)"]),
     Op("lookup_value", "series rank:i recovery_cum:6", lambda t: drawdown.drawdown_points(t.returns), "SELECT t.series, t.rank, coalesce((SELECT cum FROM uw u WHERE u.series = t.series AND u.dt = t.recovery_date), (SELECT max_by(cum, dt) FROM uw u WHERE u.series = t.series)) AS recovery_cum FROM top t", DRAWDOWN),
-    Op("top_k", "series dt ret:6 k:i", lambda t: t.returns.where("ret IS NOT NULL").withColumn("k", F.row_number().over(frames.Window.partitionBy("series").orderBy("ret", "dt"))).where("k <= 10"), "SELECT *, row_number() OVER (PARTITION BY series ORDER BY ret, dt) AS k FROM returns WHERE ret IS NOT NULL QUALIFY k <= 10", [BARS, RETURNS]),
+    Op("top_k", "series dt ret:6 k:i", lambda t: frames.top_k(t.returns, "ret", 10, "series"), "SELECT *, row_number() OVER (PARTITION BY series ORDER BY ret, dt) AS k FROM returns WHERE ret IS NOT NULL QUALIFY k <= 10", [BARS, RETURNS]),
     # trades
     Op("hysteresis_position", "code dt position:i", lambda t: t.positions, "SELECT * FROM pos", TRADES[:4]),
     Op("fills", "code dt side price:4 commission:0", lambda t: t.fills, "SELECT code, dt, side, fill_price AS price, abs(0.95 * entry_equity / base) * fill_price * CASE WHEN (side = 'buy') = (entry_equity > 0) THEN 0.0002 ELSE 0.0012 END AS commission FROM eq WHERE side IS NOT NULL", TRADES),

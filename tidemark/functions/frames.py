@@ -151,3 +151,19 @@ def rolling_apply(df: DataFrame, x: str, n: int, function, out: str, rows: Rows
 def grouped_apply(df: DataFrame, function, schema: str, keys: Sequence[str] = ("code",)) -> DataFrame:
     """A user's function from pandas frame to pandas frame on each group. A whole group must fit in one task."""
     return df.groupBy(*keys).applyInPandas(function, schema)
+
+
+def top_k(df: DataFrame, by: str, k: int, key: str = "code", order: str = "dt", out: str = "k") -> DataFrame:
+    """The ``k`` rows of each key with the smallest ``by``, ranked from 1 in ``out``; ties go to the earlier row, nulls never rank.
+
+    A limit on a rank: rows beyond it are dropped before the shuffle.
+    """
+    if k < 1:
+        raise ValueError("k is 1 at least")
+    rank = F.row_number().over(Window.partitionBy(key).orderBy(by, order))
+    return df.where(F.col(by).isNotNull()).withColumn(out, rank).where(F.col(out) <= k)
+
+
+def last_row(df: DataFrame, values: Sequence[str], key: str = "code", order: str = "dt") -> DataFrame:
+    """Each key's last row: its key, its time and the given columns, by one aggregation."""
+    return df.groupBy(key).agg(F.max(order).alias(order), *[F.max_by(v, order).alias(v) for v in values])

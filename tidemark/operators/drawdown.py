@@ -95,3 +95,11 @@ def drawdown_points(returns: DataFrame, top: int = 5, rows: Rows = SERIES) -> Da
         F.coalesce("__cum", "last_cum").alias("recovery_cum"), F.when(active, "active").otherwise("recovered").alias("state"),
         F.when(active, business_days("peak_date", "last_date")).alias("active_duration"), "last_date",
     )
+
+
+def range_slice(df: DataFrame, periods: DataFrame, begin: str, end: str, key: str = "series", time: str = "dt") -> DataFrame:
+    """Rows of ``df`` inside each of its key's ``periods``, both ends included, with the period's columns; a period without an end has no rows.
+
+    Joined by key, so a key's few periods meet its rows; rows in several periods repeat.
+    """
+    return df.join(periods, key).where(F.col(time).between(F.col(begin), F.col(end)))
