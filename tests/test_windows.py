@@ -6,10 +6,10 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from tests.helpers import close_to, column, panel
+from tests.helpers import close_to, column, panel, returns_table
 from tidemark.functions.frames import Rows, day_windows, rolling_apply, sliding_windows, with_monotone
 from tidemark.functions.scalars import field_or_zero
-from tidemark.operators import momentum
+from tidemark.operators import drawdown, momentum
 from tidemark.plans import halo
 from tidemark.plans.recurrence import exponential_means
 from tidemark.sources import bars as feed
@@ -98,6 +98,32 @@ def test_long_series_patterns(spark):
     assert all(close_to(a, b) for a, b in zip(total, np.cumsum(x)))
 
 
+def test_two_levels_equal_plain_windows(spark):
+    x = [None if k % 7 == 3 or k < 40 else float((k * 31) % 17 - 8) / 8 + 1.5 for k in range(150)]
+    df = panel(spark, x, "A").union(panel(spark, x[::-1], "B")).union(panel(spark, [2.0, None, 1.0], None))
+    numbered = halo.global_sequence(df)
+    plain = {"sum": F.sum("close"), "product": F.product("close"), "max": F.max("close"), "last": F.last("close", ignorenulls=True)}
+    cut = {"sum": halo.long_running_sum, "product": halo.long_running_product, "max": halo.long_running_max, "last": halo.long_last_known}
+    for name, value in plain.items():
+        expected = df.withColumn("v", value.over(ROWS.run)).orderBy("code", "dt").collect()
+        found = cut[name](numbered, F.col("close"), 16, "v").orderBy("code", "dt").collect()
+        assert [(r["code"], r["dt"]) for r in found] == [(r["code"], r["dt"]) for r in expected], name
+        assert all(close_to(a["v"], b["v"]) for a, b in zip(found, expected)), name
+    with pytest.raises(ValueError):
+        halo.long_running_max(numbered, F.col("close"), 0, "v")
+    assert halo.long_running_sum(numbered.limit(0), F.col("close"), 16, "v").count() == 0
+
+
+def test_long_falls_equal_the_plain_ones(spark):
+    ret = [None if k % 11 == 5 else ((k * 29) % 13 - 6) / 100 for k in range(200)]
+    df = returns_table(spark, ret).union(returns_table(spark, ret[::-1], "B"))
+    plain = drawdown.episodes(df).orderBy("series", "peak_date").collect()
+    cut = drawdown.long_episodes(df, 16).orderBy("series", "peak_date").collect()
+    assert len(plain) > 4
+    assert [r[:4] for r in cut] == [r[:4] for r in plain]
+    assert all(close_to(a["depth"], b["depth"]) for a, b in zip(cut, plain))
+
+
 def test_long_series_equals_the_plain_operator(spark):
     x = [float(k * 7 % 23) for k in range(300)]
     df = panel(spark, x, "A").union(panel(spark, x[::-1], "B"))

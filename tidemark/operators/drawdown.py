@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import business_days
 from tidemark.operators.returns import SERIES
+from tidemark.plans import halo
 
 
 def underwater(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
@@ -16,14 +17,20 @@ def underwater(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
     return cum.withColumn("underwater", F.col("cum") / F.max("cum").over(rows.run) - 1)
 
 
-def episodes(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
-    """One row per fall: ``peak_date, valley_date, recovery_date`` (null if not recovered), ``depth`` and growth at
-    peak and valley.
+def long_underwater(returns: DataFrame, bucket: int, coarse: str = "month") -> DataFrame:
+    """``underwater`` of series that may each be too long for one task, and ``seq``, a row's number in its series."""
+    numbered = halo.global_sequence(returns, "series", "dt", coarse)
+    cum = halo.long_running_product(numbered, 1 + F.coalesce("ret", F.lit(0.0)), bucket, "cum", "series")
+    top = halo.long_running_max(cum, F.col("cum"), bucket, "__top", "series")
+    return top.withColumn("underwater", F.col("cum") / F.col("__top") - 1).drop("__top")
 
-    An episode begins where the curve is at its maximum and lasts until it is again; its valley is its first
-    lowest row.
-    """
-    falls = underwater(returns, rows).withColumn("__id", F.sum(F.when(F.col("underwater") == 0, 1).otherwise(0)).over(rows.run))
+
+def _at_peak() -> Column:
+    return F.when(F.col("underwater") == 0, 1).otherwise(0)
+
+
+def _episodes(falls: DataFrame) -> DataFrame:
+    """Episodes of the rows of ``underwater`` with ``__id``, the number of peaks so far."""
     found = falls.groupBy("series", "__id").agg(
         F.min("dt").alias("peak_date"), F.min_by("cum", "dt").alias("peak_cum"), F.min(F.struct("underwater", "dt", "cum")).alias("v")
     )
@@ -34,6 +41,22 @@ def episodes(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
     )
 
 
+def episodes(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
+    """One row per fall: ``peak_date, valley_date, recovery_date`` (null if not recovered), ``depth`` and growth at
+    peak and valley.
+
+    An episode begins where the curve is at its maximum and lasts until it is again; its valley is its first
+    lowest row.
+    """
+    return _episodes(underwater(returns, rows).withColumn("__id", F.sum(_at_peak()).over(rows.run)))
+
+
+def long_episodes(returns: DataFrame, bucket: int, coarse: str = "month") -> DataFrame:
+    """``episodes`` of series that may each be too long for one task; a task holds the episodes of a series, not its rows."""
+    falls = long_underwater(returns, bucket, coarse)
+    return _episodes(halo.long_running_sum(falls, _at_peak(), bucket, "__id", "series"))
+
+
 def top_drawdowns(returns: DataFrame, top: int = 5, rows: Rows = SERIES) -> DataFrame:
     """The ``top`` deepest episodes of each series, ``rank`` from 1; ties go to the earlier valley."""
     if top < 1:

@@ -1,4 +1,4 @@
-"""Windows over one very long series: buckets with a halo, and two-level running sums."""
+"""Windows over one very long series: buckets with a halo, and running sums, products, maxima and held values in two levels."""
 
 from __future__ import annotations
 
@@ -14,14 +14,15 @@ def global_sequence(df: DataFrame, key: str = "code", time: str = "dt", coarse:
     """Number a key's rows from 0 in time order without sorting the key in one task.
 
     Rows are counted per coarse period, the counts summed along the periods, and rows numbered inside them.
+    Rows of a null key are numbered as one series, rows without a time come first.
     """
     period = F.date_trunc(coarse, F.col(time).cast("timestamp"))
-    work = df.withColumn("__period", period)
+    work = df.withColumn("__period", period).withColumn("__part", F.struct(key, "__period"))  # a struct joins on nulls too
     counts = work.groupBy(key, "__period").agg(F.count("*").alias("__n"))
     before = F.sum("__n").over(Window.partitionBy(key).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(key, "__period", F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy(key, "__period").orderBy(time)) - 1
-    return work.join(starts, [key, "__period"]).withColumn(out, F.col("__before") + inside).drop("__period", "__before")
+    starts = counts.select(F.struct(key, "__period").alias("__part"), F.coalesce(before, F.lit(0)).alias("__before"))
+    inside = F.row_number().over(Window.partitionBy("__part").orderBy(time)) - 1
+    return work.withColumn(out, inside).join(starts, "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__period", "__before")
 
 
 def with_halo(df: DataFrame, look_back: int, bucket: int, seq: str = "seq") -> DataFrame:
@@ -58,11 +59,41 @@ def long_mean(df: DataFrame, x: str, n: int, bucket: int, out: str, key: str = "
     return with_halo(df, n, bucket, seq).withColumn(out, value).where("not in_halo").drop("bucket", "in_halo")
 
 
+def _two_levels(
+    df: DataFrame, x: Column, bucket: int, out: str, key: str, seq: str, fold: Callable[[str], Column], total: Column, merge: Callable[[Column, Column], Column]
+) -> DataFrame:
+    """``fold`` of ``__x`` from a series' start: inside buckets of ``bucket`` rows, merged with the fold of the buckets' totals before.
+
+    A task holds one bucket, or one total of each bucket of a series. Nulls are skipped; before the first value the result is null.
+    """
+    if bucket < 1:
+        raise ValueError("a bucket has one row at least")
+    from_start = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
+    work = df.withColumns({"__x": x, "__bucket": F.floor(F.col(seq) / bucket)}).withColumn("__part", F.struct(key, "__bucket"))
+    totals = work.groupBy(key, "__bucket").agg(total.alias("__total"))
+    before = fold("__total").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
+    carried = totals.select(F.struct(key, "__bucket").alias("__part"), before.alias("__before"))
+    inside = work.withColumn("__inside", fold("__x").over(from_start(Window.partitionBy("__part").orderBy(seq))))
+    merged = inside.join(carried, "__part").withColumn(out, merge(F.col("__before"), F.col("__inside")))
+    return merged.drop("__x", "__bucket", "__part", "__before", "__inside")
+
+
 def long_running_sum(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
-    """Running sum from the start of a series: sums inside buckets plus the total of the buckets before."""
-    work = df.withColumn("__bucket", F.floor(F.col(seq) / bucket)).withColumn("__x", x)
-    totals = work.groupBy(key, "__bucket").agg(F.sum("__x").alias("__total"))
-    before = F.sum("__total").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(key, "__bucket", F.coalesce(before, F.lit(0.0)).alias("__before"))
-    inside = F.sum("__x").over(Window.partitionBy(key, "__bucket").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0))
-    return work.withColumn(out, inside).join(carried, [key, "__bucket"]).withColumn(out, F.col(out) + F.col("__before")).drop("__bucket", "__x", "__before")
+    """Running sum from the start of a series, nulls skipped."""
+    return _two_levels(df, x, bucket, out, key, seq, F.sum, F.sum("__x"), lambda a, b: F.coalesce(a + b, a, b))
+
+
+def long_running_product(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
+    """Running product from the start of a series, nulls skipped."""
+    return _two_levels(df, x, bucket, out, key, seq, F.product, F.product("__x"), lambda a, b: F.coalesce(a * b, a, b))
+
+
+def long_running_max(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
+    """Running maximum from the start of a series, nulls skipped."""
+    return _two_levels(df, x, bucket, out, key, seq, F.max, F.max("__x"), lambda a, b: F.greatest(a, b))
+
+
+def long_last_known(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
+    """The latest value that is not null, this row's included."""
+    latest = F.max_by("__x", F.when(F.col("__x").isNotNull(), F.col(seq)))
+    return _two_levels(df, x, bucket, out, key, seq, lambda c: F.last(c, ignorenulls=True), latest, lambda a, b: F.coalesce(b, a))
