@@ -51,6 +51,22 @@ class Tables:
         money = F.when(F.col("o_orderstatus") == "O", -F.col("o_totalprice")).otherwise(F.col("o_totalprice"))
         return self.raw("orders").groupBy(F.col("o_orderpriority").alias("series"), F.to_date("o_orderdate").alias("dt")).agg(F.sum(money).alias("north_money"))
 
+    def daily(self, table: str, code: str, time: str, value: Column) -> DataFrame:
+        """``code, dt`` and an aggregate of one of the tables."""
+        return self.raw(table).groupBy(F.col(code).alias("code"), F.to_date(time).alias("dt")).agg(value)
+
+    @property
+    def shipped(self) -> DataFrame:
+        return self.daily("lineitem", "l_linestatus", "l_shipdate", F.sum("l_quantity").alias("shipped"))
+
+    @property
+    def ordered(self) -> DataFrame:
+        return self.daily("orders", "o_orderstatus", "o_orderdate", F.count("*").alias("ordered"))
+
+    @property
+    def flagged(self) -> DataFrame:
+        return self.daily("lineitem", "l_returnflag", "l_shipdate", F.count("*").alias("flagged"))
+
     @property
     def returns(self) -> DataFrame:
         return returns.returns_of(self.bars)
@@ -84,6 +100,11 @@ HOURLY = """hourly AS (SELECT event_type AS code, date_trunc('hour', ts) AS trad
   FROM events GROUP BY 1, 2)"""
 FLOWS = """flow AS (SELECT o_orderpriority AS series, CAST(o_orderdate AS DATE) AS dt,
   sum(CASE WHEN o_orderstatus = 'O' THEN -o_totalprice ELSE o_totalprice END) AS north_money FROM orders GROUP BY 1, 2)"""
+PANELS = [
+    "shipped AS (SELECT l_linestatus AS code, CAST(l_shipdate AS DATE) AS dt, sum(l_quantity) AS shipped FROM lineitem GROUP BY 1, 2)",
+    "ordered AS (SELECT o_orderstatus AS code, CAST(o_orderdate AS DATE) AS dt, count(*) AS ordered FROM orders GROUP BY 1, 2)",
+    "flagged AS (SELECT l_returnflag AS code, CAST(l_shipdate AS DATE) AS dt, count(*) AS flagged FROM lineitem GROUP BY 1, 2)",
+]
 RETURNS = "returns AS (SELECT code AS series, dt, close / lag(close) OVER (PARTITION BY code ORDER BY dt) - 1 AS ret FROM bars)"
 
 
@@ -230,6 +251,18 @@ YEARLY = "yr AS (SELECT series, year(dt) AS year, product(1 + coalesce(ret, 0))
 MONTHLY = "mo AS (SELECT series, year(dt) AS year, month(dt) AS month, product(1 + coalesce(ret, 0)) - 1 AS ret FROM returns GROUP BY 1, 2, 3)"
 
 
+#: Columns of a performance table with a benchmark.
+TABLE = "series annual_return:6 cum_return:6 annual_vol:6 sharpe:6 max_drawdown:6 sortino:6 calmar:6 information_ratio:6 alpha:5 beta:6 excess_return:6"
+
+
+def performance(benchmark: str) -> str:
+    return (
+        f"SELECT p.*, m.max_drawdown, CASE WHEN m.max_drawdown < 0 THEN p.annual_return / abs(m.max_drawdown) END AS calmar, CASE WHEN p.series <> '{benchmark}' THEN r.ir END AS information_ratio, "
+        f"CASE WHEN p.series <> '{benchmark}' THEN pow(1 + r.mr - r.beta * r.mb, 252) - 1 END AS alpha, CASE WHEN p.series <> '{benchmark}' THEN r.beta END AS beta, "
+        f"p.annual_return - (SELECT annual_return FROM perf0 WHERE series = '{benchmark}') AS excess_return FROM perf0 p JOIN mdd m ON p.series = m.series LEFT JOIN rel r ON p.series = r.series"
+    )
+
+
 @dataclass(frozen=True)
 class Op:
     """A query: ``out`` lists its columns, ``name:6`` rounded to six digits, ``name:i`` as a long."""
@@ -302,14 +335,11 @@ OPS: list[Op] = [
        "SELECT code, trade_time, bound, value FROM (SELECT code, trade_time, greatest(today_open, prev_close) * (1 + sigma) AS upperbound, least(today_open, prev_close) * (1 - sigma) AS lowerbound FROM levels "
        "WHERE today_open IS NOT NULL AND prev_close IS NOT NULL) UNPIVOT (value FOR bound IN (upperbound, lowerbound))", NOISE),
     Op("at_time", "code trade_time close", lambda t: feed.at_time(t.hourly, OPEN_TIME), f"SELECT * FROM hourly WHERE strftime(trade_time, '%H:%M:%S') = '{OPEN_TIME}'", [HOURLY]),
-    Op("align_outer", "code dt close signal:6", lambda t: feed.aligned(t.bars.where("volume > 100").select("code", "dt", "close"), t.signals.where("signal > 0")),
-       "SELECT coalesce(a.code, b.code) AS code, coalesce(a.dt, b.dt) AS dt, a.close, b.signal FROM (SELECT * FROM bars WHERE volume > 100) a FULL JOIN (SELECT * FROM sg WHERE signal > 0) b ON a.code = b.code AND a.dt = b.dt", [BARS, TRADES[1]]),
-    Op("align_left", "code dt close signal:6", lambda t: feed.aligned(t.bars.where("volume > 100").select("code", "dt", "close"), t.signals.where("signal > 0"), "left"),
-       "SELECT a.code, a.dt, a.close, b.signal FROM (SELECT * FROM bars WHERE volume > 100) a LEFT JOIN (SELECT * FROM sg WHERE signal > 0) b ON a.code = b.code AND a.dt = b.dt", [BARS, TRADES[1]]),
-    Op("align_right", "code dt close signal:6", lambda t: feed.aligned(t.bars.where("volume > 100").select("code", "dt", "close"), t.signals.where("signal > 0"), "right"),
-       "SELECT b.code, b.dt, a.close, b.signal FROM (SELECT * FROM bars WHERE volume > 100) a RIGHT JOIN (SELECT * FROM sg WHERE signal > 0) b ON a.code = b.code AND a.dt = b.dt", [BARS, TRADES[1]]),
-    Op("concat_outer", "code dt big mid small", lambda t: feed.concat([t.bars.where(c).select("code", "dt", F.col("close").alias(n)) for c, n in (("volume > 150", "big"), ("volume BETWEEN 50 AND 100", "mid"), ("volume < 80", "small"))]),
-       "SELECT * FROM (SELECT code, dt, CASE WHEN volume > 150 THEN close END AS big, CASE WHEN volume BETWEEN 50 AND 100 THEN close END AS mid, CASE WHEN volume < 80 THEN close END AS small FROM bars) WHERE big IS NOT NULL OR mid IS NOT NULL OR small IS NOT NULL"),
+    Op("align_outer", "code dt shipped:0 ordered:i", lambda t: feed.aligned(t.shipped, t.ordered), "SELECT * FROM shipped FULL JOIN ordered USING (code, dt)", PANELS),
+    Op("align_left", "code dt shipped:0 ordered:i", lambda t: feed.aligned(t.shipped, t.ordered, "left"), "SELECT * FROM shipped LEFT JOIN ordered USING (code, dt)", PANELS),
+    Op("align_right", "code dt shipped:0 ordered:i", lambda t: feed.aligned(t.shipped, t.ordered, "right"), "SELECT * FROM shipped RIGHT JOIN ordered USING (code, dt)", PANELS),
+    Op("concat_outer", "code dt shipped:0 ordered:i flagged:i", lambda t: feed.concat([t.shipped, t.ordered, t.flagged]),
+       "SELECT * FROM shipped FULL JOIN ordered USING (code, dt) FULL JOIN flagged USING (code, dt)", PANELS),
     Op("asof_open", "code trade_time day_open", lambda t: noise.with_open(t.hourly, OPEN_TIME),
        f"SELECT code, trade_time, last_value(CASE WHEN strftime(trade_time, '%H:%M:%S') = '{OPEN_TIME}' THEN open END IGNORE NULLS) OVER {run('code', 'trade_time')} AS day_open FROM hourly", [HOURLY]),
     Op("day_broadcast", "code day today_open prev_close", lambda t: noise.day_levels(noise.prepared(t.hourly), OPEN_TIME, CLOSE_TIME),
@@ -393,18 +423,14 @@ OPS: list[Op] = [
     Op("band_signal", "code dt signal:i", lambda t: momentum.band_signal(t.bars.withColumn("close", F.floor("close"))),
        f"SELECT *, CASE WHEN {full('close', 4, 'sum(floor(close))')} * 2 >= {full('close', 8, 'sum(floor(close))')} THEN 1 ELSE 0 END AS signal FROM bars QUALIFY row_number() OVER {o()} >= 60"),
     # metrics
-    Op("performance_table", "series annual_return:6 cum_return:6 annual_vol:6 sharpe:6 max_drawdown:6 sortino:6 calmar:6 information_ratio:6 alpha:5 beta:6 excess_return:6", lambda t: returns.performance_table(t.returns, BENCHMARK),
-       f"SELECT p.*, m.max_drawdown, CASE WHEN m.max_drawdown < 0 THEN p.annual_return / abs(m.max_drawdown) END AS calmar, CASE WHEN p.series <> '{BENCHMARK}' THEN r.ir END AS information_ratio, "
-       f"CASE WHEN p.series <> '{BENCHMARK}' THEN pow(1 + r.mr - r.beta * r.mb, 252) - 1 END AS alpha, CASE WHEN p.series <> '{BENCHMARK}' THEN r.beta END AS beta, "
-       f"p.annual_return - (SELECT annual_return FROM perf0 WHERE series = '{BENCHMARK}') AS excess_return FROM perf0 p JOIN mdd m ON p.series = m.series LEFT JOIN rel r ON p.series = r.series", [BARS, RETURNS, METRICS, *MAXDD, RELATIVE]),
+    Op("performance_table", TABLE, lambda t: returns.performance_table(t.returns, BENCHMARK), performance(BENCHMARK), [BARS, RETURNS, METRICS, *MAXDD, RELATIVE]),
     *[Op(name, f"series {name}:6", lambda t, n=name: t.returns.groupBy("series").agg(getattr(returns, n)().alias(n)), "SELECT * FROM perf0", [BARS, RETURNS, METRICS]) for name in ("annual_return", "cum_return", "annual_vol", "sharpe", "sortino")],
     Op("max_drawdown", "series max_drawdown:6", lambda t: returns.max_drawdowns(t.returns), "SELECT * FROM mdd", [BARS, RETURNS, *MAXDD]),
     Op("calmar", "series calmar:6", lambda t: returns.performance_table(t.returns), "SELECT p.series, CASE WHEN m.max_drawdown < 0 THEN p.annual_return / abs(m.max_drawdown) END AS calmar FROM perf0 p JOIN mdd m ON p.series = m.series", [BARS, RETURNS, METRICS, *MAXDD]),
     Op("benchmark_metrics", "series information_ratio:6 alpha:5 beta:6 excess_return:6", lambda t: returns.benchmark_metrics(t.returns, BENCHMARK),
        f"SELECT p.series, CASE WHEN p.series <> '{BENCHMARK}' THEN r.ir END AS information_ratio, CASE WHEN p.series <> '{BENCHMARK}' THEN pow(1 + r.mr - r.beta * r.mb, 252) - 1 END AS alpha, "
        f"CASE WHEN p.series <> '{BENCHMARK}' THEN r.beta END AS beta, p.annual_return - (SELECT annual_return FROM perf0 WHERE series = '{BENCHMARK}') AS excess_return FROM perf0 p LEFT JOIN rel r ON p.series = r.series", [BARS, RETURNS, METRICS, RELATIVE]),
-    Op("backtest_report", "series annual_return:6 sharpe:6 max_drawdown:6 beta:6", lambda t: returns.backtest_report(t.returns.where("series <> 'NO'"), t.bars.where("code = 'NO'").select("dt", "close"), "benchmark"),
-       """SELECT p.series, p.annual_return, p.sharpe, m.max_drawdown, CASE WHEN p.series <> 'benchmark' THEN r.beta END AS beta FROM perf0 p JOIN mdd m ON p.series = m.series LEFT JOIN rel r ON p.series = r.series""",
+    Op("backtest_report", TABLE, lambda t: returns.backtest_report(t.returns.where("series <> 'NO'"), t.bars.where("code = 'NO'").select("dt", "close"), "benchmark"), performance("benchmark"),
        [BARS, RETURNS.replace("returns AS", "rets AS"), "returns AS (SELECT n.series, d.dt, r.ret FROM (SELECT DISTINCT series FROM rets WHERE series <> 'NO') n CROSS JOIN (SELECT dt FROM rets WHERE series = 'NO') d LEFT JOIN rets r ON r.series = n.series AND r.dt = d.dt UNION ALL SELECT 'benchmark', dt, ret FROM rets WHERE series = 'NO')",
         METRICS, *MAXDD, RELATIVE.replace(f"'{BENCHMARK}'", "'benchmark'")]),
     Op("agg_returns_yearly", "series year:i ret:6", lambda t: returns.compounded(t.returns, ("year",)), "SELECT * FROM yr", [BARS, RETURNS, YEARLY]),
@@ -476,14 +502,19 @@ OPS: list[Op] = [
        "FROM (SELECT *, max(close) OVER (PARTITION BY code) AS hi, min(close) OVER (PARTITION BY code) AS lo FROM bars)"),
     Op("renormalize", "code dt v:6", lambda t: t.bars.withColumn("v", scalars.renormalize("close", 0, 100_000, -1, 1)), "SELECT *, -1 + (close - 0) / 100000.0 * 2 AS v FROM bars"),
     Op("grouped_apply", "code n:i top", lambda t: frames.grouped_apply(t.bars.select("code", "close"), _summary, "code string, n long, top double"), "SELECT code, count(*) AS n, max(close) AS top FROM bars GROUP BY code"),
-    Op("monthly_heatmap", "series year:i m1:3 m6:3 m12:3", lambda t: charts.monthly_heatmap(t.returns), "SELECT series, year, " + ", ".join(f"round(max(CASE WHEN month = {k} THEN ret END), 3) AS m{k}" for k in (1, 6, 12)) + " FROM mo GROUP BY 1, 2", [BARS, RETURNS, MONTHLY]),
-    Op("metric_table", "series metric value:5", lambda t: charts.metric_table(returns.max_drawdowns(t.returns)), "SELECT series, 'max_drawdown' AS metric, max_drawdown AS value FROM mdd", [BARS, RETURNS, *MAXDD]),
+    Op("monthly_heatmap", "series year:i " + " ".join(f"m{k}:3" for k in range(1, 13)), lambda t: charts.monthly_heatmap(t.returns), "SELECT series, year, " + ", ".join(f"round(max(CASE WHEN month = {k} THEN ret END), 3) AS m{k}" for k in range(1, 13)) + " FROM mo GROUP BY 1, 2", [BARS, RETURNS, MONTHLY]),
+    Op("metric_table", "series metric value:5", lambda t: charts.metric_table(returns.performance_table(t.returns, BENCHMARK)),
+       " UNION ALL ".join(f"SELECT series, '{c}' AS metric, {c} AS value FROM ({performance(BENCHMARK)})" for c in (spec.partition(":")[0] for spec in TABLE.split()[1:])), [BARS, RETURNS, METRICS, *MAXDD, RELATIVE]),
     Op("window_bars", "code trade_time open high low close volume", lambda t: _window_bars(t),
        "SELECT event_type AS code, time_bucket(INTERVAL 6 HOURS, ts) AS trade_time, first(value ORDER BY ts, value) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, value) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2", ["z AS (SELECT 1)"]),
     # long series
     Op("long_series_mean", "code dt v:4", lambda t: halo.long_mean(halo.global_sequence(t.bars), "close", 20, 256, "v"), f"SELECT *, {full('close', 20, 'avg(close)')} AS v FROM bars"),
     Op("qrs_signal_long", "code dt signal:6", lambda t: halo.long_series(t.bars, 617, 1024, lambda b, rows: qrs.qrs_signal(b, rows=rows)), "SELECT code, dt, zscore * regulation AS signal FROM z WHERE rn >= 616", QRS),
     Op("long_series_sum", "code dt v:0", lambda t: halo.long_running_sum(halo.global_sequence(t.bars), F.col("volume"), 256, "v"), f"SELECT *, sum(volume) OVER {run()} AS v FROM bars"),
+    Op("long_series_product", "series dt v:6", lambda t: halo.long_running_product(halo.global_sequence(t.returns, "series"), 1 + F.coalesce("ret", F.lit(0.0)), 256, "v", "series"), f"SELECT *, product(1 + coalesce(ret, 0)) OVER {run('series')} AS v FROM returns", [BARS, RETURNS]),
+    Op("long_series_max", "code dt v", lambda t: halo.long_running_max(halo.global_sequence(t.bars), F.col("close"), 256, "v"), f"SELECT *, max(close) OVER {run()} AS v FROM bars"),
+    Op("long_series_ffill", "code dt v", lambda t: halo.long_last_known(halo.global_sequence(t.bars), F.when(F.col("volume") > 150, F.col("close")), 256, "v"), f"SELECT *, last_value(CASE WHEN volume > 150 THEN close END IGNORE NULLS) OVER {run()} AS v FROM bars"),
+    Op("underwater_long", "series dt underwater:6", lambda t: drawdown.long_underwater(t.returns, 256), "SELECT * FROM uw", DRAWDOWN),
 ]
 
 

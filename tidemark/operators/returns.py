@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import ratio
+from tidemark.sources.bars import every_pair
 
 SERIES = Rows(("series",), "dt")
 YEAR = 252
@@ -118,9 +119,9 @@ def backtest_report(returns: DataFrame, prices: DataFrame, benchmark: str = "ben
     Days without a return count with a null, days that the benchmark lacks are left out.
     """
     base = returns_of(prices.withColumn("code", F.lit(benchmark)), x)
-    names = returns.agg(F.collect_set("series").alias("names"))  # one row: the universe of series
-    days = base.select("dt").crossJoin(F.broadcast(names)).select(F.explode("names").alias("series"), "dt")
-    kept = returns.join(days, ["series", "dt"], "right").select("series", "dt", "ret")
+    days = every_pair(returns.select("series"), base.select("dt")).toDF("__series", "__dt")
+    same = F.col("__series").eqNullSafe(F.col("series")) & (F.col("__dt") == F.col("dt"))
+    kept = days.join(returns, same, "left").select(F.col("__series").alias("series"), F.col("__dt").alias("dt"), "ret")
     return performance_table(kept.unionByName(base), benchmark)
 
 

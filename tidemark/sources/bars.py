@@ -80,19 +80,26 @@ def calendar(df: DataFrame, time: str = "dt") -> DataFrame:
 CODE_BLOCK = 1000
 
 
+def every_pair(codes: DataFrame, times: DataFrame) -> DataFrame:
+    """Each value of the only column of ``codes`` at each of ``times``, nulls and repeated rows as values met once.
+
+    Grows as codes times times. Codes are kept in blocks of about CODE_BLOCK, however many there are; a time is dealt out to the blocks
+    and joined with them by number, and a block explodes into its codes.
+    """
+    (code,), (time,) = codes.columns, times.columns
+    codes = codes.distinct()
+    blocks = codes.count() // CODE_BLOCK + 1
+    lists = codes.groupBy(F.pmod(F.xxhash64(code), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct(code)).alias("__codes"))
+    dealt = times.distinct().select(time, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
+    return dealt.join(lists, "__block").select(F.explode("__codes").alias("__code"), time).select(f"__code.{code}", time)
+
+
 def dense_grid(df: DataFrame, code: str = "code", time: str = "dt") -> DataFrame:
     """Every code at every time of the union calendar, with nulls where it had no row, and ``present``.
 
-    The one operator that grows data: codes times times. Codes are kept in blocks of about CODE_BLOCK, however many there
-    are; a time is dealt out to the blocks and joined with them by number, and a block explodes into its codes. A null code is a code
-    of its own.
+    A null code is a code of its own.
     """
-    codes = df.select(F.col(code).alias("__code")).distinct()
-    blocks = codes.count() // CODE_BLOCK + 1
-    number = F.pmod(F.xxhash64("__code"), F.lit(blocks)).alias("__block")
-    lists = codes.groupBy(number).agg(F.collect_list(F.struct("__code")).alias("__codes"))
-    times = calendar(df, time).select(F.col(time).alias("__time"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    grid = times.join(lists, "__block").select(F.explode("__codes").alias("__code"), "__time").select("__code.__code", "__time")
+    grid = every_pair(df.select(F.col(code).alias("__code")), df.select(F.col(time).alias("__time")))
     rows = df.withColumn("present", F.lit(True))
     same = F.col("__code").eqNullSafe(F.col(code)) & F.col("__time").eqNullSafe(F.col(time))
     others = [c for c in df.columns if c not in (code, time)]
