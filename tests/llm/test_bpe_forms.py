@@ -30,3 +30,18 @@ def test_other_tokenizers_take_the_library_path():
     texts = ["Hello  world\n\n it's", "", "é" * 50]
     ids = encoder.batch([t.encode() for t in texts])
     assert ids.to_pylist() == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts] and encoder.decode(ids).to_pylist() == texts
+
+
+def test_words_of_two_generations(monkeypatch):
+    monkeypatch.setattr(bpe, "MAX_WORDS", 40)
+    tokenizer, encoder = Tokenizer.from_file(WORDS), bpe.Encoder(WORDS)
+    rng = random.Random(8)
+    pool = ["".join(rng.choices("abcdefgh", k=rng.randint(1, 9))) for _ in range(300)]
+    recalled = 0
+    for _ in range(60):
+        text = "usual words " + " ".join(rng.choices(pool, k=15)) + " usual end"
+        before = set(encoder.words) | set(encoder.older)
+        assert encoder.batch([text.encode()]).to_pylist() == [tokenizer.encode(text, add_special_tokens=False).ids]
+        recalled += b"usual" in before
+        assert len(encoder.words) <= 20 + 20 and len(encoder.older) <= 20 + 20
+    assert recalled == 59, "words that are met again stay"

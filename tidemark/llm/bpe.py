@@ -14,8 +14,11 @@ from tidemark.llm.common import sliced, whole_text
 
 #: Bytes that the rolling hash looks at, and bits that must be set at a cut (1024 bytes a chunk on average).
 WINDOW, CUT_BITS = 16, 10
-#: What a worker remembers at most; a full memory is emptied.
-MAX_WORDS, MAX_CHUNKS, MAX_WORD_BYTES = 800_000, 8_192, 256
+#: What a worker remembers at most. Words are kept in two generations of half as many: what was not met again while the
+#: younger one filled goes. A full memory of chunks is emptied.
+MAX_WORDS, MAX_CHUNKS, MAX_WORD_BYTES = 400_000, 8_192, 256
+#: Bytes of text that are cut and encoded at a time, or one text; the rolling hash takes some 40 bytes for each.
+SLICE = 1 << 20
 _ENCODERS: dict[str, Encoder] = {}
 
 
@@ -68,6 +71,7 @@ class Encoder:
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
         self.words: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
         self.chunks: dict[bytes, tuple[bytes, bytes, bytes] | None] = {}
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         names = [self.tokenizer.id_to_token(k) or "" for k in range(size)]
@@ -97,6 +101,12 @@ class Encoder:
             for w, x, y in zip(words[at : at + 4096], edges, edges[1:]):
                 self.words[w] = ids[x:y].tobytes()
 
+    def recall(self, needed: set[bytes]) -> None:
+        """Have ``needed`` in the younger generation, from the older one where that has them."""
+        missing = [w for w in needed if w not in self.words]
+        self.words.update((w, self.older[w]) for w in missing if w in self.older)
+        self.learn([w for w in missing if w not in self.older])
+
     def split(self, chunk: bytes) -> tuple[bytes, list[bytes], bytes] | None:
         """Head, words of the body, tail; None for a chunk without white space."""
         words = chunk.split()
@@ -112,8 +122,8 @@ class Encoder:
         if not self.by_words:
             whole = self.tokenizer.encode_batch([t.decode("utf-8", "replace") for t in texts], add_special_tokens=False)
             return pa.array([e.ids for e in whole], pa.list_(pa.int32()))
-        if len(self.words) > MAX_WORDS:
-            self.words.clear()
+        if len(self.words) > MAX_WORDS // 2:
+            self.older, self.words = self.words, {}
         if len(self.chunks) > MAX_CHUNKS:
             self.chunks.clear()
         known, fresh, needed = self.chunks, {}, set()
@@ -140,7 +150,7 @@ class Encoder:
                 plan.append((False, b"".join(seam)))
             needed.update(key for body, key in plan if not body)
             plans.append(plan)
-        self.learn([w for w in needed if w not in self.words])
+        self.recall(needed)
         for chunk, words in fresh.items():
             known[chunk] = known[chunk][0], b"".join(map(self.words.__getitem__, words)), known[chunk][2]
         out = [b"".join([known[key][1] if body else self.words[key] for body, key in plan]) for plan in plans]
@@ -246,7 +256,7 @@ def encode_decode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(path)
-        for part in sliced(batches, 1):
+        for part in sliced(batches, 1, SLICE):
             ids = encoder.batch(part.column(1).cast(pa.binary()).to_pylist())
             yield pa.record_batch([part.column(0), ids, encoder.decode(ids)], names=[id_col, "ids", "decoded"])
 
