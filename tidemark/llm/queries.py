@@ -1,4 +1,4 @@
-"""Queries of the ten operators over their whole tables, with production parameters."""
+"""Queries of the operators over their whole tables, with production parameters."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, html_text, lines, media, mixing, pii, repetition, simhash, token_histogram, urls
+from tidemark.llm import bpe, dialogue, html_text, lines, media, mixing, pii, repetition, simhash, token_histogram, urls
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,6 +87,10 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogue.repair(dialogue.damage(_table(spark, sf_dir, "conversations")), dropped_col="dropped")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -98,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "op12_dialogue_repair": op12_dialogue_repair,
     "url_redirects": url_redirects,
 }
 
@@ -106,5 +111,6 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
     "op8_line_dedup": lines.oracle(),
     "op9_url_filter": urls.oracle(),
+    "op12_dialogue_repair": dialogue.oracle(),
     "url_redirects": urls.oracle(redirected=True),
 }
