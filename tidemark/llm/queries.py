@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import bpe, dialogue, html_text, lines, media, mixing, pii, repetition, simhash, token_histogram, urls
+from tidemark.llm import bpe, dialogue, html_text, lines, media, mixing, pii, repetition, simhash, token_histogram, urls, vector_codes, vector_near
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -87,10 +87,18 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract_text(_table(spark, sf_dir, "pages"))
 
 
+def op11_vector_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_near.near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op12_dialogue_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.repair(dialogue.damage(_table(spark, sf_dir, "conversations")), dropped_col="dropped")
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_simhash": op1_simhash,
     "op2_mixing": op2_mixing,
@@ -102,7 +110,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_line_dedup": op8_line_dedup,
     "op9_url_filter": op9_url_filter,
     "op10_html_text": op10_html_text,
+    "op11_vector_near": op11_vector_near,
     "op12_dialogue_repair": op12_dialogue_repair,
+    "op13_vector_codes": op13_vector_codes,
     "url_redirects": url_redirects,
 }
 
@@ -111,6 +121,8 @@ ORACLES: dict[str, str] = {
     "op2_mixing": mixing.oracle(),
     "op8_line_dedup": lines.oracle(),
     "op9_url_filter": urls.oracle(),
+    "op11_vector_near": vector_near.oracle(),
     "op12_dialogue_repair": dialogue.oracle(),
+    "op13_vector_codes": vector_codes.oracle(),
     "url_redirects": urls.oracle(redirected=True),
 }
