@@ -150,8 +150,7 @@ def _across(edges: DataFrame, least: float, window: int) -> DataFrame:
             near = (place[left][:, None] + place[right][None, :] < window)
             unit = units(_matrix(table["vector"].combine_chunks()))
             a, b = np.nonzero(near & (unit[left] @ unit[right].T >= least))
-            names = table["src"].to_pylist()
-            src, dst = [names[left[k]] for k in a], [names[right[k]] for k in b]
+            src, dst = _forest(table["src"].to_pylist(), left[a], right[b])
         return pa.table({"src": pa.array(src, pa.binary()), "dst": pa.array(dst, pa.binary())})
 
     return edges.groupBy("boundary").applyInArrow(join, "src binary, dst binary")
