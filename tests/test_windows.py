@@ -41,7 +41,7 @@ def test_codes_do_not_mix(spark):
 
 def test_grid_modes_differ_at_gaps(spark):
     df = panel(spark, [1.0, 2.0, 3.0, 4.0, 5.0], "A", gaps=(2,)).union(panel(spark, [1.0] * 5, "B"))
-    windowed = lambda b: b.withColumn("m", ROWS.mean("close", 2))
+    windowed = lambda b, rows: b.withColumn("m", rows.mean("close", 2))
     own = column(feed.on_grid(df, "own", windowed).where("code = 'A'"), "m")
     union = column(feed.on_grid(df, "union", windowed).where("code = 'A'"), "m")
     assert own == [None, 1.5, 3.0, 4.5] and union == [None, 1.5, None, 4.5]
@@ -155,10 +155,9 @@ def test_empty_and_single_row(spark):
     assert feed.calendar_align(one).count() == 1
 
 
-def test_grid_keeps_null_codes_and_many_blocks(spark, monkeypatch):
+def test_grid_keeps_null_codes(spark):
     from tidemark.sources import bars
 
-    monkeypatch.setattr(bars, "CODE_BLOCK", 2)
     rows = [(c, t, float(k)) for k, (c, t) in enumerate([("a", 1), ("b", 1), (None, 2), ("c", 3), ("d", 3), ("e", 1), ("a", 3)])]
     grid = bars.dense_grid(spark.createDataFrame(rows, "code string, dt int, x double")).collect()
     assert len(grid) == 6 * 3 and sum(r["present"] for r in grid) == len(rows)

@@ -298,11 +298,6 @@ def _nudge(digits: str) -> float:
     return 10.0 ** -(int(digits) + 3)
 
 
-def _sig_rows(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    b = t.cents
-    return alligator.alligator_signal(b), alligator.ao_signal(b), alligator.fractal_signal(b)
-
-
 def _summary(group):
     """A user's function for grouped_apply."""
     return group.groupby("code", as_index=False).agg(n=("close", "size"), top=("close", "max"))
@@ -324,10 +319,10 @@ OPS: list[Op] = [
        f"WINDOW w AS {w(20)}"),
     Op("repeated_keys", "l_orderkey l_linenumber n:i", lambda t: feed.repeated_keys(t.raw("lineitem"), ["l_orderkey", "l_linenumber"]),
        "SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1", ["z AS (SELECT 1)"]),
-    Op("calendar_align", "code dt open high low close volume", lambda t: feed.calendar_align(t.bars),
+    Op("calendar_align", "code dt open high low close volume", lambda t: feed.calendar_align(t.bars, shuffled=True),
        "SELECT code, dt, " + ", ".join(f"last_value({c} IGNORE NULLS) OVER {run()} AS {c}" for c in ("open", "high", "low", "close")) + ", coalesce(volume, 0) AS volume FROM grid", [BARS, GRID]),
     Op("calendar_distinct", "dt", lambda t: feed.calendar(t.bars), "SELECT DISTINCT dt FROM bars"),
-    Op("dense_grid", "code dt close present", lambda t: feed.dense_grid(t.bars), "SELECT * FROM grid", [BARS, GRID]),
+    Op("dense_grid", "code dt close present", lambda t: feed.dense_grid(t.bars, shuffled=True), "SELECT * FROM grid", [BARS, GRID]),
     Op("pivot_mean", "code trade_time open:6 close:6 volume:6",
        lambda t: feed.mean_per_time(t.raw("events").select(F.col("event_type").alias("code"), F.date_trunc("hour", "ts").cast("timestamp_ntz").alias("trade_time"), F.col("value").alias("open"), (F.col("value") * 2).alias("close"), F.col("user_id").cast("double").alias("volume")), ["open", "close", "volume"]),
        "SELECT event_type AS code, date_trunc('hour', ts) AS trade_time, avg(value) AS open, avg(value * 2) AS close, avg(CAST(user_id AS DOUBLE)) AS volume FROM events GROUP BY 1, 2", ["z AS (SELECT 1)"]),
@@ -352,7 +347,7 @@ OPS: list[Op] = [
     Op("head_trim", "code dt close", lambda t: t.bars.withColumn("rn", ROWS.row()).where("rn >= 616"), f"SELECT * FROM bars QUALIFY row_number() OVER {o()} - 1 >= 616"),
     # generic windows
     Op("rolling_mean", "code dt v:4", lambda t: t.bars.withColumn("v", ROWS.mean("close", 20)), f"SELECT *, {full('close', 20, 'avg(close)')} AS v FROM bars"),
-    Op("rolling_mean_union", "code dt v:4", lambda t: feed.on_grid(t.bars, "union", lambda b: b.withColumn("v", ROWS.mean("close", 5))), f"SELECT * FROM (SELECT *, {full('close', 5, 'avg(close)')} AS v FROM grid) WHERE present", [BARS, GRID]),
+    Op("rolling_mean_union", "code dt v:4", lambda t: feed.on_grid(t.bars, "union", lambda b, r: b.withColumn("v", r.mean("close", 5))), f"SELECT * FROM (SELECT *, {full('close', 5, 'avg(close)')} AS v FROM grid) WHERE present", [BARS, GRID]),
     Op("rolling_std", "code dt v:4", lambda t: t.bars.withColumn("v", ROWS.std("close", 20)), f"SELECT *, {full('close', 20, 'stddev_samp(close)')} AS v FROM bars"),
     Op("rolling_sum", "code dt v:4", lambda t: t.bars.withColumn("v", ROWS.sum("volume", 20)), f"SELECT *, {full('volume', 20, 'sum(volume)')} AS v FROM bars"),
     Op("rolling_quantile", "code dt v:4", lambda t: t.bars.withColumn("v", ROWS.quantile("close", 60, 0.8)), f"SELECT *, {full('close', 60, 'quantile_cont(close, 0.8)')} AS v FROM bars"),
@@ -400,7 +395,7 @@ OPS: list[Op] = [
     Op("bottom_fractal", "code dt bottom:i", lambda t: alligator.fractals(t.bars), "SELECT * FROM fr", [BARS, *FRACTAL[:2]]),
     Op("fractal_class", "code dt fractal:i", lambda t: alligator.fractals(t.bars), "SELECT *, top + bottom AS fractal FROM fr", [BARS, *FRACTAL[:2]]),
     Op("fractal_signal", "code dt signal:i", lambda t: alligator.fractal_signal(t.bars), "SELECT * FROM fsig", [BARS, *FRACTAL]),
-    Op("combine_signals", "code dt signal:i", lambda t: alligator.combine_signals(*_sig_rows(t)),
+    Op("combine_signals", "code dt signal:i", lambda t: alligator.combined_signal(t.cents),
        f"""SELECT a.code, a.dt, CASE WHEN a.s = 1 AND (o.s = 1 OR f.signal = 1) THEN 1 WHEN a.s = -1 OR o.s = -1 OR f.signal = -1 THEN -1 ELSE 0 END AS signal
        FROM (SELECT *, {held('event')} AS s FROM asig) a JOIN (SELECT *, {held('event')} AS s FROM aoe) o ON a.code = o.code AND a.dt = o.dt JOIN fsig f ON a.code = f.code AND a.dt = f.dt""", [*ALLIGATOR, *AO, *FRACTAL]),
     Op("macd", "code dt dif:4 dea:4 hist:4", lambda t: momentum.macd(t.bars), "SELECT * FROM m", [BARS, *macd_ctes("close")]),

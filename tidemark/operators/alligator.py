@@ -23,9 +23,9 @@ def alligator_lines(bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags:
     _three(periods, "periods")
     _three(lags, "lags")
 
-    def lines(b: DataFrame) -> DataFrame:
-        b = b.withColumns({f"__{name}": rows.mean("close", p) for name, p in zip(LINES, periods)})
-        return b.withColumns({name: rows.lag(f"__{name}", k) for name, k in zip(LINES, lags)}).drop(*[f"__{name}" for name in LINES])
+    def lines(b: DataFrame, r: Rows) -> DataFrame:
+        b = b.withColumns({f"__{name}": r.mean("close", p) for name, p in zip(LINES, periods)})
+        return b.withColumns({name: r.lag(f"__{name}", k) for name, k in zip(LINES, lags)}).drop(*[f"__{name}" for name in LINES])
 
     return on_grid(bars, grid, lines, rows)
 
@@ -52,40 +52,55 @@ def alligator_signal(bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags:
     return found.withColumn("signal", rows.held("event") if keep else F.col("event")).drop("event")
 
 
+def _ao(b: DataFrame, periods: Sequence[int], rows: Rows) -> DataFrame:
+    short, long = periods
+    return b.withColumn("__half", (F.col("high") - F.col("low")) / 2).withColumn("ao", rows.mean("__half", short) - rows.mean("__half", long)).drop("__half")
+
+
 def ao(bars: DataFrame, periods: Sequence[int] = (5, 34), rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """``ao``: short minus long moving average of half the range of high and low."""
-    short, long = periods
-    half = (F.col("high") - F.col("low")) / 2
-    return on_grid(bars, grid, lambda b: b.withColumn("__half", half).withColumn("ao", rows.mean("__half", short) - rows.mean("__half", long)).drop("__half"), rows)
+    return on_grid(bars, grid, lambda b, r: _ao(b, periods, r), rows)
 
 
-def ao_signal(bars: DataFrame, window: int = 3, keep: bool = True, periods: Sequence[int] = (5, 34), rows: Rows = Rows()) -> DataFrame:
+def ao_signal(bars: DataFrame, window: int = 3, keep: bool = True, periods: Sequence[int] = (5, 34), rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """``signal``: 1 or -1 while the oscillator rose or fell through ``window`` values, held in between."""
-    found = with_monotone(ao(bars, periods, rows), "ao", window, "__event", rows)
-    return found.withColumn("signal", rows.held("__event") if keep else F.col("__event")).drop("__event")
+    def signal(b: DataFrame, r: Rows) -> DataFrame:
+        found = with_monotone(_ao(b, periods, r), "ao", window, "__event", r)
+        return found.withColumn("signal", r.held("__event") if keep else F.col("__event")).drop("__event")
 
+    return on_grid(bars, grid, signal, rows)
 
-def fractals(bars: DataFrame, rows: Rows = Rows()) -> DataFrame:
-    """``top`` (1 or 0), ``bottom`` (-1 or 0) and their sum ``fractal``, from a code's third row on.
 
-    A top is a middle bar of three whose high and low both lie above its neighbours'; a bottom is the mirror.
-    """
+def _fractals(b: DataFrame, rows: Rows) -> DataFrame:
     h0, h1, h2 = (rows.lag("high", k) for k in (0, 1, 2))
     l0, l1, l2 = (rows.lag("low", k) for k in (0, 1, 2))
     top = (h2 < h1) & (h1 > h0) & (l2 < l1) & (l1 > l0)
     bottom = (h2 > h1) & (h1 < h0) & (l2 > l1) & (l1 < l0)
-    found = bars.withColumns({"top": F.when(top, 1).otherwise(0), "bottom": F.when(bottom, -1).otherwise(0), "__row": rows.row()})
-    return found.withColumn("fractal", F.col("top") + F.col("bottom")).where("__row >= 2").drop("__row")
+    found = b.withColumns({"top": F.when(top, 1).otherwise(0), "bottom": F.when(bottom, -1).otherwise(0), "__row": rows.row()})
+    return found.withColumn("fractal", F.col("top") + F.col("bottom"))
+
+
+def fractals(bars: DataFrame, rows: Rows = Rows(), grid: str = "own") -> DataFrame:
+    """``top`` (1 or 0), ``bottom`` (-1 or 0) and their sum ``fractal``, from a code's third row on.
+
+    A top is a middle bar of three whose high and low both lie above its neighbours'; a bottom is the mirror.
+    """
+    return on_grid(bars, grid, lambda b, r: _fractals(b, r).where("__row >= 2").drop("__row"), rows)
+
 
+def _fractal_signal(b: DataFrame, rows: Rows, since: int) -> DataFrame:
+    """``signal`` of rows with ``fractal``; ``since`` is the row from which a fractal counts."""
+    close3, last = rows.lag("close", 3), rows.lag(F.when(F.col("__row") >= since, F.col("fractal")))
+    return b.withColumn("signal", F.when((F.col("close") > close3) & (last == 1), 1).when((F.col("close") < close3) & (last == -1), -1).otherwise(0))
 
-def fractal_signal(bars: DataFrame, rows: Rows = Rows()) -> DataFrame:
+
+def fractal_signal(bars: DataFrame, rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """``signal``: 1 if the last bar's fractal was a top and the close lies above that of three bars ago, -1 if it was
     a bottom and lies below, else 0."""
-    close3 = rows.lag("close", 3)
-    found = bars.withColumn("__up", F.col("close") > close3).withColumn("__down", F.col("close") < close3)
-    found = fractals(found, rows).withColumn("__last", rows.lag("fractal"))
-    signal = F.when(F.col("__up") & (F.col("__last") == 1), 1).when(F.col("__down") & (F.col("__last") == -1), -1).otherwise(0)
-    return found.withColumn("signal", signal).drop("__up", "__down", "__last", "top", "bottom", "fractal")
+    def signal(b: DataFrame, r: Rows) -> DataFrame:
+        return _fractal_signal(_fractals(b, r), r, 2).where("__row >= 2").drop("__row", "top", "bottom", "fractal")
+
+    return on_grid(bars, grid, signal, rows)
 
 
 def combined(a: Column, o: Column, f: Column) -> Column:
@@ -98,3 +113,13 @@ def combine_signals(alligator: DataFrame, oscillator: DataFrame, fractal: DataFr
     named = [t.select(*keys, F.col("signal").alias(n)) for t, n in ((alligator, "a"), (oscillator, "o"), (fractal, "f"))]
     joined = named[0].join(named[1], list(keys)).join(named[2], list(keys))
     return joined.select(*keys, combined(F.col("a"), F.col("o"), F.col("f")).alias("signal"))
+
+
+def combined_signal(
+    bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), ao_periods: Sequence[int] = (5, 34), window: int = 3, rows: Rows = Rows()
+) -> DataFrame:
+    """``signal`` of the three signals of one bar table, from a code's third row on: all are windows of the same sort, so nothing is joined."""
+    found = alligator_events(bars, periods, lags, rows).withColumn("__a", rows.held("event")).drop("event", *LINES)
+    found = with_monotone(_ao(found, ao_periods, rows), "ao", window, "__event", rows).withColumn("__o", rows.held("__event")).drop("ao", "__event")
+    found = _fractal_signal(_fractals(found, rows), rows, 2).withColumnRenamed("signal", "__f")
+    return found.withColumn("signal", combined(F.col("__a"), F.col("__o"), F.col("__f"))).where("__row >= 2").drop("__a", "__o", "__f", "__row", "top", "bottom", "fractal")

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import ratio
 from tidemark.plans.recurrence import exponential_means
+from tidemark.sources.bars import on_grid
 
 
 def ema(df: DataFrame, x: str, period: int, out: str = "ema", rows: Rows = Rows()) -> DataFrame:
@@ -66,11 +67,14 @@ def vmacd_mtm(df: DataFrame, x: str = "volume", period: int = 60, rows: Rows = R
     return found.withColumn("vmacd_mtm", F.when(known, F.col("__z") - rows.lag("__z", period))).drop("__z", "dif", "dea", "hist")
 
 
-def flow_signal(flow: DataFrame, x: str = "north_money", window: int = 60, low: float = 0.2, high: float = 0.8, rows: Rows = Rows(("series",))) -> DataFrame:
+def flow_signal(flow: DataFrame, x: str = "north_money", window: int = 60, low: float = 0.2, high: float = 0.8, rows: Rows = Rows(("series",)), grid: str = "own") -> DataFrame:
     """``signal``: 1 above the upper quantile of the last ``window`` rows, -1 below the lower one, held in between."""
-    bands = flow.withColumns({"upper": rows.quantile(x, window, high), "lower": rows.quantile(x, window, low)})
-    event = F.when(F.col(x) > F.col("upper"), 1).when(F.col(x) < F.col("lower"), -1)
-    return bands.withColumn("__event", event).withColumn("signal", rows.held("__event")).drop("__event")
+    def signal(b: DataFrame, r: Rows) -> DataFrame:
+        bands = b.withColumns({"upper": r.quantile(x, window, high), "lower": r.quantile(x, window, low)})
+        event = F.when(F.col(x) > F.col("upper"), 1).when(F.col(x) < F.col("lower"), -1)
+        return bands.withColumn("__event", event).withColumn("signal", r.held("__event")).drop("__event")
+
+    return on_grid(flow, grid, signal, rows)
 
 
 def phase_weights(n: int) -> list[float]:
@@ -84,30 +88,34 @@ def phase_weights(n: int) -> list[float]:
     return [2.0 / n * sum(math.sin(2 * math.pi * k * (n - 1 - i) / n) for k in kept) for i in range(n)]
 
 
-def phase_fir(df: DataFrame, x: str, n: int = 30, out: str = "phase", rows: Rows = Rows()) -> DataFrame:
+def phase_fir(df: DataFrame, x: str, n: int = 30, out: str = "phase", rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """Instantaneous phase at the last of n values: a dot product with fixed taps, then an arc tangent.
 
     Null until n values that are not null are in the window.
     """
     taps = F.array(*[F.lit(w) for w in phase_weights(n)])
-    window = F.when(F.count(x).over(rows.trail(n)) == n, rows.windows(x, n))
     imaginary = F.aggregate(F.zip_with("__w", taps, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return df.withColumn("__w", window).withColumn(out, F.atan2(imaginary, F.col(x))).drop("__w")
 
+    def phase(b: DataFrame, r: Rows) -> DataFrame:
+        window = F.when(F.count(x).over(r.trail(n)) == n, r.windows(x, n))
+        return b.withColumn("__w", window).withColumn(out, F.atan2(imaginary, F.col(x))).drop("__w")
+
+    return on_grid(df, grid, phase, rows)
 
-def ht_signal(df: DataFrame, x: str = "close", ma: int = 60, ht: int = 30, rows: Rows = Rows()) -> DataFrame:
+
+def ht_signal(df: DataFrame, x: str = "close", ma: int = 60, ht: int = 30, rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """``signal`` from row ma + ht - 1 on: 1 while the last phase of ``ht`` changes of the average lies in the right
     half plane, else 0.
 
     The phase does so exactly if its real part, which is the last change itself, is not negative; so no transform
     is made and ``ht`` only sets the warm-up. A change of exactly zero gives 1.
     """
-    steps = df.withColumn("__ma", rows.mean(x, ma)).withColumn("__step", rows.diff("__ma")).where("__step IS NOT NULL")
+    steps = on_grid(df, grid, lambda b, r: b.withColumn("__ma", r.mean(x, ma)).withColumn("__step", r.diff("__ma")), rows).where("__step IS NOT NULL")
     found = steps.withColumn("__row", rows.row()).where(F.col("__row") >= ht - 1)
     return found.withColumn("signal", F.when(F.col("__step") >= 0, 1).otherwise(0)).drop("__ma", "__step", "__row")
 
 
-def band_signal(df: DataFrame, x: str = "close", period: int = 60, band: int = 2, rows: Rows = Rows()) -> DataFrame:
+def band_signal(df: DataFrame, x: str = "close", period: int = 60, band: int = 2, rows: Rows = Rows(), grid: str = "own") -> DataFrame:
     """``signal`` from row ``period`` - 1 on: 1 if the last value of a frequency band is not negative.
 
     Band k is the moving average of 2^k rows less that of 2^(k+1), the fastest at k = 0; after the last band whose
@@ -115,12 +123,15 @@ def band_signal(df: DataFrame, x: str = "close", period: int = 60, band: int = 2
     stands for adaptive decompositions and does not equal them numerically.
     """
     bands = int(math.log2(period))
-    found = df.withColumn("__row", rows.row())
-    if band < bands:
-        value = rows.mean(x, 2**band) - rows.mean(x, 2 ** (band + 1))
-    elif band == bands:
-        value = rows.mean(x, 2**bands) - rows.mean(x, period)
-    else:
-        value = F.lit(None).cast("double")
-    found = found.withColumn("signal", F.when(value >= 0, 1).otherwise(0))
-    return found.where(F.col("__row") >= period - 1).drop("__row")
+
+    def signal(b: DataFrame, r: Rows) -> DataFrame:
+        if band < bands:
+            value = r.mean(x, 2**band) - r.mean(x, 2 ** (band + 1))
+        elif band == bands:
+            value = r.mean(x, 2**bands) - r.mean(x, period)
+        else:
+            value = F.lit(None).cast("double")
+        found = b.withColumn("__row", r.row()).withColumn("signal", F.when(value >= 0, 1).otherwise(0))
+        return found.where(F.col("__row") >= period - 1).drop("__row")
+
+    return on_grid(df, grid, signal, rows)

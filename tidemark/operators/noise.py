@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import larger, ratio, smaller
+from tidemark.plans.calendar import RANK, CalendarRows, days_of, ranks_of
 from tidemark.sources.bars import dense_grid, mean_per_time
 
 BY_TIME = Rows(("code",), "trade_time")
@@ -18,7 +19,7 @@ def _clock(time: str = "trade_time") -> Column:
 
 def prepared(bars: DataFrame) -> DataFrame:
     """Bars averaged per code and time on the dense grid, with ``day`` and ``tod``; ``present`` marks rows that exist."""
-    grid = dense_grid(mean_per_time(bars, ["open", "close", "volume"]), "code", "trade_time")
+    grid = dense_grid(mean_per_time(bars, ["open", "close", "volume"]), "code", "trade_time", shuffled=True)
     return grid.withColumns({"day": F.to_date("trade_time"), "tod": _clock()})
 
 
@@ -57,16 +58,17 @@ def day_levels(grid: DataFrame, open_time: str = "09:30:00", close_time: str = "
     return at_open.join(closes.withColumn("prev_close", days.lag("c")).drop("c"), ["code", "day"], "full")
 
 
-def with_levels(grid: DataFrame, open_time: str = "09:30:00", close_time: str = "15:00:00") -> DataFrame:
-    """``today_open`` and ``prev_close`` on every row: the day's opening bar, and the close of the last grid row at the
-    closing time on a day before (null if the code has no bar there).
+def _session(bars: DataFrame, close_time: str) -> DataFrame:
+    """``trade_time, tod, __rank, __last_close`` of the union calendar of ``bars``.
 
-    Windows inside a code only, so rows stay where the other windows put them; no join.
+    Times are ranked among those of the same time of day; ``__last_close`` is the last time at ``close_time`` on a day before.
     """
-    opens = F.max(F.when(F.col("tod") == open_time, F.col("open"))).over(Window.partitionBy("code", "day"))
-    earlier = Window.partitionBy("code").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
-    closes = F.last(F.when(F.col("tod") == close_time, F.struct(F.col("close").alias("c"))), ignorenulls=True).over(earlier)
-    return grid.withColumn("today_open", opens).withColumn("prev_close", closes["c"])
+    days = days_of(bars, "trade_time", shuffled=True)
+    closing = F.get(F.filter("__times", lambda t: F.date_format(t, "HH:mm:ss") == close_time), F.lit(0))
+    before = Window.orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.withColumn("__last_close", F.last(closing, ignorenulls=True).over(before))
+    times = ranks_of(days, "trade_time", "__last_close").withColumn("tod", _clock())
+    return times.withColumn(RANK, F.row_number().over(Window.partitionBy("tod").orderBy("trade_time")).cast("long"))
 
 
 def noise_area(bars: DataFrame, window: int = 14, open_time: str = "09:30:00", close_time: str = "15:00:00", keep_columns: bool = True) -> DataFrame:
@@ -74,13 +76,21 @@ def noise_area(bars: DataFrame, window: int = 14, open_time: str = "09:30:00", c
 
     The bounds are the larger of the day's open and the last close times 1 + sigma, and the smaller times 1 - sigma;
     null on a code's first day and on days without its opening bar. Rows that repeat a code and time are averaged;
-    a missing bar is a null in every window of the union calendar. Closes are matched by day, not by position. One
-    shuffle by code beyond the grid; every window sorts inside it.
+    a missing bar is a null in every window of the union calendar. Closes are matched by day, not by position.
+
+    No missing bar is made: sigma's frame is a range of ranks among the calendar's days with that time of day, and a last close
+    counts if it stands at the calendar's last closing time. The source is scanned once; the calendar reads the shuffle of the averages.
     """
-    grid = noise_sigma(prepared(bars), window, open_time)
-    grid = intraday_vwap(grid, F.col("day"))
-    found = with_levels(grid, open_time, close_time).where("present")
-    upper = larger("today_open", "prev_close") * (1 + F.col("sigma"))
-    lower = smaller("today_open", "prev_close") * (1 - F.col("sigma"))
+    own = mean_per_time(bars, ["open", "close", "volume"])
+    found = own.join(_session(own, close_time), "trade_time").withColumn("day", F.to_date("trade_time"))
+    found = intraday_vwap(open_distance(found, open_time), F.col("day"))
+    found = found.withColumn("sigma", CalendarRows(("code", "tod"), RANK).mean("distance", window))
+    opens = F.max(F.when(F.col("tod") == open_time, F.col("open"))).over(Window.partitionBy("code", "day"))
+    earlier = Window.partitionBy("code").orderBy(F.datediff("day", F.lit("1970-01-01"))).rangeBetween(Window.unboundedPreceding, -1)
+    last = F.last(F.when(F.col("tod") == close_time, F.struct("trade_time", "close")), ignorenulls=True).over(earlier)
+    found = found.withColumn("today_open", opens).withColumn("__last", last)
+    prev_close = F.when(F.col("__last.trade_time") == F.col("__last_close"), F.col("__last.close"))
+    upper = larger("today_open", prev_close) * (1 + F.col("sigma"))
+    lower = smaller("today_open", prev_close) * (1 - F.col("sigma"))
     base = ["open", "close", "volume"] if keep_columns else []
     return found.select("code", "trade_time", *base, upper.alias("upperbound"), F.col("close").alias("signal"), lower.alias("lowerbound"), "vwap")

@@ -19,8 +19,8 @@ def beta(bars: DataFrame, n: int = 18, simple: bool = False, grid: str = "own",
     """``beta`` per bar from the n-th row of a code on: the slope of high on low, or with ``simple`` the ratio of
     their standard deviations."""
     _checked(n)
-    value = rows.sigma_ratio("low", "high", n) if simple else rows.slope("low", "high", n)
-    found = on_grid(bars, grid, lambda b: b.withColumn("beta", value).withColumn("__row", rows.row()), rows)
+    value = lambda r: r.sigma_ratio("low", "high", n) if simple else r.slope("low", "high", n)
+    found = on_grid(bars, grid, lambda b, r: b.withColumn("beta", value(r)).withColumn("__row", r.row()), rows)
     return found.where(F.col("__row") >= n - 1).drop("__row")
 
 
@@ -34,7 +34,7 @@ def zscore_beta(bars: DataFrame, n: int = 18, m: int = 600, simple: bool = False
 def regulation(bars: DataFrame, n: int = 18, power: float = 2, grid: str = "own", rows: Rows = Rows()) -> DataFrame:
     """``regulation``: the correlation of high and low over n rows to a power (2 gives R squared)."""
     _checked(n)
-    return on_grid(bars, grid, lambda b: b.withColumn("regulation", F.pow(rows.correlation("low", "high", n), F.lit(power))), rows)
+    return on_grid(bars, grid, lambda b, r: b.withColumn("regulation", F.pow(r.correlation("low", "high", n), F.lit(power))), rows)
 
 
 def regulation_mean(bars: DataFrame, n: int = 18, power: float = 2, grid: str = "own", rows: Rows = Rows()) -> DataFrame:
@@ -52,11 +52,11 @@ def qrs_signal(
     sort whatever the number of codes; a code's rows stay in one task (see plans.halo for series beyond that).
     """
     _checked(n, m)
-    value = rows.sigma_ratio("low", "high", n) if simple else rows.slope("low", "high", n)
 
-    def measured(b: DataFrame) -> DataFrame:
-        b = b.withColumns({"beta": value, "regulation": F.pow(rows.correlation("low", "high", n), F.lit(power)), "__row": rows.row()})
-        return b.withColumn("__mean", rows.mean("regulation", n)) if adjust else b
+    def measured(b: DataFrame, r: Rows) -> DataFrame:
+        value = r.sigma_ratio("low", "high", n) if simple else r.slope("low", "high", n)
+        b = b.withColumns({"beta": value, "regulation": F.pow(r.correlation("low", "high", n), F.lit(power)), "__row": r.row()})
+        return b.withColumn("__mean", r.mean("regulation", n)) if adjust else b
 
     found = on_grid(bars, grid, measured, rows).where(F.col("__row") >= n - 1)
     found = found.withColumn("zscore", rows.zscore("beta", m)).where(F.col("__row") >= n + m - 2)

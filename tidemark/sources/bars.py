@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import col, no_nan
+from tidemark.plans import calendar as calendars
 
 #: Daily bars as read at the boundary.
 BARS = T.StructType(
@@ -76,55 +77,35 @@ def calendar(df: DataFrame, time: str = "dt") -> DataFrame:
     return df.select(time).distinct()
 
 
-#: Codes that one row of the list of codes holds.
-CODE_BLOCK = 1000
-
-
-def every_pair(codes: DataFrame, times: DataFrame) -> DataFrame:
-    """Each value of the only column of ``codes`` at each of ``times``, nulls and repeated rows as values met once.
-
-    Grows as codes times times. Codes are kept in blocks of about CODE_BLOCK, however many there are; a time is dealt out to the blocks
-    and joined with them by number, and a block explodes into its codes.
-    """
-    (code,), (time,) = codes.columns, times.columns
-    codes = codes.distinct()
-    blocks = codes.count() // CODE_BLOCK + 1
-    lists = codes.groupBy(F.pmod(F.xxhash64(code), F.lit(blocks)).alias("__block")).agg(F.collect_list(F.struct(code)).alias("__codes"))
-    dealt = times.distinct().select(time, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("__block"))
-    return dealt.join(lists, "__block").select(F.explode("__codes").alias("__code"), time).select(f"__code.{code}", time)
-
-
-def dense_grid(df: DataFrame, code: str = "code", time: str = "dt") -> DataFrame:
+def dense_grid(df: DataFrame, code: str = "code", time: str = "dt", shuffled: bool = False) -> DataFrame:
     """Every code at every time of the union calendar, with nulls where it had no row, and ``present``.
 
-    A null code is a code of its own.
+    A null code is a code of its own; a row without a time is not on the calendar. ``shuffled`` says that ``df`` comes out of an
+    aggregation, whose shuffle then serves the calendar too.
     """
-    grid = every_pair(df.select(F.col(code).alias("__code")), df.select(F.col(time).alias("__time")))
-    rows = df.withColumn("present", F.lit(True))
-    same = F.col("__code").eqNullSafe(F.col(code)) & F.col("__time").eqNullSafe(F.col(time))
-    others = [c for c in df.columns if c not in (code, time)]
-    return grid.join(rows, same, "left").select(F.col("__code").alias(code), F.col("__time").alias(time), *others, F.coalesce("present", F.lit(False)).alias("present"))
+    return calendars.dense(df, code, time, (), shuffled)
 
 
-def calendar_align(bars: DataFrame, rows: Rows = Rows()) -> DataFrame:
+def calendar_align(bars: DataFrame, rows: Rows = Rows(), shuffled: bool = False) -> DataFrame:
     """All codes on the union calendar: volume 0 and the last known prices where a code has no bar."""
     (code,) = rows.keys
-    grid = dense_grid(bars, code, rows.order).drop("present")
-    prices = {c: rows.last_known(c) for c in ("open", "high", "low", "close")}
-    return grid.withColumns(prices | {"volume": F.coalesce("volume", F.lit(0.0))})
+    prices = ("open", "high", "low", "close")
+    held = bars.withColumns({c: rows.last_known(c) for c in prices})
+    return calendars.dense(held, code, rows.order, prices, shuffled).drop("present").withColumn("volume", F.coalesce("volume", F.lit(0.0)))
 
 
-def on_grid(df: DataFrame, grid: str, windowed, rows: Rows = Rows()) -> DataFrame:
+def on_grid(df: DataFrame, grid: str, windowed: Callable[[DataFrame, Rows], DataFrame], rows: Rows = Rows()) -> DataFrame:
     """Apply a windowed operator on each code's own rows ('own') or on the union calendar ('union').
 
-    On the union calendar a missing row is a null in every frame it falls into; only rows that exist are returned.
+    ``windowed(df, rows)`` builds its columns with the given ``rows``. On the union calendar a missing row is a null in every frame
+    it falls into; frames are ranges of calendar ranks then, and only rows that exist are made.
     """
     if grid == "own":
-        return windowed(df)
+        return windowed(df, rows)
     if grid != "union":
         raise ValueError("grid is 'own' or 'union'")
-    (code,) = rows.keys
-    return windowed(dense_grid(df, code, rows.order)).where("present").drop("present")
+    on, by_rank = calendars.ranked(df, rows)
+    return windowed(on, by_rank).drop(calendars.RANK)
 
 
 def mean_per_time(df: DataFrame, values: Sequence[str], code: str = "code", time: str = "trade_time") -> DataFrame:
