@@ -118,7 +118,7 @@ def test_long_falls_equal_the_plain_ones(spark):
     ret = [None if k % 11 == 5 else ((k * 29) % 13 - 6) / 100 for k in range(200)]
     df = returns_table(spark, ret).union(returns_table(spark, ret[::-1], "B"))
     plain = drawdown.episodes(df).orderBy("series", "peak_date").collect()
-    cut = drawdown.long_episodes(df, 16).orderBy("series", "peak_date").collect()
+    cut = drawdown.long_episodes(df).orderBy("series", "peak_date").collect()
     assert len(plain) > 4
     assert [r[:4] for r in cut] == [r[:4] for r in plain]
     assert all(close_to(a["depth"], b["depth"]) for a, b in zip(cut, plain))

@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions import frames, scalars
+from tidemark.functions import frames, quantiles, scalars
 from tidemark.functions.frames import Rows
 from tidemark.operators import alligator, charts, drawdown, momentum, noise, qrs, returns, trades
-from tidemark.plans import halo
+from tidemark.plans import append, blocks, halo, intervals
 from tidemark.sources import bars as feed
 from tidemark.streaming.bars import stream_bars
 
@@ -163,6 +164,11 @@ FRACTAL = [
 ]
 
 
+def _on_grid(ctes: Sequence[str]) -> list[str]:
+    """The same steps over every code at every time."""
+    return [c.replace("FROM bars", "FROM grid") for c in ctes]
+
+
 def macd_ctes(x: str) -> list[str]:
     a, b, c = 2 / 13, 2 / 27, 2 / 10
     return [
@@ -303,12 +309,35 @@ def _summary(group):
     return group.groupby("code", as_index=False).agg(n=("close", "size"), top=("close", "max"))
 
 
+def _appended(df: DataFrame, cuts: Sequence[str]) -> DataFrame:
+    """A z-score, running maximum and running sum of bars that come in one part after the other."""
+    state, results = None, []
+    for begin, end in zip([None, *cuts], [*cuts, None]):
+        new = df if begin is None else df.where(F.col("dt") >= begin)
+        new = new if end is None else new.where(F.col("dt") < end)
+        folds = {"top": ("max", F.col("close")), "total": ("sum", F.col("volume"))}
+        found, state = append.append(state, new, lambda b, rows: b.withColumn("z", rows.zscore("close", 20)), 20, ROWS, folds)
+        results.append(found)
+    return functools.reduce(DataFrame.unionByName, results)
+
+
+def _long_moments(df: DataFrame, n: int) -> DataFrame:
+    found = blocks.trailing_moments(df, "low", "high", n, "m")
+    return found.select("code", "dt", blocks.mean_of("m", n).alias("mean"), blocks.std_of("m", n).alias("std"), blocks.slope_of("m", n).alias("slope"), blocks.correlation_of("m", n).alias("corr"),
+                        blocks.sigma_ratio_of("m", n).alias("ratio"), blocks.zscore_of(F.col("low"), "m").alias("z"))
+
+
 def _window_bars(t: Tables) -> DataFrame:
     ticks = t.raw("events").withColumns({"ts": F.col("ts").cast("timestamp"), "one": F.lit(1)})
     bars = stream_bars(ticks, "6 hours", "1 day", "event_type", "ts", "value", "one")
     return bars.withColumn("trade_time", F.col("trade_time").cast("timestamp_ntz"))
 
 
+#: Out of state 0 above 70000 or below 20000, out of 1 on a fall or a quiet day, out of 2 on a rise.
+THREE_STATES = {
+    0: [("close > 70000", 1), ("close < 20000", 2)], 1: [("close < 40000", 2), ("volume < 50", 0)], 2: [("close > 50000", 0)],
+}
+
 OPS: list[Op] = [
     # sources and shape
     Op("ohlcv_bars", "code dt open high low close volume", lambda t: t.bars, "SELECT * FROM bars"),
@@ -417,6 +446,21 @@ OPS: list[Op] = [
        f"SELECT *, CASE WHEN d >= 0 THEN 1 ELSE 0 END AS signal FROM (SELECT *, ma - lag(ma) OVER {o()} AS d, row_number() OVER {o()} - 1 AS rn FROM (SELECT *, {full('floor(close)', 60, 'sum(floor(close))')} AS ma FROM bars)) WHERE rn >= 89"),
     Op("band_signal", "code dt signal:i", lambda t: momentum.band_signal(t.bars.withColumn("close", F.floor("close"))),
        f"SELECT *, CASE WHEN {full('close', 4, 'sum(floor(close))')} * 2 >= {full('close', 8, 'sum(floor(close))')} THEN 1 ELSE 0 END AS signal FROM bars QUALIFY row_number() OVER {o()} >= 60"),
+    Op("ao_signal_union", "code dt signal:i", lambda t: alligator.ao_signal(t.cents, grid="union"), f"SELECT s.* FROM (SELECT *, {held('event')} AS signal FROM aoe) s JOIN bars USING (code, dt)", [*CENTS, GRID, *_on_grid(AO)]),
+    Op("fractal_signal_union", "code dt signal:i", lambda t: alligator.fractal_signal(t.bars, grid="union"), "SELECT f.* FROM fsig f JOIN bars USING (code, dt)", [BARS, GRID, *_on_grid(FRACTAL)]),
+    Op("fractal_class_union", "code dt fractal:i", lambda t: alligator.fractals(t.bars, grid="union"), "SELECT f.code, f.dt, f.top + f.bottom AS fractal FROM fr f JOIN bars USING (code, dt)", [BARS, GRID, *_on_grid(FRACTAL[:2])]),
+    Op("qrs_regulation_union", "code dt regulation:6", lambda t: qrs.regulation(t.bars, grid="union"),
+       f"SELECT g.code, g.dt, CASE WHEN n = 18 THEN power(r, 2) END AS regulation FROM (SELECT *, count(low) OVER {w(18)} AS n, covar_pop(high, low) OVER {w(18)} / nullif(stddev_pop(low) OVER {w(18)} * stddev_pop(high) OVER {w(18)}, 0) AS r FROM grid) g WHERE present", [BARS, GRID]),
+    Op("flow_signal_union", "series dt signal:i", lambda t: momentum.flow_signal(t.flow, window=5, grid="union"), f"SELECT s.* FROM (SELECT *, {held('event', 'series')} AS signal FROM fe) s JOIN flow USING (series, dt)",
+       [FLOWS, "fgrid AS (SELECT s.series, d.dt, f.north_money FROM (SELECT DISTINCT series FROM flow) s CROSS JOIN (SELECT DISTINCT dt FROM flow) d LEFT JOIN flow f ON f.series = s.series AND f.dt = d.dt)",
+        f"fe AS (SELECT *, CASE WHEN north_money > {full('north_money', 5, 'quantile_cont(north_money, 0.8)', 'series')} THEN 1 WHEN north_money < {full('north_money', 5, 'quantile_cont(north_money, 0.2)', 'series')} THEN -1 END AS event FROM fgrid)"]),
+    Op("ht_signal_union", "code dt signal:i", lambda t: momentum.ht_signal(t.bars.withColumn("close", F.floor("close")), grid="union"),
+       f"SELECT * FROM (SELECT code, dt, CASE WHEN d >= 0 THEN 1 ELSE 0 END AS signal, row_number() OVER {o()} - 1 AS k FROM (SELECT *, ma - lag(ma) OVER {o()} AS d FROM (SELECT *, {full('floor(close)', 60, 'sum(floor(close))')} AS ma FROM grid)) WHERE d IS NOT NULL) WHERE k >= 29", [BARS, GRID]),
+    Op("band_signal_union", "code dt signal:i", lambda t: momentum.band_signal(t.bars.withColumn("close", F.floor("close")), grid="union"),
+       f"SELECT s.* FROM (SELECT code, dt, CASE WHEN {full('close', 4, 'sum(floor(close))')} * 2 >= {full('close', 8, 'sum(floor(close))')} THEN 1 ELSE 0 END AS signal FROM grid QUALIFY row_number() OVER {o()} >= 60) s JOIN bars USING (code, dt)", [BARS, GRID]),
+    Op("phase_fir_union", "code dt phase:6", lambda t: momentum.phase_fir(t.bars, "close", 30, grid="union"),
+       "SELECT code, dt, CASE WHEN n = 30 THEN atan2(im, close) END AS phase FROM (SELECT a.code, a.dt, a.close, a.present, count(b.close) AS n, sum(b.close * t.wt) AS im FROM numbered a JOIN numbered b ON a.code = b.code AND b.rn BETWEEN a.rn - 29 AND a.rn JOIN taps t ON t.i = 29 - (a.rn - b.rn) GROUP BY ALL) WHERE present",
+       [BARS, GRID, f"numbered AS (SELECT *, row_number() OVER {o()} - 1 AS rn FROM grid)", "taps AS (SELECT i, 2.0 / 30 * sum(sin(2 * pi() * k * (29 - i) / 30)) AS wt FROM range(30) a(i), range(1, 15) b(k) GROUP BY i)"]),
     # metrics
     Op("performance_table", TABLE, lambda t: returns.performance_table(t.returns, BENCHMARK), performance(BENCHMARK), [BARS, RETURNS, METRICS, *MAXDD, RELATIVE]),
     *[Op(name, f"series {name}:6", lambda t, n=name: t.returns.groupBy("series").agg(getattr(returns, n)().alias(n)), "SELECT * FROM perf0", [BARS, RETURNS, METRICS]) for name in ("annual_return", "cum_return", "annual_vol", "sharpe", "sortino")],
@@ -446,8 +490,8 @@ OPS: list[Op] = [
        f"SELECT *, (peak_cum - valley_cum) / peak_cum * 100 AS net_drawdown_pct, {weekdays('peak_date', 'valley_date')} AS valley_duration, {weekdays('valley_date', 'recovery_date')} AS end_duration, CASE WHEN recovery_date IS NOT NULL THEN {weekdays('peak_date', 'recovery_date')} END AS duration FROM (SELECT * FROM top)", DRAWDOWN),
     Op("period_compare", "series rank:i series_return:6 benchmark_return:6", lambda t: drawdown.worst_periods(t.returns, BENCHMARK),
        f"SELECT t.series, t.rank, (SELECT product(1 + coalesce(ret, 0)) - 1 FROM returns r WHERE r.series = t.series AND r.dt BETWEEN t.peak_date AND t.recovery_date) AS series_return, (SELECT product(1 + coalesce(ret, 0)) - 1 FROM returns r WHERE r.series = '{BENCHMARK}' AND r.dt BETWEEN t.peak_date AND t.recovery_date) AS benchmark_return FROM top t", DRAWDOWN),
-    Op("worst_periods", "series rank:i net_drawdown_pct:5 duration:i series_return:6", lambda t: drawdown.worst_periods(t.returns, BENCHMARK, 3),
-       f"SELECT t.series, t.rank, (peak_cum - valley_cum) / peak_cum * 100 AS net_drawdown_pct, CASE WHEN recovery_date IS NOT NULL THEN {weekdays('peak_date', 'recovery_date')} END AS duration, (SELECT product(1 + coalesce(ret, 0)) - 1 FROM returns r WHERE r.series = t.series AND r.dt BETWEEN t.peak_date AND t.recovery_date) AS series_return FROM top t WHERE t.rank <= 3", DRAWDOWN),
+    Op("worst_periods", "series rank:i net_drawdown_pct:5 duration:i series_return:6 benchmark_return:6", lambda t: drawdown.worst_periods(t.returns, BENCHMARK, 3),
+       f"SELECT t.series, t.rank, (peak_cum - valley_cum) / peak_cum * 100 AS net_drawdown_pct, CASE WHEN recovery_date IS NOT NULL THEN {weekdays('peak_date', 'recovery_date')} END AS duration, (SELECT product(1 + coalesce(ret, 0)) - 1 FROM returns r WHERE r.series = t.series AND r.dt BETWEEN t.peak_date AND t.recovery_date) AS series_return, (SELECT product(1 + coalesce(ret, 0)) - 1 FROM returns r WHERE r.series = '{BENCHMARK}' AND r.dt BETWEEN t.peak_date AND t.recovery_date) AS benchmark_return FROM top t WHERE t.rank <= 3", DRAWDOWN),
     Op("drawdown_points", "series rank:i peak_cum:6 valley_cum:6 recovery_cum:6 state active_duration:i last_date", lambda t: drawdown.drawdown_points(t.returns),
        f"SELECT t.*, coalesce(u.cum, l.cum) AS recovery_cum, CASE WHEN t.recovery_date IS NULL THEN 'active' ELSE 'recovered' END AS state, CASE WHEN t.recovery_date IS NULL THEN {weekdays('t.peak_date', 'l.last_date')} END AS active_duration, l.last_date FROM top t JOIN lst l ON t.series = l.series LEFT JOIN uw u ON u.series = t.series AND u.dt = t.recovery_date",
        [*DRAWDOWN, "lst AS (SELECT series, max(dt) AS last_date, max_by(cum, dt) AS cum FROM uw GROUP BY 1)"]),
@@ -503,13 +547,29 @@ OPS: list[Op] = [
     Op("window_bars", "code trade_time open high low close volume", lambda t: _window_bars(t),
        "SELECT event_type AS code, time_bucket(INTERVAL 6 HOURS, ts) AS trade_time, first(value ORDER BY ts, value) AS open, max(value) AS high, min(value) AS low, last(value ORDER BY ts, value) AS close, CAST(count(*) AS DOUBLE) AS volume FROM events GROUP BY 1, 2", ["z AS (SELECT 1)"]),
     # long series
-    Op("long_series_mean", "code dt v:4", lambda t: halo.long_mean(halo.global_sequence(t.bars), "close", 20, 256, "v"), f"SELECT *, {full('close', 20, 'avg(close)')} AS v FROM bars"),
-    Op("qrs_signal_long", "code dt signal:6", lambda t: halo.long_series(t.bars, 617, 1024, lambda b, rows: qrs.qrs_signal(b, rows=rows)), "SELECT code, dt, zscore * regulation AS signal FROM z WHERE rn >= 616", QRS),
-    Op("long_series_sum", "code dt v:0", lambda t: halo.long_running_sum(halo.global_sequence(t.bars), F.col("volume"), 256, "v"), f"SELECT *, sum(volume) OVER {run()} AS v FROM bars"),
-    Op("long_series_product", "series dt v:6", lambda t: halo.long_running_product(halo.global_sequence(t.returns, "series"), 1 + F.coalesce("ret", F.lit(0.0)), 256, "v", "series"), f"SELECT *, product(1 + coalesce(ret, 0)) OVER {run('series')} AS v FROM returns", [BARS, RETURNS]),
-    Op("long_series_max", "code dt v", lambda t: halo.long_running_max(halo.global_sequence(t.bars), F.col("close"), 256, "v"), f"SELECT *, max(close) OVER {run()} AS v FROM bars"),
-    Op("long_series_ffill", "code dt v", lambda t: halo.long_last_known(halo.global_sequence(t.bars), F.when(F.col("volume") > 150, F.col("close")), 256, "v"), f"SELECT *, last_value(CASE WHEN volume > 150 THEN close END IGNORE NULLS) OVER {run()} AS v FROM bars"),
-    Op("underwater_long", "series dt underwater:6", lambda t: drawdown.long_underwater(t.returns, 256), "SELECT * FROM uw", DRAWDOWN),
+    Op("long_series_mean", "code dt v:4", lambda t: halo.long_mean(halo.global_sequence(t.bars.select("code", "dt", "close")), "close", 20, 256, "v"), f"SELECT *, {full('close', 20, 'avg(close)')} AS v FROM bars"),
+    Op("qrs_signal_long", "code dt signal:6", lambda t: halo.long_series(t.bars.select("code", "dt", "high", "low"), 617, 1024, lambda b, rows: qrs.qrs_signal(b, rows=rows)), "SELECT code, dt, zscore * regulation AS signal FROM z WHERE rn >= 616", QRS),
+    Op("long_series_sum", "code dt v:0", lambda t: halo.running(t.bars.select("code", "dt", "volume"), {"v": ("sum", F.col("volume"))}, F.date_trunc("month", "dt")), f"SELECT *, sum(volume) OVER {run()} AS v FROM bars"),
+    Op("long_series_product", "series dt v:6", lambda t: halo.running(t.returns, {"v": ("product", 1 + F.coalesce("ret", F.lit(0.0)))}, F.date_trunc("month", "dt"), "series"), f"SELECT *, product(1 + coalesce(ret, 0)) OVER {run('series')} AS v FROM returns", [BARS, RETURNS]),
+    Op("long_series_max", "code dt v", lambda t: halo.running(t.bars.select("code", "dt", "close"), {"v": ("max", F.col("close"))}, F.date_trunc("month", "dt")), f"SELECT *, max(close) OVER {run()} AS v FROM bars"),
+    Op("long_series_ffill", "code dt v", lambda t: halo.running(t.bars.select("code", "dt", "close", "volume"), {"v": ("last", F.when(F.col("volume") > 150, F.col("close")))}, F.date_trunc("month", "dt")), f"SELECT *, last_value(CASE WHEN volume > 150 THEN close END IGNORE NULLS) OVER {run()} AS v FROM bars"),
+    Op("rolling_quantile_long", "code dt v:4", lambda t: quantiles.long_quantile(t.bars.select("code", "dt", "close"), "close", 500, 0.8, "v"), f"SELECT *, {full('close', 500, 'quantile_cont(close, 0.8)')} AS v FROM bars"),
+    Op("rolling_moments_long", "code dt mean:4 std:4 slope:6 corr:6 ratio:6 z:6", lambda t: _long_moments(t.bars.select("code", "dt", "low", "high"), 600),
+       f"SELECT *, {full('low', 600, 'avg(low)')} AS mean, {full('low', 600, 'stddev_samp(low)')} AS std, CASE WHEN count(*) OVER w = 600 THEN covar_pop(high, low) OVER w / nullif(var_pop(low) OVER w, 0) END AS slope, "
+       "CASE WHEN count(*) OVER w = 600 THEN covar_pop(high, low) OVER w / nullif(stddev_pop(low) OVER w * stddev_pop(high) OVER w, 0) END AS corr, CASE WHEN count(*) OVER w = 600 THEN stddev_pop(high) OVER w / nullif(stddev_pop(low) OVER w, 0) END AS ratio, "
+       f"CASE WHEN count(*) OVER w = 600 THEN (low - avg(low) OVER w) / nullif(stddev_pop(low) OVER w, 0) END AS z FROM bars WINDOW w AS {w(600)}"),
+    Op("append_in_parts", "code dt z:6 top total:0", lambda t: _appended(t.bars.select("code", "dt", "close", "volume"), ["1997-01-01", "1999-06-01"]),
+       f"SELECT code, dt, CASE WHEN count(*) OVER {w(20)} = 20 THEN (close - avg(close) OVER {w(20)}) / nullif(stddev_pop(close) OVER {w(20)}, 0) END AS z, max(close) OVER {run()} AS top, sum(volume) OVER {run()} AS total FROM bars"),
+    Op("ema_long", "code dt v:4", lambda t: halo.long_ema(halo.global_sequence(t.bars.select("code", "dt", "close")), "close", 26, 256, "v"), "SELECT s.code, s.dt, e.g AS v FROM s LEFT JOIN e ON s.code = e.code AND s.rn = e.rn", [BARS, *macd_ctes("close")[:2]]),
+    Op("equity_curve_long", "code dt position:i trade_id:i growth:6", lambda t: trades.long_equity_curve(t.bars.drop("volume").withColumn("signal", ROWS.zscore("close", 20)), 256).withColumn("growth", F.col("equity") / 1e9), "SELECT *, equity / 1e9 AS growth FROM eq", TRADES),
+    Op("three_state_strategy", "code dt state:i", lambda t: trades.multi_state(t.bars.select("code", "dt", "close", "volume"), THREE_STATES, 3), """SELECT code, dt, state FROM walk""",
+       [BARS, f"numbered AS (SELECT *, row_number() OVER {o()} AS rn FROM bars)",
+        """walk AS (SELECT n.code, n.dt, n.rn, CASE WHEN n.close > 70000 THEN 1 WHEN n.close < 20000 THEN 2 ELSE 0 END AS state FROM numbered n WHERE n.rn = 1 UNION ALL
+          SELECT n.code, n.dt, n.rn, CASE WHEN w.state = 0 AND n.close > 70000 THEN 1 WHEN w.state = 0 AND n.close < 20000 THEN 2 WHEN w.state = 1 AND n.close < 40000 THEN 2 WHEN w.state = 1 AND n.volume < 50 THEN 0
+            WHEN w.state = 2 AND n.close > 50000 THEN 0 ELSE w.state END FROM walk w JOIN numbered n ON n.code = w.code AND n.rn = w.rn + 1)"""]),
+    Op("asof_join", "code dt ordered:i dt_at shipped:0", lambda t: intervals.asof(t.ordered, t.shipped, tolerance=3),
+       "SELECT a.code, a.dt, a.ordered, CASE WHEN a.dt - b.dt <= 3 THEN b.dt END AS dt_at, CASE WHEN a.dt - b.dt <= 3 THEN b.shipped END AS shipped FROM ordered a ASOF LEFT JOIN shipped b ON a.code = b.code AND a.dt >= b.dt", PANELS),
+    Op("underwater_long", "series dt underwater:6", lambda t: drawdown.long_underwater(t.returns), "SELECT * FROM uw", DRAWDOWN),
 ]
 
 

@@ -6,6 +6,7 @@ running aggregates here, since a position depends on the last event only and equ
 
 from __future__ import annotations
 
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import ratio, round_even
+from tidemark.plans.halo import global_sequence, long_states, running, with_halo
 
 
 @dataclass(frozen=True)
@@ -39,19 +41,46 @@ def position(bars: DataFrame, enter: Column | None = None, leave: Column | None
     return bars.withColumn("__event", F.when(enter, 1).when(leave, 0)).withColumn("position", rows.held("__event")).drop("__event")
 
 
-def with_fills(bars: DataFrame, account: Account = Account(), rows: Rows = Rows()) -> DataFrame:
-    """``bars`` (with ``position``) plus ``side`` and ``fill_price`` of the order that fills at a bar's open.
+def machine(rules: Mapping[int, Sequence[tuple[Column | str, int]]], states: int) -> Column:
+    """A row's array of the next state by state: the first of a state's ``(condition, next)`` that holds, else the state itself.
 
-    A change of position at a bar fills at the next bar's open, slipped against the trader within that bar's range.
+    A condition is a boolean column or its SQL.
     """
-    before, earlier = rows.lag("position", 1), rows.lag("position", 2)
-    change = before - F.coalesce(earlier, F.lit(0))
+    def after(state: int) -> Column:
+        chosen = F.lit(state)
+        for condition, to in reversed(list(rules.get(state, ()))):
+            chosen = F.when(F.expr(condition) if isinstance(condition, str) else condition, F.lit(to)).otherwise(chosen)
+        return chosen
+
+    return F.array(*[after(s) for s in range(states)])
+
+
+def multi_state(bars: DataFrame, rules: Mapping[int, Sequence[tuple[Column | str, int]]], states: int, start: int = 0, rows: Rows = Rows(), coarse: str = "month") -> DataFrame:
+    """``state`` after each bar of a strategy with any number of states, numbered from 0; where two states are enough see ``position``.
+
+    ``rules`` gives for each state the conditions that leave it, in order; a null condition does not hold. A series is walked in calendar periods, see ``halo.long_states``.
+    """
+    (key,) = rows.keys
+    part = F.date_trunc(coarse, F.col(rows.order).cast("timestamp"))
+    return long_states(bars, machine(rules, states), part, start, "state", key, rows.order)
+
+
+def _filled(bars: DataFrame, change: Column, account: Account) -> DataFrame:
     side = F.when(change > 0, "buy").when(change < 0, "sell")
     buy = F.least(F.col("open") * (1 + account.slippage), F.col("high"))
     sell = F.greatest(F.col("open") * (1 - account.slippage), F.col("low"))
     return bars.withColumn("side", side).withColumn("fill_price", F.when(F.col("side") == "buy", buy).when(F.col("side") == "sell", sell))
 
 
+def with_fills(bars: DataFrame, account: Account = Account(), rows: Rows = Rows()) -> DataFrame:
+    """``bars`` (with ``position``) plus ``side`` and ``fill_price`` of the order that fills at a bar's open.
+
+    A change of position at a bar fills at the next bar's open, slipped against the trader within that bar's range.
+    """
+    before, earlier = rows.lag("position", 1), rows.lag("position", 2)
+    return _filled(bars, before - F.coalesce(earlier, F.lit(0)), account)
+
+
 def commission_of(size: Column, price: Column, account: Account = Account()) -> Column:
     """Cost of a fill: commission both ways, stamp duty on sales (negative sizes), nothing for size 0."""
     rate = F.when(size > 0, account.commission).when(size < 0, account.commission + account.duty).otherwise(0.0)
@@ -86,6 +115,41 @@ def equity_curve(bars: DataFrame, account: Account = Account(), rows: Rows = Row
     return work.withColumn("in_trade", F.coalesce("in_trade", F.lit(False))).drop("__c1", "__buy", "__base", "__factor", "__closed", "__open", "__start")
 
 
+def long_equity_curve(
+    bars: DataFrame, bucket: int, account: Account = Account(), conditions: Callable[[Rows], tuple[Column, Column]] = lambda rows: hysteresis(rows=rows), look_back: int = 2, key: str = "code", time: str = "dt"
+) -> DataFrame:
+    """``equity_curve`` with its ``position`` from bars with a signal, for series that may each be too long for one task.
+
+    ``conditions(rows)`` gives the enter and exit conditions, which look at ``look_back`` rows at most. Rows are numbered and cut into buckets of
+    ``bucket`` rows. Events and the close before come from buckets with a few copied rows; what depends on all rows before are running folds: the
+    last event, then the last entry, then the product of closed trades, then the equity at the last entry.
+    """
+    c, d, share = account.commission, account.duty, account.share
+    seq, part = "__seq", F.floor(F.col("__seq") / bucket)
+
+    def events(b: DataFrame, rows: Rows) -> DataFrame:
+        enter, leave = conditions(rows)
+        b = b.withColumn("__e", F.when(enter, 1).when(leave, 0))
+        return b.withColumns({"__e1": rows.lag("__e"), "__e2": rows.lag("__e", 2), "__c1": rows.lag("close")})
+
+    work = events(with_halo(global_sequence(bars, key, time, out=seq), look_back + 2, bucket, seq), Rows((key, "bucket"), time)).where("not in_halo").drop("bucket", "in_halo")
+    work = running(work, {"position": ("last", F.col("__e")), "__p1": ("last", F.col("__e1")), "__p2": ("last", F.col("__e2"))}, part, key, seq)
+    work = work.withColumn("position", F.coalesce("position", F.lit(0)))
+    work = _filled(work, F.coalesce("__p1", F.lit(0)) - F.coalesce("__p2", F.lit(0)), account)
+    bought = lambda x: F.when(F.col("side") == "buy", x)
+    work = running(work, {"trade_id": ("sum", bought(F.lit(1))), "entry_price": ("last", bought(F.col("fill_price"))), "__base": ("last", bought(F.col("__c1"))), "__open": ("last", F.col("side"))}, part, key, seq)
+    gain = lambda money: 1 + share / F.col("__base") * (money - F.col("entry_price") * (1 + c))
+    work = running(work, {"__closed": ("product", F.when(F.col("side") == "sell", gain(F.col("fill_price") * (1 - c - d))).otherwise(1.0))}, part, key, seq)
+    work = work.withColumn("__closed", account.cash * F.col("__closed"))
+    work = running(work, {"entry_equity": ("last", bought(F.col("__closed")))}, part, key, seq)
+    held = F.coalesce(F.col("__open") == "buy", F.lit(False))
+    work = work.withColumns({
+        "trade_id": F.coalesce("trade_id", F.lit(0).cast("long")), "equity": F.when(held, F.col("__closed") * gain(F.col("close"))).otherwise(F.col("__closed")),
+        "size": share * F.col("entry_equity") / F.col("__base"), "in_trade": held | F.coalesce(F.col("side") == "sell", F.lit(False)),
+    })
+    return work.drop(seq, "__e", "__e1", "__e2", "__c1", "__p1", "__p2", "__base", "__open", "__closed")
+
+
 def fills(bars: DataFrame, account: Account = Account(), rows: Rows = Rows()) -> DataFrame:
     """One row per fill: code, day, side, price, signed size and cost."""
     found = equity_curve(bars, account, rows).where("side IS NOT NULL")
@@ -143,20 +207,22 @@ def by_status(trades: DataFrame) -> DataFrame:
 
 def trade_stats(trades: DataFrame) -> DataFrame:
     """Totals per ticker: counts, longest winning and losing streak, win rate over all trades, profit factor (null without
-    losers), holding bars. Null where there is nothing to divide by."""
-    done = trades.where("status = 2").withColumn("__sign", F.signum("pnl"))
-    w = Window.partitionBy("ticker").orderBy("ref")
-    runs = done.withColumn("__run", F.row_number().over(w) - F.row_number().over(Window.partitionBy("ticker", "__sign").orderBy("ref")))
-    streaks = runs.groupBy("ticker", "__sign", "__run").agg(F.count("*").alias("n")).groupBy("ticker").agg(
-        F.max(F.when(F.col("__sign") > 0, F.col("n"))).alias("win"), F.max(F.when(F.col("__sign") < 0, F.col("n"))).alias("lose")
-    )
+    losers), holding bars. Null where there is nothing to divide by.
+
+    A closed trade's place in its streak is the number of closed trades since the sign last changed, so streaks are a column of the same rows.
+    """
     closed, won, lost = F.col("status") == 2, (F.col("status") == 2) & (F.col("pnl") > 0), (F.col("status") == 2) & (F.col("pnl") < 0)
-    total = trades.groupBy("ticker").agg(
+    inside = Window.partitionBy("ticker", closed).orderBy("ref")
+    run = inside.rowsBetween(Window.unboundedPreceding, 0)
+    work = trades.withColumns({"__sign": F.signum("pnl"), "__place": F.row_number().over(inside)})
+    work = work.withColumn("__begin", F.max(F.when(~F.lag("__sign").over(inside).eqNullSafe(F.col("__sign")), F.col("__place"))).over(run))
+    streak = F.col("__place") - F.col("__begin") + 1
+    longest = lambda rows: F.coalesce(F.max(F.when(rows, streak)), F.lit(0)).cast("long")
+    return work.groupBy("ticker").agg(
         F.count("*").alias("total"), F.count_if(closed).alias("closed"), F.count_if(~closed).alias("open"), F.count_if(won).alias("won"), F.count_if(lost).alias("lost"),
         ratio(F.count_if(won), F.count("*")).alias("win_rate"), ratio(F.sum(F.when(won, F.col("pnl"))), F.abs(F.sum(F.when(lost, F.col("pnl"))))).alias("profit_factor"),
-        F.avg("nbars").alias("bars_avg"), F.max("nbars").alias("bars_max"), F.min("nbars").alias("bars_min"),
+        F.avg("nbars").alias("bars_avg"), F.max("nbars").alias("bars_max"), F.min("nbars").alias("bars_min"), longest(won).alias("longest_win"), longest(lost).alias("longest_loss"),
     )
-    return total.join(streaks, "ticker", "left").withColumns({"longest_win": F.coalesce("win", F.lit(0)), "longest_loss": F.coalesce("lose", F.lit(0))}).drop("win", "lose")
 
 
 def sqn(trades: DataFrame) -> DataFrame:

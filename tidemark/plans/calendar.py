@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import col, ratio
+from tidemark.plans.summaries import reads_all
 
 RANK = "__rank"
 #: Whole-number times that make a coarse period.
@@ -32,7 +33,7 @@ def days_of(df: DataFrame, time: str, shuffled: bool = False) -> DataFrame:
     day = _day(F.col(time), df.schema[time].dataType).alias("__day")
     known = df.where(F.col(time).isNotNull())
     if shuffled:
-        groups = known.groupBy(F.col(time).alias("__time")).agg(F.bit_xor(F.xxhash64(*df.columns)).alias("__mix")).where("__mix IS NOT NULL")
+        groups = known.groupBy(F.col(time).alias("__time")).agg(reads_all(df).alias("__mix")).where("__mix IS NOT NULL")
         groups = groups.groupBy(_day(F.col("__time"), df.schema[time].dataType).alias("__day")).agg(F.array_sort(F.collect_set("__time")).alias("__times"))
     else:
         groups = known.groupBy(day).agg(F.array_sort(F.collect_set(time)).alias("__times"))

@@ -1,28 +1,25 @@
-"""Windows over one very long series: buckets with a halo, and running sums, products, maxima and held values in two levels."""
+"""Windows over one very long series: buckets with a halo, running folds in two levels, averages and state machines by composed maps."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+import math
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
+from tidemark.plans.summaries import reads_all
 
 
 def global_sequence(df: DataFrame, key: str = "code", time: str = "dt", coarse: str = "month", out: str = "seq") -> DataFrame:
     """Number a key's rows from 0 in time order without sorting the key in one task.
 
-    Rows are counted per coarse period, the counts summed along the periods, and rows numbered inside them.
-    Rows of a null key are numbered as one series, rows without a time come first.
+    Rows are numbered inside coarse periods, and the rows of the periods before are counted; both use one shuffle by key and
+    period. Rows of a null key are numbered as one series, rows without a time come first.
     """
-    period = F.date_trunc(coarse, F.col(time).cast("timestamp"))
-    work = df.withColumn("__period", period).withColumn("__part", F.struct(key, "__period"))  # a struct joins on nulls too
-    counts = work.groupBy(key, "__period").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.partitionBy(key).orderBy("__period").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select(F.struct(key, "__period").alias("__part"), F.coalesce(before, F.lit(0)).alias("__before"))
-    inside = F.row_number().over(Window.partitionBy("__part").orderBy(time)) - 1
-    return work.withColumn(out, inside).join(starts, "__part").withColumn(out, F.col(out) + F.col("__before")).drop("__part", "__period", "__before")
+    part = F.date_trunc(coarse, F.col(time).cast("timestamp"))
+    return running(df, {out: ("sum", F.lit(1))}, part, key, time).withColumn(out, F.col(out) - 1)
 
 
 def with_halo(df: DataFrame, look_back: int, bucket: int, seq: str = "seq") -> DataFrame:
@@ -59,41 +56,114 @@ def long_mean(df: DataFrame, x: str, n: int, bucket: int, out: str, key: str = "
     return with_halo(df, n, bucket, seq).withColumn(out, value).where("not in_halo").drop("bucket", "in_halo")
 
 
-def _two_levels(
-    df: DataFrame, x: Column, bucket: int, out: str, key: str, seq: str, fold: Callable[[str], Column], total: Column, merge: Callable[[Column, Column], Column]
-) -> DataFrame:
-    """``fold`` of ``__x`` from a series' start: inside buckets of ``bucket`` rows, merged with the fold of the buckets' totals before.
+def _last(x: Column, order: Column) -> Column:
+    return F.max_by(x, F.when(x.isNotNull(), order))
+
+
+#: By kind: the running aggregate, a bucket's total (value, order), and how a total and the value behind it merge.
+FOLDS: dict[str, tuple[Callable, Callable, Callable]] = {
+    "sum": (F.sum, lambda x, o: F.sum(x), lambda a, b: F.coalesce(a + b, a, b)),
+    "product": (F.product, lambda x, o: F.product(x), lambda a, b: F.coalesce(a * b, a, b)),
+    "max": (F.max, lambda x, o: F.max(x), lambda a, b: F.greatest(a, b)),
+    "last": (lambda x: F.last(x, ignorenulls=True), _last, lambda a, b: F.coalesce(b, a)),
+}
+
+
+def running(df: DataFrame, folds: Mapping[str, tuple[str, Column]], part: Column, key: str = "code", order: str = "dt") -> DataFrame:
+    """``df`` with running folds ``{out: (kind, x)}`` from a series' start, of kinds ``sum, product, max, last``.
 
-    A task holds one bucket, or one total of each bucket of a series. Nulls are skipped; before the first value the result is null.
+    ``part`` cuts a series into buckets and never falls along ``order``: a row number over the bucket's size, or a calendar period.
+    Values are folded inside buckets and merged with the fold of the buckets' totals before. A task holds one bucket, or one total
+    of each bucket of a series. Nulls are skipped; before the first value a fold is null. All folds take one shuffle by key and bucket,
+    which the totals read too, and two of totals. That shuffle is shared if all columns of ``df`` are used in the end, so leave out those that are not wanted.
     """
+    names = {out: f"__x{k}" for k, out in enumerate(folds)}
+    dealt = df.withColumn("__part", F.struct(F.col(key).alias("key"), part.alias("bucket"))).repartition("__part")  # a struct joins on nulls too
+    work = dealt.withColumns({names[out]: x for out, (_, x) in folds.items()})
+    totals = work.groupBy("__part").agg(*[FOLDS[kind][1](F.col(names[out]), F.col(order)).alias(names[out]) for out, (kind, _) in folds.items()], reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
+    before = Window.partitionBy("__part.key").orderBy("__part.bucket").rowsBetween(Window.unboundedPreceding, -1)
+    carried = totals.select("__part", *[FOLDS[kind][0](F.col(names[out])).over(before).alias(f"__before{k}") for k, (out, (kind, _)) in enumerate(folds.items())])
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    found = work.withColumns({f"__in{k}": FOLDS[kind][0](F.col(names[out])).over(inside) for k, (out, (kind, _)) in enumerate(folds.items())}).join(carried, "__part")
+    found = found.withColumns({out: FOLDS[kind][2](F.col(f"__before{k}"), F.col(f"__in{k}")) for k, (out, (kind, _)) in enumerate(folds.items())})
+    return found.drop("__part", *names.values(), *(f"__{x}{k}" for k in range(len(folds)) for x in ("in", "before")))
+
+
+def _by_number(df: DataFrame, kind: str, x: Column, bucket: int, out: str, key: str, seq: str) -> DataFrame:
     if bucket < 1:
         raise ValueError("a bucket has one row at least")
-    from_start = lambda w: w.rowsBetween(Window.unboundedPreceding, 0)
-    work = df.withColumns({"__x": x, "__bucket": F.floor(F.col(seq) / bucket)}).withColumn("__part", F.struct(key, "__bucket"))
-    totals = work.groupBy(key, "__bucket").agg(total.alias("__total"))
-    before = fold("__total").over(Window.partitionBy(key).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1))
-    carried = totals.select(F.struct(key, "__bucket").alias("__part"), before.alias("__before"))
-    inside = work.withColumn("__inside", fold("__x").over(from_start(Window.partitionBy("__part").orderBy(seq))))
-    merged = inside.join(carried, "__part").withColumn(out, merge(F.col("__before"), F.col("__inside")))
-    return merged.drop("__x", "__bucket", "__part", "__before", "__inside")
+    return running(df, {out: (kind, x)}, F.floor(F.col(seq) / bucket), key, seq)
 
 
 def long_running_sum(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
     """Running sum from the start of a series, nulls skipped."""
-    return _two_levels(df, x, bucket, out, key, seq, F.sum, F.sum("__x"), lambda a, b: F.coalesce(a + b, a, b))
+    return _by_number(df, "sum", x, bucket, out, key, seq)
 
 
 def long_running_product(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
     """Running product from the start of a series, nulls skipped."""
-    return _two_levels(df, x, bucket, out, key, seq, F.product, F.product("__x"), lambda a, b: F.coalesce(a * b, a, b))
+    return _by_number(df, "product", x, bucket, out, key, seq)
 
 
 def long_running_max(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
     """Running maximum from the start of a series, nulls skipped."""
-    return _two_levels(df, x, bucket, out, key, seq, F.max, F.max("__x"), lambda a, b: F.greatest(a, b))
+    return _by_number(df, "max", x, bucket, out, key, seq)
 
 
 def long_last_known(df: DataFrame, x: Column, bucket: int, out: str, key: str = "code", seq: str = "seq") -> DataFrame:
     """The latest value that is not null, this row's included."""
-    latest = F.max_by("__x", F.when(F.col("__x").isNotNull(), F.col(seq)))
-    return _two_levels(df, x, bucket, out, key, seq, lambda c: F.last(c, ignorenulls=True), latest, lambda a, b: F.coalesce(b, a))
+    return _by_number(df, "last", x, bucket, out, key, seq)
+
+
+def long_ema(df: DataFrame, x: str, period: int, bucket: int, out: str = "ema", key: str = "code", seq: str = "seq") -> DataFrame:
+    """Exponential moving average, as ``momentum.ema``, of series cut into buckets of ``bucket`` rows by their number.
+
+    A bucket maps the average before it to the one behind it: y becomes a + b y, where a is the average of the bucket's rows from zero. Buckets before
+    the current one are full, so b is the same for all of them and maps compose to a sum of a's with falling powers of b, which ends
+    where the power is nothing in doubles. The seed and the nulls so far are running sums.
+    """
+    if period < 1 or not 1 <= bucket <= 256 * period:
+        raise ValueError("a period has one row at least, a bucket one to 256 periods")
+    a, start = 2.0 / (period + 1), period - 1
+    keep = 1 - a
+    part = F.floor(F.col(seq) / bucket)
+    early = F.when(F.col(seq) <= start, F.col(x))
+    work = running(df, {"__seed": ("sum", early), "__gaps": ("sum", F.when(F.col(x).isNull(), 1))}, part, key, seq)
+    u = F.when(F.col(seq) == start, F.col("__seed") / period).when(F.col(seq) > start, a * F.col(x))
+    dealt = work.withColumn("__part", F.struct(F.col(key).alias("key"), part.alias("bucket"))).repartition("__part")
+    work = dealt.withColumns({"__u": u, "__r": F.col(seq) % bucket})
+    if period == 1:
+        local = F.col("__u")
+    else:
+        inside = Window.partitionBy("__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
+        local = F.coalesce(F.sum(F.col("__u") * F.pow(F.lit(keep), -F.col("__r"))).over(inside), F.lit(0.0)) * F.pow(F.lit(keep), F.col("__r"))
+    work = work.withColumn("__local", local)
+    terms = 1 if period == 1 else int(-60 * math.log(2) / (bucket * math.log(keep))) + 1
+    totals = work.groupBy("__part").agg(F.max_by("__local", seq).alias("__a"), reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
+    some = Window.partitionBy("__part.key").orderBy("__part.bucket").rowsBetween(-terms, -1)
+    passed = F.aggregate(F.collect_list("__a").over(some), F.lit(0.0), lambda y, v: y * keep**bucket + v)
+    found = work.join(totals.select("__part", passed.alias("__passed")), "__part")
+    known = (F.col(seq) >= start) & F.col("__gaps").isNull()
+    value = F.col("__local") + F.col("__passed") * F.pow(F.lit(keep), F.col("__r") + 1)
+    return found.withColumn(out, F.when(known, value)).drop("__part", "__seed", "__gaps", "__u", "__r", "__local", "__passed")
+
+
+def long_states(df: DataFrame, table: Column, part: Column, start: int = 0, out: str = "state", key: str = "code", order: str = "dt") -> DataFrame:
+    """``df`` with the state of a machine behind each row; ``table`` is the row's array of the next state by state.
+
+    Tables of a bucket's rows are composed into one, buckets are walked from the ``start`` state, and rows apply the composed tables
+    before them to the state their bucket begins in. Composing costs as many steps as a row has rows before it in its bucket.
+    """
+    dealt = df.withColumn("__part", F.struct(F.col(key).alias("key"), part.alias("bucket"))).repartition("__part")
+    work = dealt.withColumn("__table", table)
+    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    then = lambda a, b: F.transform(a, lambda s: F.get(b, s))
+    tables = F.collect_list("__table").over(inside)
+    composed = F.aggregate(F.slice(tables, F.lit(2), F.size(tables)), F.element_at(tables, 1), then)
+    work = work.withColumn("__map", composed)
+    totals = work.groupBy("__part").agg(F.max_by("__map", order).alias("__all"), reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
+    walks = totals.groupBy(F.col("__part.key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("__part", "__all"))).alias("__walk"))
+    begun = F.aggregate("__walk", F.array(F.lit(start)), lambda s, b: F.array_append(s, F.get(b["__all"], F.element_at(s, -1))))
+    begun = walks.select(F.explode(F.arrays_zip(F.col("__walk.__part").alias("p"), begun.alias("s"))).alias("__b")).where("__b.p IS NOT NULL")
+    found = work.join(begun.select(F.col("__b.p").alias("__part"), F.col("__b.s").alias("__s")), "__part")
+    return found.withColumn(out, F.get("__map", F.col("__s"))).drop("__part", "__table", "__map", "__s")

@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import functions as F
 
 
+def reads_all(df: DataFrame) -> Column:
+    """An aggregate that is always known and needs every column.
+
+    Filtered on, it keeps an aggregation from reading fewer columns than another use of the same shuffle, so that both share it.
+    """
+    return F.bit_xor(F.xxhash64(*df.columns))
+
+
 def growth_summary(ret: str, time: str) -> list[Column]:
     """Aggregates of a stretch: ``rows``, and from its own start ``growth``, ``peak`` and ``trough`` (1 included) and ``worst``, the least
     ratio of a value to one before it. A missing return leaves the value as it is. The stretch's rows are put in order in one list."""
@@ -65,3 +73,30 @@ def folded(stretches: Column, names: list[str]) -> Column:
     first = F.element_at(stretches, 1)
     rest = F.slice(stretches, F.lit(2), F.size(stretches))
     return F.aggregate(rest, F.struct(*[first[n].alias(n) for n in names]), step)
+
+
+def pairs_of(x: Column, y: Column, window: WindowSpec) -> Column:
+    """Moments of both values along a window: ``n, mean, mean2, m2, m22, co, low, high, low2, high2``; both are null together."""
+    n = F.count(x).over(window)
+    spread = lambda c: F.var_pop(c).over(window) * n
+    return F.struct(
+        n.alias("n"), F.avg(x).over(window).alias("mean"), F.avg(y).over(window).alias("mean2"), spread(x).alias("m2"), spread(y).alias("m22"), (F.covar_pop(x, y).over(window) * n).alias("co"),
+        F.min(x).over(window).alias("low"), F.max(x).over(window).alias("high"), F.min(y).over(window).alias("low2"), F.max(y).over(window).alias("high2"),
+    )
+
+
+def merged_pairs(a: Column, b: Column) -> Column:
+    """The moments of ``pairs_of`` of two stretches together."""
+    n, apart, apart2 = a["n"] + b["n"], b["mean"] - a["mean"], b["mean2"] - a["mean2"]
+    share = a["n"] * b["n"] / n
+    return F.when(b["n"] == 0, a).when(a.isNull() | (a["n"] == 0), b).otherwise(F.struct(
+        n.alias("n"), (a["mean"] + apart * b["n"] / n).alias("mean"), (a["mean2"] + apart2 * b["n"] / n).alias("mean2"), (a["m2"] + b["m2"] + apart * apart * share).alias("m2"),
+        (a["m22"] + b["m22"] + apart2 * apart2 * share).alias("m22"), (a["co"] + b["co"] + apart * apart2 * share).alias("co"), F.least(a["low"], b["low"]).alias("low"), F.greatest(a["high"], b["high"]).alias("high"),
+        F.least(a["low2"], b["low2"]).alias("low2"), F.greatest(a["high2"], b["high2"]).alias("high2"),
+    ))
+
+
+def known_of(m: Column, which: int) -> Column:
+    """The sum of squared distances of the first or second value, exactly 0 for equal values."""
+    low, high, m2 = ("low", "high", "m2") if which == 1 else ("low2", "high2", "m22")
+    return F.when(m[low] == m[high], 0.0).otherwise(m[m2])

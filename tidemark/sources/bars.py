@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
+from operator import or_
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -36,12 +39,54 @@ def repeated_keys(df: DataFrame, keys: Sequence[str] = ("code", "dt")) -> DataFr
     return df.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1")
 
 
+def write_bucketed(df: DataFrame, table: str, buckets: int, keys: Sequence[str] = ("code",), order: str = "dt", mode: str = "error") -> None:
+    """Write a table in ``buckets`` by key, sorted by key and time: windows and joins by the key over it need no shuffle.
+
+    Rows are dealt by key first, so each bucket is one file. A key's rows lie in one bucket; see ``plans.halo`` for keys beyond a task.
+    """
+    df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys, order).saveAsTable(table)
+
+
 def require_columns(df: DataFrame, names: Sequence[str]) -> None:
     """ValueError if a column is missing."""
     if missing := [c for c in names if c not in df.columns]:
         raise ValueError(f"missing columns: {', '.join(missing)}")
 
 
+@dataclass
+class Checks:
+    """What a checked panel has shown once an action has read it; ``verify`` raises ValueError on the first faults."""
+
+    seen: Observation
+
+    def counts(self) -> dict[str, int]:
+        return dict(self.seen.get)
+
+    def verify(self) -> None:
+        if bad := [f"{n} {what.replace('_', ' ')}" for what, n in self.counts().items() if what != "rows" and n]:
+            raise ValueError(f"unsound panel: {', '.join(bad)}")
+
+
+def checked(df: DataFrame, schema: T.StructType = BARS, rows: Rows = Rows()) -> tuple[DataFrame, Checks]:
+    """A panel that counts its own faults while it is read, so no second scan is needed.
+
+    Missing columns and other types than those of ``schema`` are an error at once. Null keys, repeated keys, values that are not finite and
+    bars whose high lies below their low are counted in the pass of the first action on the returned table; ``Checks.verify`` after it
+    raises. The check of repeats looks at the row before, in the order that the signals need anyway.
+    """
+    require_columns(df, schema.names)
+    if wrong := [f"{f.name} is {df.schema[f.name].dataType.simpleString()}, not {f.dataType.simpleString()}" for f in schema if df.schema[f.name].dataType != f.dataType]:
+        raise ValueError(f"wrong types: {', '.join(wrong)}")
+    keys = [*rows.keys, rows.order]
+    seen = Observation()
+    floats = [f.name for f in schema if isinstance(f.dataType, T.DoubleType)]
+    odd = reduce(or_, [F.isnan(c) | (F.abs(c) == float("inf")) for c in floats], F.lit(False))
+    counts = [F.count("*").alias("rows"), F.count_if(reduce(or_, [F.col(k).isNull() for k in keys])).alias("null_keys"), F.count_if(F.col("__before") == F.col(rows.order)).alias("repeated_keys"), F.count_if(odd).alias("values_not_finite")]
+    if {"high", "low"} <= set(schema.names):
+        counts.append(F.count_if(F.col("high") < F.col("low")).alias("highs_below_lows"))
+    return df.withColumn("__before", rows.lag(rows.order)).observe(seen, *counts).drop("__before"), Checks(seen)
+
+
 def ohlcv_bars(
     ticks: DataFrame, code: Column | str, time: Column | str, price: Column | str, size: Column | str, order: Sequence[Column | str], time_name: str = "dt"
 ) -> DataFrame:
