@@ -98,3 +98,37 @@ def test_a_band_of_many_blocks(docs, monkeypatch):
     want = plain_groups(texts)
     got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(texts)).collect()}
     assert [got[k] for k in range(len(texts))] == want and 1 < len(set(want)) < 60
+
+
+def test_memory_of_many_long_texts():
+    """512 unlike texts of 20,000 words: what a task takes beside the sets themselves."""
+    import tracemalloc
+
+    import numpy as np
+
+    rng = np.random.default_rng(6)
+    sets = [np.unique(rng.integers(0, 1 << 64, 20_000, np.uint64)) for _ in range(512)]
+    sets[7] = sets[500]
+    tracemalloc.start()
+    links = list(module.forest(sets[:256], sets[256:], list(range(512)), 0.8))
+    _, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert links == [(7, 500)] and peak < 200 * 2**20
+
+
+def test_blocks_of_long_texts_and_of_a_large_group(docs, monkeypatch):
+    """A band that is mostly one group, with chains and outliers, in blocks bounded by shingles."""
+    monkeypatch.setattr(module, "BLOCK", 8)
+    monkeypatch.setattr(module, "BLOCK_SHINGLES", 700)
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    texts = []
+    for k in range(90):
+        words = list(base)
+        for _ in range(1 if k < 60 else rng.choice([4, 5, 6, 7])):
+            words[rng.randrange(150)] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    rng.shuffle(texts)
+    want = plain_groups(texts)
+    got = {r["doc_id"]: r["component_id"] for r in near_copies(docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == want and 1 < len(set(want)) < 40

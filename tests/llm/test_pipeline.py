@@ -66,3 +66,35 @@ def test_stages_keep_the_columns(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for _, stage in corpus_pipeline.STAGES[:-1]:
         assert stage(spark, docs, "/root/testdata/sf0.001").dtypes == docs.dtypes
+
+
+def test_run_over_whole_texts_and_edge_rows(spark, tmp_path):
+    """All documents of the smallest size whatever their length, and null, empty, very long, repetitive and copied texts."""
+    import random
+
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rng = random.Random(4)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(3000)]
+    given = documents.orderBy("doc_id").first()
+    texts = [None, "", " \n\t", " ".join(words), " ".join(words[:-40]), "again and again " * 3000, given["text"], " ".join(words) + "\nend."]
+    more = spark.createDataFrame([(10**6 + k, t, "en", given["source"], len(t or "")) for k, t in enumerate(texts)], documents.select("doc_id", "text", "lang", "source", "n_chars").schema)
+    table = documents.select(*more.columns).unionByName(more)
+    table.write.parquet(str(tmp_path / "documents.parquet"))
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in table.orderBy("doc_id").collect()]
+    got = sorted((r["doc_id"], r["n_tokens"], r["ids_sha256"], r["decoded_sha256"]) for r in corpus_pipeline.run(spark, str(tmp_path)).collect())
+    assert got == plain_run([(i, t if len(t or "") < 40_000 else "", s) for i, t, s in rows]) and len(got) > 50  # the longest is all repetition, which the rules reject
+
+
+def test_run_over_an_empty_table(spark, tmp_path):
+    spark.read.parquet("/root/testdata/sf0.001/documents.parquet").limit(0).write.parquet(str(tmp_path / "documents.parquet"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
+def test_run_leaves_only_what_its_result_reads(spark, tmp_path):
+    from tidemark.llm.common import shared_dir
+
+    shared = shared_dir(spark).removeprefix("file:")
+    before = {p.name for p in __import__("pathlib").Path("/" + shared.lstrip("/")).iterdir()}
+    kept = corpus_pipeline.run(spark, "/root/testdata/sf0.001")
+    left = {p.name for p in __import__("pathlib").Path("/" + shared.lstrip("/")).iterdir()} - before
+    assert [n.split("-")[0] for n in sorted(left) if not n.startswith("rdd")] == ["stage3"] and kept.count() > 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,10 @@ from tidemark.llm.components import connected_components, with_least
 BANDS, ROWS = 32, 4
 #: At most so many texts (8 bytes each) are broadcast; more are joined by shuffle.
 BROADCAST_TEXTS = 500_000
-#: Nodes of a band that one task compares with each other or with so many more.
-BLOCK = 512
+#: Nodes of a band, and shingles of theirs (8 bytes each), that one task compares with each other or with so many more.
+BLOCK, BLOCK_SHINGLES = 512, 1 << 20
+#: Shingles that are counted at a time.
+COUNTED = 1 << 20
 #: Distinct shingles whose bits are compared at a time.
 COLUMNS = 1 << 15
 
@@ -57,32 +60,31 @@ def band_keys(sets: list[np.ndarray]) -> list[np.ndarray | None]:
     return keys
 
 
+def digest(members: np.ndarray) -> bytes:
+    """What stands for a set: 128 bits, so that no two sets of a corpus are taken for one."""
+    return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
+
+
 def _sketched(texts: DataFrame, id_type: str, shingle_words: int) -> DataFrame:
     """``doc_id, text_key, node, n, bands``: a row's text, the digest and size of its set, and its bands."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for part in sliced(batches, 2, 1 << 20):
             sets = [shingle_set(t.as_py(), shingle_words) for t in part.column(2)]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [part.column(0), part.column(1), pa.array(nodes), sizes, pa.array(band_keys(sets), pa.list_(pa.int64()))]
+            columns = [part.column(0), part.column(1), pa.array([digest(s) for s in sets], pa.binary()), sizes, pa.array(band_keys(sets), pa.list_(pa.int64()))]
             yield pa.record_batch(columns, names=["doc_id", "text_key", "node", "n", "bands"])
 
-    return texts.mapInArrow(run, f"doc_id {id_type}, text_key long, node long, n long, bands array<long>")
+    return texts.mapInArrow(run, f"doc_id {id_type}, text_key binary, node binary, n long, bands array<long>")
 
 
 def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
     """``node, members`` of rows ``text_key, text``."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
-
         for part in sliced(batches, 1, 1 << 20):
             sets = [shingle_set(t.as_py(), shingle_words) for t in part.column(1)]
-            nodes = np.fromiter((xxhash.xxh64_intdigest(s.tobytes()) for s in sets), np.uint64, len(sets)).view(np.int64)
-            yield pa.record_batch([pa.array(nodes), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
+            yield pa.record_batch([pa.array([digest(s) for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["node", "members"])
 
-    return texts.mapInArrow(run, "node long, members array<long>")
+    return texts.mapInArrow(run, "node binary, members array<long>")
 
 
 def _members(nodes: DataFrame, texts: DataFrame, keys: DataFrame, shingle_words: int) -> DataFrame:
@@ -105,8 +107,23 @@ def _alike(pairs: DataFrame, sets: DataFrame, least: float) -> DataFrame:
 
 
 def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
-    """How many values each set of ``left`` shares with each of ``right``, as counts of bits that rows of bits share."""
+    """How many values each set of ``left`` shares with each of ``right``, as counts of bits that rows of bits share.
+
+    Values are hashes, so equal ranges of them hold about equally many; ranges of about ``COUNTED`` values are counted one after the other.
+    """
     both = [*left, *right]
+    total = np.zeros((len(left), len(right)), np.int64)
+    ranges = sum(map(len, both)) // COUNTED + 1
+    edges = [k * (1 << 64) // ranges for k in range(1, ranges)]
+    cuts = [[0, *np.searchsorted(s, np.array(edges, np.uint64)).tolist(), len(s)] for s in (x.view(np.uint64) for x in both)]
+    for k in range(ranges):
+        _count([s[c[k] : c[k + 1]] for s, c in zip(both, cuts)], total)
+    return total
+
+
+def _count(both: list[np.ndarray], total: np.ndarray) -> None:
+    """Adds what the first sets share with the others to ``total``."""
+    first = len(total)
     owner = np.repeat(np.arange(len(both)), [len(s) for s in both])
     _, code, times = np.unique(np.concatenate(both), return_inverse=True, return_counts=True)
     place = np.cumsum(times > 1) - 1  # a value that stands once is shared by none
@@ -114,18 +131,16 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     owner, code = owner[keep], place[code[keep]]
     order = np.argsort(code, kind="stable")
     owner, code = owner[order], code[order]
-    total = np.zeros((len(left), len(right)), np.int64)
     for begin in range(0, int(code[-1]) + 1 if len(code) else 0, COLUMNS):
         a, b = np.searchsorted(code, [begin, begin + COLUMNS])
         bit = (code[a:b] - begin).astype(np.uint64)
         rows = np.zeros((len(both), -(-(int(bit[-1]) + 1) // 64)), np.uint64)
         np.bitwise_or.at(rows, (owner[a:b], bit >> np.uint64(6)), np.uint64(1) << (bit & np.uint64(63)))
-        for i in range(len(left)):
-            total[i] += np.bitwise_count(rows[len(left) :] & rows[i]).sum(axis=1, dtype=np.int64)
-    return total
+        for i in range(first):
+            total[i] += np.bitwise_count(rows[first:] & rows[i]).sum(axis=1, dtype=np.int64)
 
 
-def forest(left: list[np.ndarray], right: list[np.ndarray] | None, roots: list[int], least: float) -> Iterator[tuple[int, int]]:
+def forest(left: list[np.ndarray], right: list[np.ndarray] | None, roots: list, least: float) -> Iterator[tuple[int, int]]:
     """Links that join all groups of alike sets: positions in ``left`` then ``right``, whose groups so far are ``roots``.
 
     All pairs of a set of ``left`` and one of ``right`` (or two of ``left``) are compared; those of one group give no link.
@@ -135,7 +150,8 @@ def forest(left: list[np.ndarray], right: list[np.ndarray] | None, roots: list[i
     both = shared_counts(left, other)
     sizes = np.array([len(s) for s in left])[:, None] + np.array([len(s) for s in other])[None, :] - both
     alike = both >= least * sizes - 1e-6
-    group = np.unique(np.array(roots), return_inverse=True)[1]
+    names: dict = {}
+    group = np.array([names.setdefault(r, len(names)) for r in roots])
     for i in range(len(left)):
         found = np.nonzero(alike[i] & (group[offset : offset + len(other)] != group[i]))[0] + offset
         for label, first in zip(*np.unique(group[found], return_index=True)):
@@ -164,33 +180,41 @@ def _runs(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Ta
 
 
 def _alike_in_bands(bands: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """Links ``src, dst`` that join all alike nodes of a band (rows ``key, node, root``) whose roots differ.
+    """Links ``src, dst`` that join all alike nodes of a band (rows ``key, node, n, root``) whose roots differ.
 
-    A band is dealt out in blocks of about BLOCK nodes, each pair of blocks being compared in one task, by exact counts of
-    shared shingles. Pairs stay inside the task: a node goes to as many tasks as its band has blocks, and only links that join groups come back.
+    Nodes of the band's largest group need not be compared with each other, so they are dealt out in blocks of their own; blocks of the
+    other nodes meet each other and these. A block has about BLOCK nodes and BLOCK_SHINGLES shingles, whichever are fewer, and each pair of blocks is
+    compared in one task, by exact counts of shared shingles. Pairs stay inside the task: only links that join groups come back. Work grows
+    with a band's nodes times those outside its largest group.
     """
-    size = bands.groupBy("key").agg(F.count("*").alias("size"))
-    rows = bands.join(size, "key").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
-    rows = rows.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
+    groups = bands.groupBy("key", "root").agg(F.count("*").alias("size"), F.sum("n").alias("shingles"))
+    totals = groups.groupBy("key").agg(F.max(F.struct("size", "shingles", "root")).alias("big"), F.sum("size").alias("size"), F.sum("shingles").alias("shingles"))
+    blocks = lambda size, shingles: F.greatest(F.ceil(size / BLOCK), F.ceil(shingles / BLOCK_SHINGLES)).cast("int")
+    totals = totals.select("key", F.col("big.root").alias("major"), blocks(F.col("big.size"), F.col("big.shingles")).alias("majors"), blocks(F.col("size") - F.col("big.size"), F.col("shingles") - F.col("big.shingles")).alias("others"))
+    rows = bands.join(totals, "key")
+    major = F.col("root") == F.col("major")
+    place = F.pmod(F.xxhash64("node"), F.when(major, F.col("majors")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("block", F.when(major, F.col("others") + place).otherwise(place))  # those of the largest group are numbered last
+    last = F.when(major, F.col("others") - 1).otherwise(F.col("others") + F.col("majors") - 1)
+    rows = rows.select("key", "node", "root", "block", F.explode(F.sequence(F.lit(0), last)).alias("with"))
     rows = rows.select("key", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), (F.col("block") > F.col("with")).alias("second"), "node", "root")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for table in _runs(batches, ["key", "p", "q"]):
             one = table["p"][0] == table["q"][0]
-            order = np.argsort(table["second"].to_numpy(zero_copy_only=False), kind="stable")
-            first = len(order) if one else int((~table["second"].to_numpy(zero_copy_only=False)).sum())
-            if first < len(order) or one:
-                nodes, roots = table["node"].to_numpy()[order], table["root"].to_numpy()[order]
+            second = table["second"].to_numpy(zero_copy_only=False)
+            order = np.argsort(second, kind="stable")
+            first = len(order) if one else int((~second).sum())
+            if len(order) > 1 and (one or 0 < first < len(order)):
+                nodes, roots = (np.array(table[c].to_pylist(), object)[order].tolist() for c in ("node", "root"))
                 column = table["members"].combine_chunks()
-                members = [column[int(k)].values.to_numpy() for k in order]
-                links = list(forest(members[:first], None if one else members[first:], roots.tolist(), least)) if len(members) > 1 else []
+                members = [column[int(k)].values.to_numpy().view(np.uint64) for k in order]
+                links = list(forest(members[:first], None if one else members[first:], roots, least))
                 if links:
-                    a, b = np.array(links).T
-                    yield pa.record_batch([pa.array(nodes[a], pa.int64()), pa.array(nodes[b], pa.int64())], names=["src", "dst"])
+                    yield pa.record_batch([pa.array([nodes[i] for i, _ in links], pa.binary()), pa.array([nodes[j] for _, j in links], pa.binary())], names=["src", "dst"])
 
     tasks = rows.join(sets, "node").repartition("key", "p", "q").sortWithinPartitions("key", "p", "q")
-    return written(tasks.mapInArrow(run, "src long, dst long"), "near-links")
+    return written(tasks.mapInArrow(run, "src binary, dst binary"), "near-links")
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle_words: int = 5, least: float = 0.8) -> DataFrame:
@@ -199,10 +223,10 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Two texts are linked if the Jaccard similarity of their shingle sets is ``least`` or more; groups are closed
     transitively; texts without words are alike. Candidates share one of the min-hash bands. Each is compared
     with the first of its band first; then all nodes of a band that are not in one group yet are compared, however
-    many a band holds. Rows with equal sets are one node (a 64-bit digest), so exact copies cost nothing.
+    many a band holds. Rows with equal sets are one node (a 128-bit digest), so exact copies cost nothing.
     Repeated rows stay repeated; a null id takes no part in the minimum. ``docs`` is read up to three times.
     """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(whole_text(text_col)).alias("text_key"), whole_text(text_col).alias("text"))
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("text_key"), whole_text(text_col).alias("text"))
     rows = written(_sketched(texts, docs.schema[id_col].dataType.simpleString(), shingle_words), "near-rows")
     keys = written(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("first")), "near-nodes")
     nodes = rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
@@ -219,7 +243,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     links = _alike(tried, sets, least)
 
     placed = connected_components(links)
-    marked = written(banded.join(placed, "node", "left").select("key", "node", F.coalesce("root", "node").alias("root")), "near-marked")
+    marked = written(banded.join(placed, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root")), "near-marked")
     mixed = marked.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
     left = written(marked.join(mixed, "key"), "near-mixed")
     more = _members(left.select("node"), texts, node_keys, shingle_words)
