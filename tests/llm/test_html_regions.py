@@ -1,5 +1,10 @@
 """Articles in several parts: nothing outside the skipped parts of their region is lost."""
 
+import random
+import re
+from collections import Counter
+
+import numpy as np
 import pytest
 
 from tidemark.llm import html_text
@@ -140,7 +145,17 @@ def plain_text(node):
         smooth.append(sum(w * r for w, r in near) / sum(w for w, _ in near))
     mean = sum(smooth) / len(smooth)
     limit = min(math.sqrt(sum((s - mean) ** 2 for s in smooth) / len(smooth)), max(smooth))
-    good = [s >= limit - 1e-9 and linked * 2 <= len(t) for s, (t, _, linked, _) in zip(smooth, rows)]
+    content = [s >= limit - 1e-9 for s in smooth]
+    runs = "".join("x" if c else " " for c in content)
+    at = 0
+    for run in re.findall("x+| +", runs):  # the ends of a run that do not reach the threshold by themselves
+        places = range(at, at + len(run))
+        at += len(run)
+        strong = [k for k in places if raw[k] >= limit - 1e-9]
+        if run[0] == "x" and strong:
+            for k in places:
+                content[k] = strong[0] <= k <= strong[-1]
+    good = [c and linked * 2 <= len(t) for c, (t, _, linked, _) in zip(content, rows)]
     strong = good
     if not any(good):
         good = [linked * 2 <= len(t) for t, _, linked, _ in rows]
@@ -177,12 +192,13 @@ def test_random_pages_equal_plain_version(monkeypatch):
     found = [html_text.main_text(as_html(p)) for p in pages]
     for page, got in zip(pages, found):
         assert got == plain_text(page), as_html(page)
-    monkeypatch.setattr(html_text, "content_lines", lambda values: [True] * len(values) if not hasattr(values, "astype") else values > -1)
+    monkeypatch.setattr(html_text, "content_lines", lambda values: values > -1)
+    monkeypatch.setattr(html_text, "without_edges", lambda content, own: content)
     unclustered = sum(html_text.main_text(as_html(p)) != f for p, f in zip(pages, found))
     monkeypatch.undo()
     monkeypatch.setattr(html_text, "smoothed", lambda values: values)
     unsmoothed = sum(html_text.main_text(as_html(p)) != f for p, f in zip(pages, found))
-    assert unclustered > 150 and unsmoothed > 30, (unclustered, unsmoothed)
+    assert unclustered > 150 and unsmoothed > 10, (unclustered, unsmoothed)
 
 
 @pytest.mark.parametrize("wrap", ["<article>%s</article>", "<div class=a7>%s</div>", "<section>%s</section>", "<table><tr><td>%s</td></tr></table>"])
@@ -199,3 +215,73 @@ def test_marked_pages(wrap):
         got = html_text.main_text(f"<body><div><a href=x>{words(2)}</a></div>{menu()}{wrap % P(blocks)}{menu()}<footer>{words(9)}</footer></body>")
         exact += got == "\n\n".join(blocks)
     assert exact >= 190, exact
+
+
+# --- a held-out labelled set: no telling tags, no telling names ---
+
+
+def labelled_page(seed):
+    """A page of anonymous parts and the blocks of its article: link lists and scraps of marked-up words around headings, paragraphs and lists."""
+    rng = random.Random(seed)
+    vocabulary = [a + b for a in "ba ce di fo gu la me ni po ru sa te".split() for b in "ban cer dol fin gos lam mer nit por sun".split()]
+    want = []
+
+    def words(n):
+        return " ".join(rng.choice(vocabulary) for _ in range(n))
+
+    def name():
+        return rng.choice(["", f' class="c{rng.randrange(99)}"', f' id="x{rng.randrange(999)}"', f' class="{rng.choice("abcdefgh")}{rng.randrange(9)} k"'])
+
+    def said(n):
+        want.append(words(n) + ".")
+        return want[-1]
+
+    def links():
+        if rng.random() < 0.4:
+            return f"<ul{name()}>" + "".join(f'<li><a href="/{k}">{words(rng.randrange(1, 5))}</a></li>' for k in range(rng.randrange(3, 12))) + "</ul>"
+        gap = rng.choice([" ", "<br>", " | "])
+        return f"<{(tag := rng.choice(['div', 'p']))}{name()}>" + gap.join(f'<a href="/{k}"><span>{words(rng.randrange(1, 4))}</span></a>' for k in range(rng.randrange(3, 9))) + f"</{tag}>"
+
+    def scraps():
+        return f"<div{name()}>" + "".join(f"<div{name()}><span><b>{words(1)}</b></span> <i>{rng.randrange(99)}</i> <span>{words(rng.randrange(2, 6))}</span></div>" for _ in range(rng.randrange(1, 5))) + "</div>"
+
+    def block():
+        kind = rng.random()
+        if kind < 0.75:
+            return f"<p>{said(rng.randrange(15, 90))}</p>"
+        if kind < 0.87:
+            return f"<h2>{said(rng.randrange(2, 6))}</h2><p>{said(rng.randrange(24, 54))}</p>"
+        return f"<ul{name()}>" + "".join(f"<li>{said(rng.randrange(6, 12))}</li>" for _ in range(rng.randrange(2, 5))) + "</ul>"
+
+    blocks = [f"<h1>{said(rng.randrange(4, 9))}</h1>"] * (rng.random() < 0.7) + [block() for _ in range(rng.randrange(3, 9))]
+    half = len(blocks) // 2 if rng.random() < 0.3 else 0
+    inner = f"<div{name()}>{''.join(blocks[:half])}</div><div{name()}>{''.join(blocks[half:])}</div>" if half else "".join(blocks)
+    article = f"<div{name()}>{inner}</div>"
+    around = lambda n: "".join(rng.choice([links, scraps])() for _ in range(n))
+    if rng.random() < 0.5:
+        article = f"<div{name()}>{article}<div{name()}>{around(1)}</div></div>"
+    return f"<html><head><title>t</title></head><body>{around(rng.randrange(1, 4))}{article}{around(rng.randrange(1, 5))}</body></html>", want
+
+
+def precision_and_recall(pages):
+    both = got = wanted = 0
+    for html, want in pages:
+        a, b = Counter(html_text.main_text(html).split()), Counter(" ".join(want).split())
+        both, got, wanted = both + sum((a & b).values()), got + sum(a.values()), wanted + sum(b.values())
+    return both / got, both / wanted
+
+
+def test_unnamed_pages_by_the_clusters(monkeypatch):
+    """Word precision and recall; without the clusters only the lists of tags and names are left, which say nothing here."""
+    pages = [labelled_page(seed) for seed in range(400)]
+    precision, recall = precision_and_recall(pages)
+    assert precision > 0.99 and recall > 0.99, (precision, recall)
+    monkeypatch.setattr(html_text, "content_lines", lambda values: values > -1)
+    monkeypatch.setattr(html_text, "without_edges", lambda content, own: content)
+    off, _ = precision_and_recall(pages)
+    assert off < precision - 0.1, off
+    monkeypatch.undo()
+    monkeypatch.setattr(html_text, "without_edges", lambda content, own: content)
+    smeared, _ = precision_and_recall(pages)
+    assert smeared < precision - 0.01, smeared
+    print("precision", precision, "recall", recall, "clusters off", off, "edges kept", smeared)

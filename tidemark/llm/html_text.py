@@ -244,6 +244,22 @@ def content_lines(values: np.ndarray) -> np.ndarray:
     return values >= min(values.std(), values.max())
 
 
+def without_edges(content: np.ndarray, own: np.ndarray) -> np.ndarray:
+    """``content`` without the lines at the ends of a run that do not reach the threshold by themselves (``own``), unless none of the run does.
+
+    Smoothing lifts short lines among long ones over the threshold, and likewise the menu line beside the first paragraph, which this gives back.
+    """
+    kept = content.copy()
+    begins = np.flatnonzero(content & ~np.concatenate([[False], content[:-1]]))
+    ends = np.flatnonzero(content & ~np.concatenate([content[1:], [False]]))
+    for begin, end in zip(begins, ends):
+        strong = np.flatnonzero(own[begin : end + 1])
+        if len(strong):
+            kept[begin : begin + strong[0]] = False
+            kept[begin + strong[-1] + 1 : end + 1] = False
+    return kept
+
+
 def main_text(html: str) -> str:
     """The article's blocks, joined by empty lines; empty if the page has none.
 
@@ -290,7 +306,9 @@ def _region_text(html: str, forms: bool) -> str:
         return ""
     tags, parents, kinds = page.tags, page.parents, page.kinds
     size = [len(t) for t in texts]
-    content = content_lines(smoothed(ratios(size, [line.tags for line in lines]))).tolist()
+    raw = ratios(size, [line.tags for line in lines])
+    values = smoothed(raw)
+    content = without_edges(content_lines(values), raw >= min(values.std(), values.max())).tolist()
     prose = [line.linked * 2 <= n for line, n in zip(lines, size)]
     held = _sums([(line.node, n) for line, n, c, p in zip(lines, size, content, prose) if c and p], parents)
     part = _below([k == PART and 2 * w <= held[0] for k, w in zip(kinds, held)], parents)
