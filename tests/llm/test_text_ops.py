@@ -117,7 +117,7 @@ def test_cue_spans():
     assert kinds("IBAN: GB82 WEST 1234 5698 7654 32") == ["iban"]
     assert kinds("IBAN: GB83 WEST 1234 5698 7654 32") == []
     assert kinds("SSN 123-45-6789") == ["ssn"] and kinds("SSN 000-45-6789") == []
-    assert kinds("https://user:pw@host/") == ["login"]
+    assert kinds("https://user:pw@host/") == ["url", "login"]
     assert kinds("the token ring and the secret garden") == []
 
 

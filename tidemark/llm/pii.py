@@ -13,12 +13,22 @@ from tidemark.llm.common import sliced, whole_text
 
 #: Kinds in the order that breaks ties of position: the base ones, then those that cues add.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "login", "secret", "iban", "ssn")
+KINDS = (*BASE_KINDS, "login", "secret", "iban", "ssn", "account", "url")
 #: Words that announce a credential or an account, in lower case; the text is searched without regard to ASCII case.
 PASSWORD_CUES = ("password", "passwd", "passphrase", "pwd")
 SECRET_CUES = (
-    "token", "secret", "apikey", "api_key", "api-key", "accesskey", "access_key", "access-key", "privatekey", "private_key", "private-key", "authkey", "auth_key", "auth-key",
+    "token", "secret", *(f"{a}{gap}key" for a in ("api", "access", "private", "auth", "encryption", "signing") for gap in ("", "_", "-", " ")),
 )
+#: Beginnings of credentials that name themselves, as their issuers publish them, with what follows.
+TOKEN_FORMS = {
+    "ghp_": "[A-Za-z0-9]{30,}", "gho_": "[A-Za-z0-9]{30,}", "ghs_": "[A-Za-z0-9]{30,}", "ghu_": "[A-Za-z0-9]{30,}", "github_pat_": "[A-Za-z0-9_]{22,}", "glpat-": "[A-Za-z0-9_-]{20,}",
+    "xoxb-": "[A-Za-z0-9-]{10,}", "xoxp-": "[A-Za-z0-9-]{10,}", "sk_live_": "[A-Za-z0-9]{16,}", "rk_live_": "[A-Za-z0-9]{16,}", "AKIA": "[A-Z0-9]{16}(?![A-Za-z0-9])",
+    "AIza": "[A-Za-z0-9_-]{35}", "npm_": "[A-Za-z0-9]{30,}", "eyJ": r"[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", "-----BEGIN ": "[A-Z ]*PRIVATE KEY-----[^-]*(?:-----END [A-Z ]*-----)?",
+}
+#: Words before the number of a bank account, and before a branch's code.
+BANK_CUES = ("account number", "account no", "account #", "account id", "bank account", "acct", "a/c", "kontonummer", "sort code", "routing number", "bankleitzahl")
+#: Names of query values that tell of a person or let one in.
+QUERY_NAMES = frozenset("access_token api_key apikey auth client_secret email key mail pass passwd password phone pwd secret session sessionid sid sig signature token user userid username".split())
 ACCOUNT_CUES = {"iban": "iban", "ssn": "ssn", "social security": "ssn"}
 
 _UPPER = {ord(c): ord(c) + 32 for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZ"}
@@ -29,7 +39,12 @@ _DIGITS = re.compile(r"[0-9](?:[ -]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _USERINFO = re.compile(r"[^\s/?#@\"'<>]++(?=@)")
 _NAME = re.compile(r"[A-Za-z0-9_-]*+")
-_SET = re.compile(r"[\"']?[ ]?(?::=|=>|(=)|:)[ ]?([\"'])?")
+_SET = re.compile(r"[\"']?[ ]?(?::=|=>|(=)|:|is\b)[ ]?([\"'])?")
+_BEARER = re.compile(r"[ ]++((?=[A-Za-z._~+/-]*+[0-9])[A-Za-z0-9._~+/-]{16,}+=*+)")
+_BANK = re.compile(r"(?:[ :#.=()-]|(?i:number|no|nr|is)(?![A-Za-z])){0,12}+([0-9](?:[ -]?[0-9])*+)(?![A-Za-z0-9])")
+_SCHEME = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+.-")
+_ADDRESS = re.compile(r"[^\s\"'<>\\^`{|}]++")
+_HOST = re.compile(r"(?:[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?\.)*[A-Za-z0-9_](?:[A-Za-z0-9_-]*[A-Za-z0-9_])?|\[[0-9A-Fa-f:.]+\]")
 _VALUE = re.compile(r"[A-Za-z0-9_./+=~-]*+")
 _PASSWORD = re.compile(r"[^\s\"'<>&;,]*+")
 _QUOTED = re.compile(r"[^\s\"']*+")
@@ -46,6 +61,11 @@ def _automaton():
     found = ahocorasick.Automaton()
     for mark, kind in [("@", "at"), ("+", "plus"), ("://", "scheme"), *((d, "digit") for d in "0123456789")]:
         found.add_word(mark, (kind, len(mark), ""))
+    for form in TOKEN_FORMS:
+        found.add_word(form.lower(), ("form", len(form), form))
+    found.add_word("bearer", ("bearer", 6, ""))
+    for cue in BANK_CUES:
+        found.add_word(cue, ("bank", len(cue), ""))
     for cue, kind in [*((c, "password") for c in PASSWORD_CUES), *((c, "secret") for c in SECRET_CUES), *ACCOUNT_CUES.items()]:
         found.add_word(cue, ("cue", len(cue), kind))
     found.make_automaton()
@@ -88,6 +108,33 @@ def _iban_length(text: str) -> int:
     return 0
 
 
+_FORMS = {form: re.compile(re.escape(form) + rest) for form, rest in TOKEN_FORMS.items()}
+
+
+def _address_end(text: str, begin: int) -> int:
+    """Where an address that goes on at ``begin`` ends: before white space and quotes, without the sentence's punctuation or a bracket it does not open."""
+    end = _ADDRESS.match(text, begin).end() if begin < len(text) and _ADDRESS.match(text, begin) else begin
+    closing = {")": "(", "]": "["}
+    spare = {c: text.count(c, begin, end) - text.count(o, begin, end) for c, o in closing.items()}
+    while end > begin and (text[end - 1] in ".,;:!?" or spare.get(text[end - 1], 0) > 0):
+        if text[end - 1] in spare:
+            spare[text[end - 1]] -= 1
+        end -= 1
+    return end
+
+
+def _address_tells(address: str) -> bool:
+    """Whether an address behind its scheme is sound and carries user info or a query value that tells of a person."""
+    authority, _, rest = re.match(r"([^/?#]*)([/?#]?)(.*)", address, re.S).groups()
+    info, at, place = authority.rpartition("@")
+    host, _, port = place.partition(":") if not place.startswith("[") else (place.partition("]")[0] + "]", ":", place.partition("]")[2].lstrip(":"))
+    if not _HOST.fullmatch(host) or port and not (port.isascii() and port.isdigit() and len(port) <= 5 and int(port) <= 65535):
+        return False
+    query = address.partition("?")[2].partition("#")[0] if "?" in address else ""
+    pairs = (pair.partition("=") for pair in re.split("[&;]", query))
+    return bool(at and info) or any(name.lower() in QUERY_NAMES and value for name, _, value in pairs)
+
+
 def _ssn_valid(text: str) -> bool:
     area, group, serial = text.split("-")
     return area not in ("000", "666") and area < "900" and group != "00" and serial != "0000"
@@ -97,14 +144,16 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
     """``(kind, start, end, base)`` in code points, end exclusive, by start and then kind.
 
     Base kinds are leftmost and do not overlap within a kind; a candidate that fails its check is passed
-    over whole. Cue kinds: ``login``, user info between a scheme and an at-sign; ``secret``, what is assigned to a name
+    over whole. Cue kinds: ``login``, user info between a scheme and an at-sign; ``url``, the whole of an address with a sound host and port
+    that carries user info or a query value named in QUERY_NAMES, up to white space, quotes or the sentence's punctuation; ``secret``, what is assigned to a name
     with a credential word in it (a digit and 12 characters, or 8 in quotes; after a password word 6 characters, with a digit unless
-    quoted or set with an equals sign); ``iban`` and ``ssn``, numbers after their name on its line. No length is capped.
+    quoted or set with an equals sign), what follows "bearer", and credentials of TOKEN_FORMS; ``iban`` and ``ssn``, numbers after their name on its
+    line; ``account``, 6 to 18 digits right after one of BANK_CUES. No length of a value is capped.
     Work is proportional to the text: a parser starts at a hit that its kind has not consumed and moves right,
     or left up to its last match.
     """
     spans: list[tuple[str, int, int, bool]] = []
-    email_end = ip_end = card_end = phone_end = value_end = gap_end = 0
+    email_end = ip_end = card_end = phone_end = value_end = gap_end = address_end = bank_end = 0
     name, plain, password, quoted_run = (_Run(p, text) for p in (_NAME, _VALUE, _PASSWORD, _QUOTED))
     folded = text.lower()
     if len(folded) != len(text):  # a letter became two: fold ASCII only
@@ -145,6 +194,28 @@ def find_spans(text: str, automaton) -> list[tuple[str, int, int, bool]]:
         elif mark == "scheme":
             if m := _USERINFO.match(text, last + 1):
                 spans.append(("login", m.start(), m.end(), False))
+            if at >= address_end:
+                start = at
+                while start > address_end and text[start - 1] in _SCHEME:
+                    start -= 1
+                while start < at and not (text[start].isascii() and text[start].isalpha()):
+                    start += 1
+                address_end = max(last + 1, _address_end(text, last + 1))
+                if start < at and _address_tells(text[last + 1 : address_end]):
+                    spans.append(("url", start, address_end, False))
+        elif mark == "form":
+            if at >= value_end and not text[at - 1 : at].isalnum() and (m := _FORMS[kind].match(text, at)):
+                value_end = m.end()
+                spans.append(("secret", at, value_end, False))
+        elif mark == "bearer":
+            if last + 1 >= value_end and (m := _BEARER.match(text, last + 1)):
+                value_end = m.end()
+                spans.append(("secret", m.start(1), value_end, False))
+        elif mark == "bank":
+            if last + 1 >= bank_end and (m := _BANK.match(text, last + 1)):
+                bank_end = m.end()
+                if 6 <= sum(c.isdigit() for c in m[1]) <= 18:
+                    spans.append(("account", m.start(1), m.end(1), False))
         elif kind in ("secret", "password"):
             if at < value_end or not (m := _SET.match(text, name.end_from(last + 1))):
                 continue
