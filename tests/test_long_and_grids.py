@@ -330,3 +330,17 @@ def test_checks_in_the_pass(spark):
     with pytest.raises(ValueError, match="close is int, not double"):
         feed.checked(good.withColumn("close", F.col("close").cast("int")))
     assert isinstance(feed.BARS, T.StructType) and math.isfinite(1.0)
+
+
+def test_signals_on_raw_closes(spark):
+    """Changes of averages of prices with fractions, where sums round: compared away from exact ties."""
+    rng = np.random.default_rng(13)
+    x = 100 * np.cumprod(1 + rng.normal(0, 0.01, 300))
+    df = panel(spark, x.tolist())
+    steps = np.diff(np.convolve(x, np.ones(60) / 60, "valid"))
+    want = {k + 60: s for k, s in enumerate(steps) if k >= 29 and abs(s) > 1e-9}
+    got = column(momentum.ht_signal(df), "signal")
+    assert len(got) == 300 - 89 and all(got[k - 89] == (s >= 0) for k, s in want.items())
+    bands = {k: x[k - 3 : k + 1].mean() - x[k - 7 : k + 1].mean() for k in range(59, 300)}
+    got = column(momentum.band_signal(df), "signal")
+    assert len(got) == 241 and all(got[k - 59] == (v >= 0) for k, v in bands.items() if abs(v) > 1e-9)

@@ -569,6 +569,13 @@ OPS: list[Op] = [
             WHEN w.state = 2 AND n.close > 50000 THEN 0 ELSE w.state END FROM walk w JOIN numbered n ON n.code = w.code AND n.rn = w.rn + 1)"""]),
     Op("asof_join", "code dt ordered:i dt_at shipped:0", lambda t: intervals.asof(t.ordered, t.shipped, tolerance=3),
        "SELECT a.code, a.dt, a.ordered, CASE WHEN a.dt - b.dt <= 3 THEN b.dt END AS dt_at, CASE WHEN a.dt - b.dt <= 3 THEN b.shipped END AS shipped FROM ordered a ASOF LEFT JOIN shipped b ON a.code = b.code AND a.dt >= b.dt", PANELS),
+    Op("max_dd_period_long", "series peak_date valley_date recovery_date", lambda t: drawdown.max_drawdown_period(t.returns, coarse="month"), "SELECT * FROM top WHERE rank = 1", DRAWDOWN),
+    Op("benchmark_constant", "series information_ratio:6 excess_return:6", lambda t: returns.benchmark_metrics(t.returns, 0.0001),
+       "SELECT p.series, x.ir AS information_ratio, p.annual_return - (pow(1.0001, 252) - 1) AS excess_return FROM perf0 p JOIN (SELECT series, avg(ret - 0.0001) / stddev_samp(ret - 0.0001) AS ir FROM returns GROUP BY 1) x ON x.series = p.series", [BARS, RETURNS, METRICS]),
+    Op("checked_bars", "code dt open high low close volume", lambda t: feed.checked(t.bars)[0], "SELECT * FROM bars"),
+    Op("nested_lookup", "l_orderkey l_linenumber tax none:i", lambda t: t.raw("lineitem").select("l_orderkey", "l_linenumber", F.struct(F.struct(F.when(F.col("l_quantity") > 10, F.col("l_tax")).alias("tax")).alias("cost")).alias("line"))
+       .select("l_orderkey", "l_linenumber", scalars.field_or_zero("line", "cost", "tax").alias("tax"), scalars.field_or_zero(F.when(F.col("l_linenumber") < 0, F.col("line")), "cost", "tax").alias("none")),
+       "SELECT l_orderkey, l_linenumber, CASE WHEN l_quantity > 10 THEN l_tax ELSE 0 END AS tax, 0 AS none FROM lineitem", ["z AS (SELECT 1)"]),
     Op("underwater_long", "series dt underwater:6", lambda t: drawdown.long_underwater(t.returns), "SELECT * FROM uw", DRAWDOWN),
 ]
 

@@ -72,17 +72,21 @@ def long_episodes(returns: DataFrame, coarse: str = "month") -> DataFrame:
     return _episodes(halo.running(long_underwater(returns, coarse), {"__id": ("sum", _at_peak())}, part, "series", "dt"))
 
 
-def top_drawdowns(returns: DataFrame, top: int = 5, rows: Rows = SERIES) -> DataFrame:
-    """The ``top`` deepest episodes of each series, ``rank`` from 1; ties go to the earlier valley."""
+def top_drawdowns(returns: DataFrame, top: int = 5, rows: Rows = SERIES, coarse: str | None = None) -> DataFrame:
+    """The ``top`` deepest episodes of each series, ``rank`` from 1; ties go to the earlier valley.
+
+    With ``coarse`` (a calendar period) series may each be too long for one task.
+    """
     if top < 1:
         raise ValueError("top is 1 at least")
     deepest = Window.partitionBy("series").orderBy("depth", "valley_date")
-    return episodes(returns, rows).withColumn("rank", F.row_number().over(deepest)).where(F.col("rank") <= top)
+    found = episodes(returns, rows) if coarse is None else long_episodes(returns, coarse)
+    return found.withColumn("rank", F.row_number().over(deepest)).where(F.col("rank") <= top)
 
 
-def max_drawdown_period(returns: DataFrame, rows: Rows = SERIES) -> DataFrame:
+def max_drawdown_period(returns: DataFrame, rows: Rows = SERIES, coarse: str | None = None) -> DataFrame:
     """Peak, valley and recovery of each series' deepest fall."""
-    return top_drawdowns(returns, 1, rows).select("series", "peak_date", "valley_date", "recovery_date")
+    return top_drawdowns(returns, 1, rows, coarse).select("series", "peak_date", "valley_date", "recovery_date")
 
 
 def _described(found: DataFrame, *more: Column) -> DataFrame:
