@@ -15,7 +15,7 @@ from tidemark.llm.components import connected_components, with_least
 
 #: Bands and minima in each. A pair at similarity s shares no band with chance (1 - s ** 4) ** 32: 5e-8 at 0.8.
 BANDS, ROWS = 32, 4
-#: At most so many texts (8 bytes each) are broadcast; more are joined by shuffle.
+#: At most so many texts (digests of 16 bytes) are broadcast; more are joined by shuffle.
 BROADCAST_TEXTS = 500_000
 #: Nodes of a band, and shingles of theirs (8 bytes each), that one task compares with each other or with so many more.
 BLOCK, BLOCK_SHINGLES = 512, 1 << 20
