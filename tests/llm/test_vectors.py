@@ -61,7 +61,7 @@ def test_near_vectors_equal_brute_force(spark):
 
 def test_dense_groups_and_small_blocks(spark, monkeypatch):
     """Counts are whole where a window sees a small part of a group, which is dealt out in many blocks."""
-    for name, value in (("BLOCK", 16), ("CHUNK", 8), ("ROWS_A_TASK", 50)):
+    for name, value in (("BLOCK", 16), ("SMALL_BLOCK", 4), ("CHUNK", 8), ("ROWS_A_TASK", 50)):
         monkeypatch.setattr(vector_near, name, value)
     rng = np.random.default_rng(4)
     at = rng.standard_normal(16)

@@ -23,8 +23,8 @@ BITS = 64
 WINDOW = 32
 #: Rows of an order that a task walks through, and rows that it compares at a time.
 ROWS_A_TASK, CHUNK = 20_000, 2048
-#: Vectors of a group that one task compares with each other or with so many more.
-BLOCK = 4096
+#: Blocks that a group is cut into, and the least and largest number of its vectors in one.
+BLOCKS, SMALL_BLOCK, BLOCK = 16, 128, 4096
 
 
 def units(vectors: np.ndarray) -> np.ndarray:
@@ -179,11 +179,13 @@ def found_links(nodes: DataFrame, rows: int, label_type: str, vector_type: str,
 def _degrees(members: DataFrame, least: float) -> DataFrame:
     """``node, links``: to how many rows of its group (rows ``root, node, n, vector``) each node is linked, itself not counted.
 
-    All links of a node lie inside its group. A group is dealt out in blocks of about BLOCK nodes, every pair of blocks being one
-    task's, so pairs are counted where they are made and no pair leaves a task.
+    All links of a node lie inside its group. A group is dealt out in blocks, every pair of blocks being one task's, so pairs are counted where
+    they are made and no pair leaves a task. Groups of middle size make BLOCKS blocks, so that 136 tasks share them; larger ones
+    blocks of BLOCK nodes, so that a node is not copied more often than its group's size asks for.
     """
     size = members.groupBy("root").agg(F.count("*").alias("size"))
-    rows = members.join(size, "root").withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int"))
+    width = F.least(F.lit(BLOCK), F.greatest(F.lit(SMALL_BLOCK), F.ceil(F.col("size") / BLOCKS)))
+    rows = members.join(size, "root").withColumn("blocks", F.ceil(F.col("size") / width).cast("int"))
     rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), "blocks").cast("int"))
     rows = rows.select("root", "node", "n", "vector", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("with"))
     rows = rows.select("root", F.least("block", "with").alias("p"), F.greatest("block", "with").alias("q"), (F.col("block") > F.col("with")).alias("second"), "node", "n", "vector")
