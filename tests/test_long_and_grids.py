@@ -68,6 +68,7 @@ def test_ranges_of_ranks_equal_rows_of_nulls(spark, name):
 SIGNALS = {
     "ao": lambda b, g: alligator.ao_signal(b, 2, periods=(2, 3), grid=g), "fractals": lambda b, g: alligator.fractals(b, grid=g), "fractal": lambda b, g: alligator.fractal_signal(b, grid=g),
     "flow": lambda b, g: momentum.flow_signal(b, "close", 3, rows=ROWS, grid=g), "phase": lambda b, g: momentum.phase_fir(b, "close", 3, grid=g), "band": lambda b, g: momentum.band_signal(b, "close", 4, 0, grid=g),
+    "alligator": lambda b, g: alligator.alligator_signal(b, (3, 2, 1), (2, 1, 1), grid=g), "events": lambda b, g: alligator.alligator_events(b, (2, 1, 1), (2, 1, 0), grid=g),
     "lines": lambda b, g: alligator.alligator_lines(b, (3, 2, 1), (2, 1, 1), grid=g), "beta": lambda b, g: qrs.beta(b, 2, grid=g), "ht": lambda b, g: momentum.ht_signal(b, "close", 2, 3, grid=g),
 }
 

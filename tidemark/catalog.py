@@ -447,6 +447,7 @@ OPS: list[Op] = [
     Op("band_signal", "code dt signal:i", lambda t: momentum.band_signal(t.bars.withColumn("close", F.floor("close"))),
        f"SELECT *, CASE WHEN {full('close', 4, 'sum(floor(close))')} * 2 >= {full('close', 8, 'sum(floor(close))')} THEN 1 ELSE 0 END AS signal FROM bars QUALIFY row_number() OVER {o()} >= 60"),
     Op("ao_signal_union", "code dt signal:i", lambda t: alligator.ao_signal(t.cents, grid="union"), f"SELECT s.* FROM (SELECT *, {held('event')} AS signal FROM aoe) s JOIN bars USING (code, dt)", [*CENTS, GRID, *_on_grid(AO)]),
+    Op("alligator_signal_union", "code dt signal:i", lambda t: alligator.alligator_signal(t.cents, grid="union"), f"SELECT s.* FROM (SELECT *, {held('event')} AS signal FROM asig) s JOIN bars USING (code, dt)", [*CENTS, GRID, *_on_grid(ALLIGATOR[len(CENTS):])]),
     Op("fractal_signal_union", "code dt signal:i", lambda t: alligator.fractal_signal(t.bars, grid="union"), "SELECT f.* FROM fsig f JOIN bars USING (code, dt)", [BARS, GRID, *_on_grid(FRACTAL)]),
     Op("fractal_class_union", "code dt fractal:i", lambda t: alligator.fractals(t.bars, grid="union"), "SELECT f.code, f.dt, f.top + f.bottom AS fractal FROM fr f JOIN bars USING (code, dt)", [BARS, GRID, *_on_grid(FRACTAL[:2])]),
     Op("qrs_regulation_union", "code dt regulation:6", lambda t: qrs.regulation(t.bars, grid="union"),

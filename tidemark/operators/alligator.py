@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows, with_monotone
-from tidemark.sources.bars import on_grid
+from tidemark.sources.bars import dense_grid, on_grid
 
 LINES = ("jaw", "teeth", "lips")
 
@@ -40,16 +40,34 @@ def alignment(lines: Sequence[str] = LINES, direction: str = "bullish", rows: Ro
     return rows.triggered(ordered)
 
 
-def alligator_events(bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), rows: Rows = Rows()) -> DataFrame:
-    """``event``: 1 or -1 where the lines begin to stand in order, else null."""
+def _on_dense(bars: DataFrame, grid: str, operator: Callable[[DataFrame], DataFrame], rows: Rows) -> DataFrame:
+    """An operator whose result may change at missing rows: on the union calendar these are made, and left out again."""
+    if grid == "own":
+        return operator(bars)
+    if grid != "union":
+        raise ValueError("grid is 'own' or 'union'")
+    (code,) = rows.keys
+    return operator(dense_grid(bars, code, rows.order)).where("present").drop("present")
+
+
+def _events(bars: DataFrame, periods: Sequence[int], lags: Sequence[int], rows: Rows) -> DataFrame:
     lines = alligator_lines(bars, periods, lags, rows)
     return lines.withColumn("event", F.when(alignment(direction="bullish", rows=rows), 1).when(alignment(direction="bearish", rows=rows), -1))
 
 
-def alligator_signal(bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), keep: bool = True, rows: Rows = Rows()) -> DataFrame:
+def alligator_events(bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), rows: Rows = Rows(), grid: str = "own") -> DataFrame:
+    """``event``: 1 or -1 where the lines begin to stand in order, else null.
+
+    On the union calendar lines go on at missing rows, since they are shifted, so an event may fall on one.
+    """
+    return _on_dense(bars, grid, lambda b: _events(b, periods, lags, rows), rows)
+
+
+def alligator_signal(
+    bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), keep: bool = True, rows: Rows = Rows(), grid: str = "own"
+) -> DataFrame:
     """``signal``: the last event, 0 before the first; without ``keep`` the events themselves."""
-    found = alligator_events(bars, periods, lags, rows)
-    return found.withColumn("signal", rows.held("event") if keep else F.col("event")).drop("event")
+    return _on_dense(bars, grid, lambda b: _events(b, periods, lags, rows).withColumn("signal", rows.held("event") if keep else F.col("event")).drop("event"), rows)
 
 
 def _ao(b: DataFrame, periods: Sequence[int], rows: Rows) -> DataFrame:
@@ -119,7 +137,7 @@ def combined_signal(
     bars: DataFrame, periods: Sequence[int] = (13, 8, 5), lags: Sequence[int] = (8, 5, 3), ao_periods: Sequence[int] = (5, 34), window: int = 3, rows: Rows = Rows()
 ) -> DataFrame:
     """``signal`` of the three signals of one bar table, from a code's third row on: all are windows of the same sort, so nothing is joined."""
-    found = alligator_events(bars, periods, lags, rows).withColumn("__a", rows.held("event")).drop("event", *LINES)
+    found = _events(bars, periods, lags, rows).withColumn("__a", rows.held("event")).drop("event", *LINES)
     found = with_monotone(_ao(found, ao_periods, rows), "ao", window, "__event", rows).withColumn("__o", rows.held("__event")).drop("ao", "__event")
     found = _fractal_signal(_fractals(found, rows), rows, 2).withColumnRenamed("signal", "__f")
     return found.withColumn("signal", combined(F.col("__a"), F.col("__o"), F.col("__f"))).where("__row >= 2").drop("__a", "__o", "__f", "__row", "top", "bottom", "fractal")
