@@ -28,7 +28,7 @@ def test_no_python(spark, op):
     if not any(x in plan for x in ("BroadcastNestedLoopJoin", "CartesianProduct")) and op.name not in SINGLE:
         if op.name in DAYS | FINISHED or op.name.endswith("_union"):
             heads = [line for line in plan.split("Initial Plan")[-1].split("\n") if "SinglePartition" in line]
-            assert 1 <= len(heads) <= 3 and ("__day" in plan or op.name in FINISHED)
+            assert 1 <= len(heads) <= 4 and ("__day" in plan or op.name in FINISHED)
             return
         assert "SinglePartition" not in plan.split("Initial Plan")[-1]
 
