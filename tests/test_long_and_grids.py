@@ -172,6 +172,12 @@ def test_equity_in_buckets_equals_the_plain_one(spark):
         cut = trades.long_equity_curve(df, bucket)
         same(cut.select(*plain.columns), plain)
     assert plain.where("side = 'sell'").count() > 5
+    # events that repeat, that come at the edges of buckets and on every row
+    for seed, enter, leave in ((1, 30, 60), (2, 5, 95), (3, 50, 50)):
+        rng = random.Random(seed)
+        draws = df.withColumn("code", F.concat("code", F.lit("x"))).withColumn("signal", F.element_at(F.array(*[F.lit(rng.randrange(100)) for _ in range(150)]), F.datediff("dt", F.lit("2024-01-01").cast("date")) + 1))
+        plain = trades.equity_curve(trades.position(draws, F.col("signal") < enter, F.col("signal") >= leave))
+        same(trades.long_equity_curve(draws, 8, conditions=lambda r: (F.col("signal") < enter, F.col("signal") >= leave), look_back=1).select(*plain.columns), plain)
 
 
 def test_averages_in_buckets_equal_the_plain_ones(spark):
@@ -200,6 +206,23 @@ def test_machines_in_buckets_equal_a_loop(spark):
             assert column(got.where(F.col("code") == code), "state") == want
 
 
+def test_one_bucket_of_many_rows(spark, monkeypatch):
+    """Levels of composed tables, in a bucket that has more rows than the two lower levels hold, and at each of their edges."""
+    rng = random.Random(14)
+    c = F.col("close")
+    rules = {0: [(c > 7, 1), (c < 2, 2)], 1: [(c == 4, 0)], 2: [(c > 8, 0), (c == 3, 1)]}
+    plain = {0: lambda v: 1 if v > 7 else 2 if v < 2 else 0, 1: lambda v: 0 if v == 4 else 1, 2: lambda v: 0 if v > 8 else 1 if v == 3 else 2}
+    x = [float(rng.randrange(10)) for _ in range(3000)]
+    df = panel(spark, x)
+    want, state = [], 2
+    for v in x:
+        state = plain[state](v)
+        want.append(state)
+    assert column(trades.multi_state(df, rules, 3, 2, ROWS, coarse="century"), "state") == want
+    monkeypatch.setattr(halo, "FAN", 4)
+    assert column(trades.multi_state(df.limit(300), rules, 3, 2, ROWS, coarse="quarter"), "state") == want[:300]
+
+
 def test_moments_of_blocks(spark):
     rng = random.Random(7)
     x = [None if rng.random() < 0.1 else rng.gauss(1e6, 1) for _ in range(90)]

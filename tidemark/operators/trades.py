@@ -14,7 +14,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.frames import Rows
 from tidemark.functions.scalars import ratio, round_even
-from tidemark.plans.halo import global_sequence, long_states, running, with_halo
+from tidemark.plans.halo import global_sequence, long_states, walked, with_halo
+from tidemark.plans.summaries import reads_all
 
 
 @dataclass(frozen=True)
@@ -65,13 +66,22 @@ def multi_state(bars: DataFrame, rules: Mapping[int, Sequence[tuple[Column | str
     return long_states(bars, machine(rules, states), part, start, "state", key, rows.order)
 
 
+def _fill_prices(account: Account) -> tuple[Column, Column]:
+    """What a purchase and a sale at a bar's open cost."""
+    return F.least(F.col("open") * (1 + account.slippage), F.col("high")), F.greatest(F.col("open") * (1 - account.slippage), F.col("low"))
+
+
 def _filled(bars: DataFrame, change: Column, account: Account) -> DataFrame:
     side = F.when(change > 0, "buy").when(change < 0, "sell")
-    buy = F.least(F.col("open") * (1 + account.slippage), F.col("high"))
-    sell = F.greatest(F.col("open") * (1 - account.slippage), F.col("low"))
+    buy, sell = _fill_prices(account)
     return bars.withColumn("side", side).withColumn("fill_price", F.when(F.col("side") == "buy", buy).when(F.col("side") == "sell", sell))
 
 
+def _gain(money: Column, price: Column, base: Column, account: Account) -> Column:
+    """Factor of a trade that put ``share`` of the equity to work at the close ``base`` and bought at ``price``, once a share is worth ``money``."""
+    return 1 + account.share / base * (money - price * (1 + account.commission))
+
+
 def with_fills(bars: DataFrame, account: Account = Account(), rows: Rows = Rows()) -> DataFrame:
     """``bars`` (with ``position``) plus ``side`` and ``fill_price`` of the order that fills at a bar's open.
 
@@ -100,7 +110,7 @@ def equity_curve(bars: DataFrame, account: Account = Account(), rows: Rows = Row
         "entry_price": F.last(F.when(F.col("side") == "buy", F.col("fill_price")), ignorenulls=True).over(rows.run),
         "__base": F.last(F.when(F.col("side") == "buy", F.col("__c1")), ignorenulls=True).over(rows.run),
     })
-    gain = lambda money: 1 + share / F.col("__base") * (money - F.col("entry_price") * (1 + c))
+    gain = lambda money: _gain(money, F.col("entry_price"), F.col("__base"), account)
     work = work.withColumn("__factor", F.when(F.col("side") == "sell", gain(F.col("fill_price") * (1 - c - d))))
     closed = F.product(F.coalesce("__factor", F.lit(1.0)))
     before = rows.ordered.rowsBetween(Window.unboundedPreceding, -1)
@@ -115,39 +125,81 @@ def equity_curve(bars: DataFrame, account: Account = Account(), rows: Rows = Row
     return work.withColumn("in_trade", F.coalesce("in_trade", F.lit(False))).drop("__c1", "__buy", "__base", "__factor", "__closed", "__open", "__start")
 
 
+def _walk_trades(totals: DataFrame, account: Account) -> DataFrame:
+    """``__part, __s``: what each bucket begins with: ``long``, the trade's ``price`` and ``base``, ``growth`` of closed trades, ``entry`` (growth at the entry), ``n`` trades.
+
+    Only a bucket's first event and first exit depend on what was before: if the event enters, it does so where the series was
+    flat; the first exit closes the trade held then, or the one that event began.
+    """
+    none = F.lit(None).cast("double")
+    start = F.struct(F.lit(0).alias("long"), none.alias("price"), none.alias("base"), F.lit(1.0).alias("growth"), none.alias("entry"), F.lit(0).cast("long").alias("n"))
+
+    def step(s: Column, b: Column) -> Column:
+        begins = F.coalesce((b["first"] == 1) & (s["long"] == 0), F.lit(False))
+        price, base, entry = (F.when(begins, x).otherwise(y) for x, y in ((b["begun_price"], s["price"]), (b["begun_base"], s["base"]), (s["growth"], s["entry"])))
+        ended = F.when((b["first"] == 1) | (s["long"] == 1), _gain(b["ended_price"] * (1 - account.commission - account.duty), price, base, account))
+        growth = s["growth"] * F.coalesce(ended, F.lit(1.0))
+        later = b["entries"] > 0
+        return F.struct(
+            F.coalesce(b["last"], s["long"]).alias("long"), F.when(later, b["price"]).otherwise(price).alias("price"), F.when(later, b["base"]).otherwise(base).alias("base"),
+            (growth * b["growth"]).alias("growth"), F.when(later, growth * b["before"]).otherwise(entry).alias("entry"), (s["n"] + b["entries"] + begins.cast("long")).alias("n"),
+        )
+
+    return walked(totals, start, step)
+
+
 def long_equity_curve(
     bars: DataFrame, bucket: int, account: Account = Account(), conditions: Callable[[Rows], tuple[Column, Column]] = lambda rows: hysteresis(rows=rows), look_back: int = 2, key: str = "code", time: str = "dt"
 ) -> DataFrame:
     """``equity_curve`` with its ``position`` from bars with a signal, for series that may each be too long for one task.
 
-    ``conditions(rows)`` gives the enter and exit conditions, which look at ``look_back`` rows at most. Rows are numbered and cut into buckets of
-    ``bucket`` rows. Events and the close before come from buckets with a few copied rows; what depends on all rows before are running folds: the
-    last event, then the last entry, then the product of closed trades, then the equity at the last entry.
+    ``conditions(rows)`` gives the enter and exit conditions, which look at ``look_back`` rows at most. Rows are numbered and dealt out in buckets of
+    ``bucket`` rows behind a few copied ones. A bucket is summed up as a map of what was before it: its first and last event, its
+    first exit, the growth of the trades that lie inside it, its last entry. The maps are walked in order, one row a bucket, and each bucket's rows start from what it begins
+    with: one shuffle after the numbering. Bars that fill an order have a price, and the bars before them a close.
     """
-    c, d, share = account.commission, account.duty, account.share
-    seq, part = "__seq", F.floor(F.col("__seq") / bucket)
-
-    def events(b: DataFrame, rows: Rows) -> DataFrame:
-        enter, leave = conditions(rows)
-        b = b.withColumn("__e", F.when(enter, 1).when(leave, 0))
-        return b.withColumns({"__e1": rows.lag("__e"), "__e2": rows.lag("__e", 2), "__c1": rows.lag("close")})
-
-    work = events(with_halo(global_sequence(bars, key, time, out=seq), look_back + 2, bucket, seq), Rows((key, "bucket"), time)).where("not in_halo").drop("bucket", "in_halo")
-    work = running(work, {"position": ("last", F.col("__e")), "__p1": ("last", F.col("__e1")), "__p2": ("last", F.col("__e2"))}, part, key, seq)
-    work = work.withColumn("position", F.coalesce("position", F.lit(0)))
-    work = _filled(work, F.coalesce("__p1", F.lit(0)) - F.coalesce("__p2", F.lit(0)), account)
+    cost, seq = account.commission + account.duty, "__seq"
+    cut = with_halo(global_sequence(bars, key, time, out=seq), look_back + 1, bucket, seq)
+    dealt = cut.withColumn("__part", F.struct(F.col(key).alias("key"), "bucket")).drop("bucket").repartition("__part")
+    rows = Rows(("__part",), seq)
+    enter, leave = conditions(rows)
+    work = dealt.withColumn("__e", F.when(enter, 1).when(leave, 0))
+    work = work.withColumns({"__e1": rows.lag("__e"), "__c1": rows.lag("close")}).where("not in_halo").drop("in_halo")
+    # the position that orders at this bar's open lead to, as far as the bucket's own events tell, and the one before
+    work = work.withColumn("__to", rows.last_known("__e1")).withColumn("__from", rows.lag("__to"))
+    first = F.col("__to").isNotNull() & F.col("__from").isNull()
+    enters = (F.col("__to") == 1) & (F.coalesce("__from", F.lit(0)) == 0)
+    exits = (F.col("__to") == 0) & (F.coalesce("__from", F.lit(1)) == 1)
+
+    buy, sell = _fill_prices(account)
+    own = work.withColumns({"__enters": enters & ~first, "__first": first, "__buy": buy, "__sell": sell, "__exit": F.count(F.when(exits, 1)).over(rows.run), "__exits": exits})
+    own = own.withColumns({"__price": rows.last_known(F.when(enters, buy)), "__base": rows.last_known(F.when(enters, F.col("__c1")))})
+    own = own.withColumn("__factor", F.coalesce(F.when(F.col("__exits") & (F.col("__exit") > 1), _gain(sell * (1 - cost), F.col("__price"), F.col("__base"), account)), F.lit(1.0)))
+    own = own.withColumn("__growth", F.product("__factor").over(rows.run))
+    at = F.when(F.col("__enters"), F.col(seq))
+    begun = F.col("__first") & (F.col("__to") == 1)
+    totals = own.groupBy("__part").agg(
+        F.min_by("__to", F.when(F.col("__first"), F.col(seq))).alias("first"), F.max_by("__to", seq).alias("last"), F.max(F.when(begun, F.col("__buy"))).alias("begun_price"), F.max(F.when(begun, F.col("__c1"))).alias("begun_base"),
+        F.max(F.when(F.col("__exits") & (F.col("__exit") == 1), F.col("__sell"))).alias("ended_price"), F.product("__factor").alias("growth"), F.count_if("__enters").alias("entries"),
+        F.max_by("__buy", at).alias("price"), F.max_by("__c1", at).alias("base"), F.max_by("__growth", at).alias("before"), reads_all(dealt.drop("in_halo")).alias("__mix"),
+    ).where("__mix IS NOT NULL").drop("__mix")
+    work = work.join(_walk_trades(totals, account), "__part")
+    to, before = F.coalesce("__to", "__s.long"), F.coalesce("__from", "__s.long")
+    work = _filled(work.withColumn("__long", to), to - before, account).withColumn("position", F.coalesce("__e", "__long"))
     bought = lambda x: F.when(F.col("side") == "buy", x)
-    work = running(work, {"trade_id": ("sum", bought(F.lit(1))), "entry_price": ("last", bought(F.col("fill_price"))), "__base": ("last", bought(F.col("__c1"))), "__open": ("last", F.col("side"))}, part, key, seq)
-    gain = lambda money: 1 + share / F.col("__base") * (money - F.col("entry_price") * (1 + c))
-    work = running(work, {"__closed": ("product", F.when(F.col("side") == "sell", gain(F.col("fill_price") * (1 - c - d))).otherwise(1.0))}, part, key, seq)
-    work = work.withColumn("__closed", account.cash * F.col("__closed"))
-    work = running(work, {"entry_equity": ("last", bought(F.col("__closed")))}, part, key, seq)
-    held = F.coalesce(F.col("__open") == "buy", F.lit(False))
     work = work.withColumns({
-        "trade_id": F.coalesce("trade_id", F.lit(0).cast("long")), "equity": F.when(held, F.col("__closed") * gain(F.col("close"))).otherwise(F.col("__closed")),
-        "size": share * F.col("entry_equity") / F.col("__base"), "in_trade": held | F.coalesce(F.col("side") == "sell", F.lit(False)),
+        "trade_id": F.col("__s.n") + F.count(bought(F.lit(1))).over(rows.run),
+        "entry_price": F.coalesce(rows.last_known(bought(F.col("fill_price"))), "__s.price"), "__base": F.coalesce(rows.last_known(bought(F.col("__c1"))), "__s.base"),
+    })
+    factor = F.when(F.col("side") == "sell", _gain(F.col("fill_price") * (1 - cost), F.col("entry_price"), F.col("__base"), account))
+    work = work.withColumn("__factor", F.coalesce(factor, F.lit(1.0))).withColumn("__closed", account.cash * F.col("__s.growth") * F.product("__factor").over(rows.run))
+    work = work.withColumn("entry_equity", F.coalesce(rows.last_known(bought(F.col("__closed"))), account.cash * F.col("__s.entry")))
+    now = F.col("__closed") * _gain(F.col("close"), F.col("entry_price"), F.col("__base"), account)
+    work = work.withColumns({
+        "equity": F.when(F.col("__long") == 1, now).otherwise(F.col("__closed")), "size": account.share * F.col("entry_equity") / F.col("__base"),
+        "in_trade": (F.col("__long") == 1) | F.coalesce(F.col("side") == "sell", F.lit(False)),
     })
-    return work.drop(seq, "__e", "__e1", "__e2", "__c1", "__p1", "__p2", "__base", "__open", "__closed")
+    return work.drop("__part", seq, "__e", "__e1", "__c1", "__to", "__from", "__long", "__s", "__base", "__factor", "__closed")
 
 
 def fills(bars: DataFrame, account: Account = Account(), rows: Rows = Rows()) -> DataFrame:

@@ -148,22 +148,48 @@ def long_ema(df: DataFrame, x: str, period: int, bucket: int, out: str = "ema",
     return found.withColumn(out, F.when(known, value)).drop("__part", "__seed", "__gaps", "__u", "__r", "__local", "__passed")
 
 
+def walked(totals: DataFrame, start: Column, step: Callable[[Column, Column], Column], out: str = "__s") -> DataFrame:
+    """``__part, out``: the state that each bucket begins in; ``step(state, total)`` is the state behind a bucket, ``start`` the first one.
+
+    ``totals`` has one row a bucket, with its ``__part`` (key and bucket) and what the step reads. A series' totals are walked in one task.
+    """
+    others = [c for c in totals.columns if c != "__part"]
+    walks = totals.groupBy(F.col("__part.key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("__part", *others))).alias("__walk"))
+    begun = F.aggregate("__walk", F.array(start), lambda s, b: F.array_append(s, step(F.element_at(s, -1), b)))
+    begun = walks.select(F.explode(F.arrays_zip(F.col("__walk.__part").alias("p"), begun.alias("s"))).alias("__b")).where("__b.p IS NOT NULL")
+    return begun.select(F.col("__b.p").alias("__part"), F.col("__b.s").alias(out))
+
+
+#: Tables that are composed one by one on each of the lower levels of a bucket.
+FAN = 32
+
+
+def _then(a: Column, b: Column) -> Column:
+    """Table ``a`` and then ``b``; a missing one changes nothing."""
+    return F.when(a.isNull(), b).when(b.isNull(), a).otherwise(F.transform(a, lambda s: F.get(b, s)))
+
+
 def long_states(df: DataFrame, table: Column, part: Column, start: int = 0, out: str = "state", key: str = "code", order: str = "dt") -> DataFrame:
     """``df`` with the state of a machine behind each row; ``table`` is the row's array of the next state by state.
 
     Tables of a bucket's rows are composed into one, buckets are walked from the ``start`` state, and rows apply the composed tables
-    before them to the state their bucket begins in. Composing costs as many steps as a row has rows before it in its bucket.
+    before them to the state their bucket begins in. A row composes the tables before it in its block of ``FAN`` rows, those of the
+    blocks before in its ``FAN`` blocks, and those of the larger blocks before: one sort, and some 2 ``FAN`` steps a row in buckets of tens of thousands.
     """
     dealt = df.withColumn("__part", F.struct(F.col(key).alias("key"), part.alias("bucket"))).repartition("__part")
-    work = dealt.withColumn("__table", table)
-    inside = Window.partitionBy("__part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    then = lambda a, b: F.transform(a, lambda s: F.get(b, s))
-    tables = F.collect_list("__table").over(inside)
-    composed = F.aggregate(F.slice(tables, F.lit(2), F.size(tables)), F.element_at(tables, 1), then)
-    work = work.withColumn("__map", composed)
-    totals = work.groupBy("__part").agg(F.max_by("__map", order).alias("__all"), reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
-    walks = totals.groupBy(F.col("__part.key").alias("__key")).agg(F.sort_array(F.collect_list(F.struct("__part", "__all"))).alias("__walk"))
-    begun = F.aggregate("__walk", F.array(F.lit(start)), lambda s, b: F.array_append(s, F.get(b["__all"], F.element_at(s, -1))))
-    begun = walks.select(F.explode(F.arrays_zip(F.col("__walk.__part").alias("p"), begun.alias("s"))).alias("__b")).where("__b.p IS NOT NULL")
-    found = work.join(begun.select(F.col("__b.p").alias("__part"), F.col("__b.s").alias("__s")), "__part")
-    return found.withColumn(out, F.get("__map", F.col("__s"))).drop("__part", "__table", "__map", "__s")
+    number = F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1
+    work = dealt.withColumns({"__table": table, "__at": number}).withColumns({"__large": F.floor(F.col("__at") / FAN**2), "__small": F.floor(F.col("__at") / FAN)})
+    sort = ["__large", "__small", "__at"]
+
+    def before(tables: Column, level: int, last: int) -> Column:
+        """The tables up to the row ``last`` rows off in the row's block of a level, composed."""
+        listed = F.collect_list(tables).over(Window.partitionBy("__part", *sort[:level]).orderBy(*sort[level:]).rowsBetween(Window.unboundedPreceding, last))
+        return F.when(F.size(listed) > 0, F.aggregate(F.slice(listed, F.lit(2), F.size(listed)), F.get(listed, F.lit(0)), lambda a, b: F.transform(a, lambda s: F.get(b, s))))
+
+    ends = lambda rows: F.col("__at") % rows == rows - 1
+    work = work.withColumn("__map", before(F.col("__table"), 2, 0))
+    work = work.withColumn("__map2", before(F.when(ends(FAN), F.col("__map")), 1, -1)).withColumn("__map", _then(F.col("__map2"), F.col("__map")))
+    work = work.withColumn("__map2", before(F.when(ends(FAN**2), F.col("__map")), 0, -1)).withColumn("__map", _then(F.col("__map2"), F.col("__map"))).drop("__map2")
+    totals = work.groupBy("__part").agg(F.max_by("__map", "__at").alias("__all"), reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
+    found = work.join(walked(totals.select("__part", "__all"), F.lit(start), lambda s, b: F.get(b["__all"], s)), "__part")
+    return found.withColumn(out, F.get("__map", F.col("__s"))).drop("__part", "__table", "__map", "__s", "__at", "__large", "__small")
