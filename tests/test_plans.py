@@ -56,3 +56,14 @@ def test_averages_take_one_scan_and_one_shuffle_beyond_the_bars(spark, name):
     plan = plan_of(op.query(spark, SF))
     tree = plan.split("\n\n")[0]
     assert "Join" not in plan and tree.count("Exchange hashpartitioning") <= 2
+
+
+#: Scans and hash exchanges before adaptive changes; uses of one exchange are planned once each and run once.
+LONG = {"equity_curve_long": (4, 17), "ema_long": (4, 15), "three_state_strategy": (2, 5), "underwater_long": (2, 8), "performance_table": (2, 6), "day_broadcast": (3, 9)}
+
+
+@pytest.mark.parametrize("name", LONG)
+def test_long_series_are_planned_with_few_scans(spark, name):
+    (op,) = [o for o in OPS if o.name == name]
+    plan = plan_of(op.query(spark, SF))
+    assert plan.count("Scan parquet") <= LONG[name][0] and plan.count("Exchange hashpartitioning") <= LONG[name][1]

@@ -52,10 +52,10 @@ def noise_sigma(bars: DataFrame, window: int = 14, open_time: str = "09:30:00")
 
 def day_levels(grid: DataFrame, open_time: str = "09:30:00", close_time: str = "15:00:00") -> DataFrame:
     """Per code and day: ``today_open`` and ``prev_close``, the close of the grid day before at the closing time."""
-    at_open = grid.where(F.col("tod") == open_time).select("code", "day", F.col("open").alias("today_open"))
-    closes = grid.where(F.col("tod") == close_time).select("code", "day", F.col("close").alias("c"))
-    days = Rows(("code",), "day")
-    return at_open.join(closes.withColumn("prev_close", days.lag("c")).drop("c"), ["code", "day"], "full")
+    opens, closes = F.col("tod") == open_time, F.col("tod") == close_time
+    found = grid.where(opens | closes).groupBy("code", "day").agg(F.max(F.when(opens, F.col("open"))).alias("today_open"), F.max(F.when(closes, F.col("close"))).alias("__close"), (F.count_if(closes) > 0).alias("__closes"))
+    prev_close = F.when(F.col("__closes"), Rows(("code", "__closes"), "day").lag("__close"))
+    return found.select("code", "day", "today_open", prev_close.alias("prev_close"))
 
 
 def _session(bars: DataFrame, close_time: str) -> DataFrame:

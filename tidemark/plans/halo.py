@@ -120,32 +120,37 @@ def long_ema(df: DataFrame, x: str, period: int, bucket: int, out: str = "ema",
 
     A bucket maps the average before it to the one behind it: y becomes a + b y, where a is the average of the bucket's rows from zero. Buckets before
     the current one are full, so b is the same for all of them and maps compose to a sum of a's with falling powers of b, which ends
-    where the power is nothing in doubles. The seed and the nulls so far are running sums.
+    where the power is nothing in doubles. The bucket that holds the seed's last row adds what earlier buckets hold of the seed, and nulls so far are counted
+    over the totals too, so there is one shuffle by key and bucket and one of totals.
     """
     if period < 1 or not 1 <= bucket <= 256 * period:
         raise ValueError("a period has one row at least, a bucket one to 256 periods")
     a, start = 2.0 / (period + 1), period - 1
     keep = 1 - a
-    part = F.floor(F.col(seq) / bucket)
+    power = lambda n: F.pow(F.lit(keep), n) if period > 1 else F.when(n == 0, 1.0).otherwise(0.0)
+    dealt = df.withColumn("__part", F.struct(F.col(key).alias("key"), F.floor(F.col(seq) / bucket).alias("bucket"))).repartition("__part")
+    inside = Window.partitionBy("__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
     early = F.when(F.col(seq) <= start, F.col(x))
-    work = running(df, {"__seed": ("sum", early), "__gaps": ("sum", F.when(F.col(x).isNull(), 1))}, part, key, seq)
-    u = F.when(F.col(seq) == start, F.col("__seed") / period).when(F.col(seq) > start, a * F.col(x))
-    dealt = work.withColumn("__part", F.struct(F.col(key).alias("key"), part.alias("bucket"))).repartition("__part")
-    work = dealt.withColumns({"__u": u, "__r": F.col(seq) % bucket})
-    if period == 1:
-        local = F.col("__u")
-    else:
-        inside = Window.partitionBy("__part").orderBy(seq).rowsBetween(Window.unboundedPreceding, 0)
-        local = F.coalesce(F.sum(F.col("__u") * F.pow(F.lit(keep), -F.col("__r"))).over(inside), F.lit(0.0)) * F.pow(F.lit(keep), F.col("__r"))
+    work = dealt.withColumns({"__early": early, "__r": F.col(seq) % bucket, "__gaps": F.sum(F.col(x).isNull().cast("long")).over(inside)})
+    seed = F.coalesce(F.sum("__early").over(inside), F.lit(0.0)) / period
+    work = work.withColumn("__u", F.when(F.col(seq) == start, seed).when(F.col(seq) > start, a * F.col(x)))
+    local = F.coalesce(F.sum(F.col("__u") * F.pow(F.lit(keep), -F.col("__r"))).over(inside), F.lit(0.0)) * power(F.col("__r")) if period > 1 else F.col("__u")
     work = work.withColumn("__local", local)
+    totals = work.groupBy("__part").agg(
+        F.max_by("__local", seq).alias("__a"), F.sum("__early").alias("__seed"), F.max("__gaps").alias("__nulls"), F.max(seq).alias("__end"), reads_all(dealt).alias("__mix"),
+    ).where("__mix IS NOT NULL")
+    order = Window.partitionBy("__part.key").orderBy("__part.bucket")
+    before = order.rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.withColumns({"__before": F.coalesce(F.sum("__seed").over(before), F.lit(0.0)) / period, "__missed": F.coalesce(F.sum("__nulls").over(before), F.lit(0).cast("long"))})
+    seeds = F.col("__part.bucket") == start // bucket  # the bucket of the seed's last row
+    behind = F.col("__a") + F.when(seeds, F.col("__before") * power(F.col("__end") - start)).otherwise(0.0)
     terms = 1 if period == 1 else int(-60 * math.log(2) / (bucket * math.log(keep))) + 1
-    totals = work.groupBy("__part").agg(F.max_by("__local", seq).alias("__a"), reads_all(dealt).alias("__mix")).where("__mix IS NOT NULL")
-    some = Window.partitionBy("__part.key").orderBy("__part.bucket").rowsBetween(-terms, -1)
-    passed = F.aggregate(F.collect_list("__a").over(some), F.lit(0.0), lambda y, v: y * keep**bucket + v)
-    found = work.join(totals.select("__part", passed.alias("__passed")), "__part")
-    known = (F.col(seq) >= start) & F.col("__gaps").isNull()
-    value = F.col("__local") + F.col("__passed") * F.pow(F.lit(keep), F.col("__r") + 1)
-    return found.withColumn(out, F.when(known, value)).drop("__part", "__seed", "__gaps", "__u", "__r", "__local", "__passed")
+    passed = F.aggregate(F.collect_list("__behind").over(order.rowsBetween(-terms, -1)), F.lit(0.0), lambda y, v: y * keep**bucket + v)
+    carried = totals.withColumn("__behind", behind).select("__part", passed.alias("__passed"), F.when(seeds, F.col("__before")).otherwise(0.0).alias("__before"), "__missed")
+    found = work.join(carried, "__part")
+    known = (F.col(seq) >= start) & (F.col("__gaps") + F.col("__missed") == 0)
+    value = F.col("__local") + F.col("__passed") * power(F.col("__r") + 1) + F.col("__before") * power(F.col(seq) - start)
+    return found.withColumn(out, F.when(known, value)).drop("__part", "__early", "__r", "__gaps", "__u", "__local", "__passed", "__before", "__missed")
 
 
 def walked(totals: DataFrame, start: Column, step: Callable[[Column, Column], Column], out: str = "__s") -> DataFrame:
