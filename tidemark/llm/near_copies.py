@@ -1,4 +1,4 @@
-"""Groups of near copies by the exact Jaccard similarity of word shingles, with min-hash bands as candidates."""
+"""Groups of near copies by the exact Jaccard similarity of word shingles, with candidates from tries of wide SimHash fingerprints."""
 
 from __future__ import annotations
 
@@ -12,9 +12,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import sliced, whole_text, written
 from tidemark.llm.components import connected_components, with_least
+from tidemark.llm.wide_prints import near_links, wide_prints
 
-#: Bands and minima in each. A pair at similarity s shares no band with chance (1 - s ** 4) ** 32: 5e-8 at 0.8.
-BANDS, ROWS = 32, 4
 #: At most so many texts (digests of 16 bytes) are broadcast; more are joined by shuffle.
 BROADCAST_TEXTS = 500_000
 #: Nodes of a band, and shingles of theirs (8 bytes each), that one task compares with each other or with so many more.
@@ -24,9 +23,6 @@ COUNTED = 1 << 20
 #: Distinct shingles whose bits are compared at a time.
 COLUMNS = 1 << 15
 
-_MASKS = np.random.default_rng(42).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-_XOR, _ODD = _MASKS[0], _MASKS[1] | np.uint64(1)
-
 
 def shingle_set(text: str, shingle_words: int = 5) -> np.ndarray:
     """Sorted distinct XXH64 values of the word shingles, with words as in ``simhash.fingerprint``.
@@ -43,38 +39,22 @@ def shingle_set(text: str, shingle_words: int = 5) -> np.ndarray:
     return np.unique(np.fromiter((hash_of(g, 42) for g in grams), np.uint64))
 
 
-def band_keys(sets: list[np.ndarray]) -> list[np.ndarray | None]:
-    """``BANDS`` longs of each set, None of an empty one."""
-    import xxhash
-
-    full = [k for k, s in enumerate(sets) if len(s)]
-    keys: list[np.ndarray | None] = [None] * len(sets)
-    if not full:
-        return keys
-    values = np.concatenate([sets[k] for k in full])
-    starts = np.cumsum([0, *(len(sets[k]) for k in full[:-1])])
-    least = np.stack([np.minimum.reduceat((values ^ x) * a, starts) for x, a in zip(_XOR, _ODD)], axis=1)
-    for row, k in zip(least, full):
-        parts = (row[b * ROWS : (b + 1) * ROWS].tobytes() for b in range(BANDS))
-        keys[k] = np.fromiter((xxhash.xxh64_intdigest(p, b) for b, p in enumerate(parts)), np.uint64).view(np.int64)
-    return keys
-
-
 def digest(members: np.ndarray) -> bytes:
     """What stands for a set: 128 bits, so that no two sets of a corpus are taken for one."""
     return hashlib.blake2b(members.tobytes(), digest_size=16).digest()
 
 
 def _sketched(texts: DataFrame, id_type: str, shingle_words: int) -> DataFrame:
-    """``doc_id, text_key, node, n, bands``: a row's text, the digest and size of its set, and its bands."""
+    """``doc_id, text_key, node, n, print``: a row's text, the digest and size of its set, and its fingerprint (null of an empty set)."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in sliced(batches, 2, 1 << 20):
             sets = [shingle_set(t.as_py(), shingle_words) for t in part.column(2)]
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            columns = [part.column(0), part.column(1), pa.array([digest(s) for s in sets], pa.binary()), sizes, pa.array(band_keys(sets), pa.list_(pa.int64()))]
-            yield pa.record_batch(columns, names=["doc_id", "text_key", "node", "n", "bands"])
+            prints = pa.array([p.tobytes() if len(s) else None for p, s in zip(wide_prints(sets), sets)], pa.binary())
+            columns = [part.column(0), part.column(1), pa.array([digest(s) for s in sets], pa.binary()), sizes, prints]
+            yield pa.record_batch(columns, names=["doc_id", "text_key", "node", "n", "print"])
 
-    return texts.mapInArrow(run, f"doc_id {id_type}, text_key binary, node binary, n long, bands array<long>")
+    return texts.mapInArrow(run, f"doc_id {id_type}, text_key binary, node binary, n long, print binary")
 
 
 def _sets(texts: DataFrame, shingle_words: int) -> DataFrame:
@@ -221,18 +201,17 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """``id_col, component_id``: every row with the smallest id of its group.
 
     Two texts are linked if the Jaccard similarity of their shingle sets is ``least`` or more; groups are closed
-    transitively; texts without words are alike. Candidates share one of the min-hash bands. Each is compared
-    with the first of its band first; then all nodes of a band that are not in one group yet are compared, however
-    many a band holds. Rows with equal sets are one node (a 128-bit digest), so exact copies cost nothing.
+    transitively; texts without words are alike. Candidates are the components (below: bands) of the links that the tries of
+    ``wide_prints`` find between SimHash fingerprints. Each is compared with the first of its band first; then all nodes of
+    a band that are not in one group yet are compared, however many a band holds. Rows with equal sets are one node (a 128-bit digest), so exact copies cost nothing.
     Repeated rows stay repeated; a null id takes no part in the minimum. ``docs`` is read up to three times.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.unhex(F.md5(whole_text(text_col).cast("binary"))).alias("text_key"), whole_text(text_col).alias("text"))
     rows = written(_sketched(texts, docs.schema[id_col].dataType.simpleString(), shingle_words), "near-rows")
     keys = written(rows.groupBy("node").agg(F.min("text_key").alias("text_key"), F.min("doc_id").alias("first")), "near-nodes")
-    nodes = rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("bands").alias("bands"))
-    banded = nodes.select("node", "n", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.count("*").alias("size")).where("size > 1").select("key")
-    banded = written(banded.join(shared, "key"), "near-bands")
+    nodes = written(rows.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("print").alias("print")).withColumn("id", F.xxhash64("node")), "near-prints")
+    near = connected_components(near_links(nodes.where("n > 0").select("id", "print")))  # nodes of equal ids would only be compared once more
+    banded = written(nodes.join(near.select(F.col("node").alias("id"), F.col("root").alias("key")), "id").select("key", "node", "n"), "near-bands")
     fits = lambda a, b: F.least(a, b) >= F.lit(least) * F.greatest(a, b) - 1e-6
 
     head = F.struct("node", "n")

@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.common import cut_lineage, free_name, settled, sliced, whole_text
 from tidemark.llm.components import connected_components, with_least
-from tidemark.llm.near_copies import near_copies
 
 #: Hash values whose bits are counted at a time.
 HASH_BLOCK = 1 << 16
@@ -159,18 +158,23 @@ def _join_group(table: pa.Table, budget: int) -> pa.Table:
     return pa.table({"src": pa.array(src.view(np.int64), pa.int64()), "dst": pa.array(dst.view(np.int64), pa.int64())})
 
 
-def hamming_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, step: int = 4) -> DataFrame:
-    """Links ``src, dst`` (long) that connect all fingerprints at ``budget`` or fewer differing bits.
+def subtree_members(prints: DataFrame, budget: int, leaf: int, step: int = 4, exact: int = 0) -> DataFrame:
+    """Rows ``depth, a, b, errors, side`` and those of ``prints``: which pairs of subtrees a fingerprint belongs to.
 
-    ``prints`` has distinct longs in ``fp``. The trie is walked from its root ``step`` bits at a time as a
+    ``prints`` has longs in ``fp``. The trie is walked from its root ``step`` bits at a time as a
     DataFrame of node pairs with their accumulated errors; pairs over the budget go, pairs of at most
     ``leaf`` fingerprints a side become one task each, larger ones go deeper. So a task's share is bounded
     whatever the bits look like, and a fingerprint is copied to as many tasks as its node has neighbours
-    within the budget. Each task returns a spanning forest of its links, not all pairs.
+    within the budget. With ``exact`` the walk begins at the nodes that many bits deep, none of which may differ.
     """
     low = (1 << step) - 1
     masks = F.array(*(F.lit(m).cast("long") for m in range(1 << step) if m.bit_count() <= budget))
-    large, ready, depth = None, [], 0
+    large, ready, depth = None, [], exact
+    if exact:
+        nodes = prints.groupBy(F.shiftrightunsigned("fp", 64 - exact).alias("a")).agg(F.count("*").alias("n")).where("n > 1")
+        pairs, _ = settled(nodes.select("a", F.col("a").alias("b"), F.lit(0).alias("errors"), (F.col("n") > leaf).alias("large")))
+        ready.append((exact, pairs.where("not large").select("a", "b", "errors")))
+        large = pairs.where("large").select("a", "b", "errors")
     while depth < 64 and (large is None or not large.isEmpty()):
         depth += step
         nodes = prints.groupBy(F.shiftrightunsigned("fp", 64 - depth).alias("node")).agg(F.count("*").alias("n"))
@@ -201,8 +205,18 @@ def hamming_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, step:
         sides, count = settled(sides.select(F.lit(depth).alias("depth"), "a", "b", "errors", "s.node", "s.side"))
         sides = F.broadcast(sides) if count <= BROADCAST_PAIRS else sides
         rows = prints.withColumn("node", F.shiftrightunsigned("fp", 64 - depth)).join(sides, "node")
-        rows = rows.select("depth", "a", "b", "errors", "side", "fp")
+        rows = rows.select("depth", "a", "b", "errors", "side", *prints.columns)
         members = rows if members is None else members.unionByName(rows)
+    return members
+
+
+def hamming_links(prints: DataFrame, budget: int = 2, leaf: int = 1 << 16, step: int = 4) -> DataFrame:
+    """Links ``src, dst`` (long) that connect all fingerprints at ``budget`` or fewer differing bits.
+
+    ``prints`` has distinct longs in ``fp``. Each pair of subtrees (``subtree_members``) is one task, which returns a spanning forest of
+    its links, not all pairs.
+    """
+    members = subtree_members(prints.select("fp"), budget, leaf, step)
     return members.groupBy("depth", "a", "b").applyInArrow(lambda table: _join_group(table, budget), "src long, dst long")
 
 
@@ -231,10 +245,12 @@ def keep_one_per_group(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Without ``similarity`` groups are those of ``near_duplicates`` (fingerprints within a bit budget). With it, texts
     are linked at that Jaccard similarity of their word shingles or more, five words unless ``shingle_words`` says
-    otherwise: a trie cannot carry the bits that 0.8 needs, so candidates then come from ``near_copies``.
+    otherwise: fingerprints then have 256 bits and several tries, whose links ``near_copies`` checks exactly.
     Rows that repeat one id stand or fall together; rows with a null id cannot be told apart and stay
     only if a whole group has none.
     """
+    from tidemark.llm.near_copies import near_copies  # which walks the trie of this module
+
     groups = near_duplicates(docs, id_col, text_col, **options) if similarity is None else near_copies(docs, id_col, text_col, least=similarity, **options)
     (name,) = free_name(docs, "keep")
     keep = groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).select(F.col(id_col).alias(name)).distinct()
